@@ -15,6 +15,7 @@ from array import array
 
 import numpy as np
 
+_PUNCTUATION = "!#$%&*,.:;?|"
 _UNSAFE = re.compile(r"\s \s|\s \Z")
 
 
@@ -32,6 +33,7 @@ class Encoder:
         self.spaced = np.zeros(self.size, bool)
         self.spaced[[i for t, i in self.tok.get_vocab(with_added_tokens=True).items() if t[:1] == "\u0120"]] = True
         self.cache: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.cached = cached
         self.run = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
 
@@ -51,6 +53,31 @@ class Encoder:
             edges = [*(cuts * n).tolist(), len(raw)]
             self.cache.update(zip(chunks, map(raw.__getitem__, map(slice, edges, edges[1:])), strict=True))
 
+    def _fill(self, new: list[str]) -> None:
+        """Encodes chunks that the cache lacks. Letters and the punctuation after them are apart to the tokenizer, so such a chunk is put together."""
+        cache, tails, plain, other, made = self.cache, self.tails, {}, [], []
+        for c in new:
+            core = c.rstrip(_PUNCTUATION)
+            if core.isalpha():
+                if core not in cache:
+                    plain[core] = None
+                if len(core) < len(c):
+                    made.append((c, core, c[len(core) :]))
+            elif c.split() == [c]:
+                plain[c] = None
+            else:
+                other.append(c)
+        learn = list(plain)
+        for a in range(0, len(learn), 2_000):
+            self._learn_together(learn[a : a + 2_000])
+        self._learn(other + [c for c in learn if c not in cache])
+        for c, core, tail in made:
+            if tail not in tails:
+                if len(tails) > 10_000:
+                    tails.clear()
+                tails[tail] = self._encoded([tail])[0]
+            cache[c] = cache[core] + tails[tail]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (null: none), without added special tokens."""
         texts = [t or "" for t in texts]
@@ -66,15 +93,14 @@ class Encoder:
             heads.append(first)
             known = list(map(get, rest))
             parts[i] = known
-            if None in known:
-                for j, v in enumerate(known):
-                    if v is None:
-                        missing.setdefault(rest[j], []).append((i, j))
-        new = list(missing)
-        plain = [c for c in new if c.split() == [c]]
-        for a in range(0, len(plain), 2_000):
-            self._learn_together(plain[a : a + 2_000])
-        self._learn([c for c in new if c not in self.cache])
+            j = -1
+            try:
+                while True:
+                    j = known.index(None, j + 1)
+                    missing.setdefault(rest[j], []).append((i, j))
+            except ValueError:  # no more
+                pass
+        self._fill(list(missing))
         for c, places in missing.items():
             v = self.cache[c]
             for i, j in places:

@@ -83,7 +83,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int =
     segs = rows.select("_row", "_rank", "_q", "_at", F.explode(pieces).alias("p")).select("_row", "_rank", F.col("p.from").alias("_from"), F.col("p.len").alias("_len"), (F.col("_at") + F.col("p.from")).alias("_pos"), F.ceil((F.col("_at") + F.col("p.from") + F.col("p.len")) / F.col("_q")).cast("long").alias("_round"))
     wide = max(1, int(rounds / C.root_buckets(max(1, total // segment), 16)))
     segs = C.prefix_sum(segs.withColumn("_b", F.floor(F.col("_round") / wide).cast("long")), [], "_b", ["_round", "_rank", "_pos"], "_len", "_to")
-    cuts = segs.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_from", "_len", "_to"))).alias("segs"))  # a row's own segments alone
+    cuts = segs.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_from", "_to"))), lambda x: x["_to"]).alias("segs"))  # a row's own segments alone
     cuts = C.saved(cuts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,10 +91,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int =
         for keys, sources, ns, zs, plans in C.rows_of(batches, "_id", "_src", "n", "z", "segs"):
             out: list[tuple] = []
             for key, source, n, z, plan in zip(keys, sources, ns, zs, plans, strict=True):
-                ids = np.frombuffer(expand.decompress(z), enc.dtype).astype("<u4")
+                ids = np.frombuffer(expand.decompress(z), enc.dtype)
                 runs: list[list[int]] = []
-                for s in plan:
-                    a, length, to = s["_from"], s["_len"], s["_to"]
+                for j, to in enumerate(plan):
+                    a = j * segment
+                    length = min(segment, n - a)
                     if runs and runs[-1][2] + runs[-1][1] == to:  # the stream goes on with this row
                         runs[-1][1] += length
                     else:
@@ -102,7 +103,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int =
                 for a, length, to in runs:
                     while length:
                         take = min(length, window - to % window)
-                        out.append((key, a, take, zlib.crc32(ids[a : a + take].tobytes()), n, to // window, to % window, source))
+                        out.append((key, a, take, zlib.crc32(ids[a : a + take].astype("<u4").tobytes()), n, to // window, to % window, source))
                         a, to, length = a + take, to + take, length - take
             names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
             cols = list(zip(*out, strict=True)) or [()] * 8
