@@ -30,13 +30,13 @@ def oracle_sql() -> dict[str, str]:
 
 #: All windows of every text, by the words themselves.
 OP10_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50),
 h AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS g FROM p),
 f AS (SELECT g, min(doc_id) AS a FROM h GROUP BY g),
 r AS (SELECT h.doc_id, list(h.i) AS s FROM h JOIN f ON h.g = f.g WHERE h.doc_id > f.a GROUP BY h.doc_id),
 c AS (SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest(generate_series(t, t + 49)) AS q FROM (SELECT doc_id, unnest(s) AS t FROM r)) GROUP BY doc_id),
 k AS (SELECT d.doc_id, d.w, c.gone FROM d LEFT JOIN c ON d.doc_id = c.doc_id),
-v AS (SELECT doc_id, w, gone, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(generate_series(1, len(w)), x -> NOT list_contains(gone, x)), x -> w[x]) END AS kept FROM k)
+v AS (SELECT doc_id, w, gone, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(generate_series(1, len(w)), lambda x: NOT list_contains(gone, x)), lambda x: w[x]) END AS kept FROM k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM v
 """
