@@ -239,13 +239,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` with one row of each class, that of the least id; rows without words or with a null id stay."""
     found = near_join(docs, id_col=id_col, text_col=text_col, **options)
     spare = C.saved(found.where("doc_id is not null and (doc_id <> class_id or n_same > 1)").select("doc_id", "_th", "class_id"))
-    gone = C.small(C.saved(spare.where("doc_id <> class_id").select(F.col("doc_id").alias("_gk"), F.col("_th").alias("_gt")).distinct()))
-    left = docs.join(gone, (F.col(id_col).cast("long") == F.col("_gk")) & (F.xxhash64(F.col(text_col)) == F.col("_gt")), "left_anti")
+    gone = C.small(C.saved(spare.where("doc_id <> class_id").select(F.col("doc_id").alias("__gl_gk"), F.col("_th").alias("__gl_gt")).distinct()))
+    left = docs.join(gone, (F.col(id_col).cast("long") == F.col("__gl_gk")) & (F.xxhash64(F.col(text_col)) == F.col("__gl_gt")), "left_anti")
     # rows that share the least id of their class are rows that repeat: one of them stays
-    twice = C.saved(spare.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("_gk")))
+    twice = C.saved(spare.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("doc_id").alias("__gl_gk")))
     if not twice.take(1):
         return left
-    again = F.col(id_col).cast("long") == F.col("_gk")
+    again = F.col(id_col).cast("long") == F.col("__gl_gk")
     return left.join(C.small(twice), again, "left_anti").unionByName(left.join(C.small(twice), again, "left_semi").dropDuplicates([id_col]))
 
 

@@ -101,9 +101,9 @@ def removals(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col
                 p = np.unique(np.array(ps, np.int64))
                 cut = np.flatnonzero(np.diff(p) > span)
                 out.append(np.stack((p[np.concatenate(([0], cut + 1))], p[np.concatenate((cut, [len(p) - 1]))] + span), 1).astype("<u4").tobytes())
-            yield C.batch(_k=pa.array(keys, pa.int64()), _th=pa.array(ths, pa.int64()), _cut=pa.array(out, pa.binary()))
+            yield C.batch(_k=pa.array(keys, pa.int64()), _th=pa.array(ths, pa.int64()), __gl_cut=pa.array(out, pa.binary()))
 
-    return C.saved(lost.mapInArrow(ranges, "_k long, _th long, _cut binary"))
+    return C.saved(lost.mapInArrow(ranges, "_k long, _th long, __gl_cut binary"))
 
 
 def _kept(text: str | None, cut: bytes | None) -> tuple[list[bytes], int]:
@@ -119,15 +119,15 @@ def _kept(text: str | None, cut: bytes | None) -> tuple[list[bytes], int]:
 
 
 def _with_cuts(docs: DataFrame, span: int, id_col: str, text_col: str) -> DataFrame:
-    cuts = C.small(removals(docs, span, id_col, text_col).withColumnsRenamed({"_k": "_ck", "_th": "_ct"}))
-    return docs.withColumn("_th", F.xxhash64(F.col(text_col))).join(cuts, (F.col(id_col).cast("long") == F.col("_ck")) & (F.col("_th") == F.col("_ct")), "left").drop("_ck", "_ct", "_th")
+    cuts = C.small(removals(docs, span, id_col, text_col).withColumnsRenamed({"_k": "__gl_ck", "_th": "__gl_ct"}))
+    return docs.withColumn("__gl_th", F.xxhash64(F.col(text_col))).join(cuts, (F.col(id_col).cast("long") == F.col("__gl_ck")) & (F.col("__gl_th") == F.col("__gl_ct")), "left").drop("__gl_ck", "__gl_ct", "__gl_th")
 
 
 def dedup_digest(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row; see :func:`dedup` for what is removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts, cuts in C.rows_of(batches, "_k", "t", "_cut"):
+        for keys, texts, cuts in C.rows_of(batches, "_k", "t", "__gl_cut"):
             got = [_kept(t, c) for t, c in zip(texts, cuts, strict=True)]
             yield C.batch(doc_id=pa.array(keys, pa.int64()), n_words=pa.array([len(w) + n for w, n in got], pa.int64()), n_removed=pa.array([n for _, n in got], pa.int64()), kept_sha256=[hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in got])
 
@@ -148,7 +148,7 @@ def dedup(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            texts, cuts = b.column(at).to_pylist(), b.column(b.schema.get_field_index("_cut")).to_pylist()
+            texts, cuts = b.column(at).to_pylist(), b.column(b.schema.get_field_index("__gl_cut")).to_pylist()
             new = [t if c is None else b" ".join(_kept(t, c)[0]).decode("utf-8", "surrogatepass") for t, c in zip(texts, cuts, strict=True)]
             keep = pa.array([c is None or bool(t) for t, c in zip(new, cuts, strict=True)], pa.bool_())
             out = [pa.array(new, pa.string()) if n == text_col else b.column(b.schema.get_field_index(n)) for n in names]

@@ -1,0 +1,434 @@
+"""The corpus operators against brute force, on real rows and on rows made to be awkward."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from gradeloom.llm import common as C
+from gradeloom.llm import components, encoding, fingerprints, html_pages, lm_scoring, mixing, near_join, packing, quality, substrings, token_counts, token_files
+
+DATA = "/root/testdata/sf0.001"
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k int, t int, _k int, size int, n int, r int, host int, taken int, _th int, h int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def awkward_rows():
+    rnd = random.Random(5)
+    prose = lambda n: " ".join(rnd.choice("abcdefghij") + rnd.choice("klmnopqrst") for _ in range(n))
+    long, base = prose(9000), prose(300)
+    near = base.split()
+    near[150] = "changed"
+    texts = [
+        (1, base), (2, base), (2, base), (3, " ".join(near)), (4, None), (5, ""), (6, " \n\t "), (7, "one two"), (8, "one two"), (9, "one  two"), (10, long), (11, prose(60) + "\n" + " ".join(base.split()[20:90]) + "\n" + prose(30)),
+        (12, "x\x00y <|endoftext|> <s> é日本 😀   ▁▁ a"), (13, "spam eggs and ham " * 40), (None, base), (None, None), (14, "word " * 2000), (15, "z" * 30000), (16, prose(200)), (-3, prose(120)),
+    ]
+    return [(i, t, None if n % 7 == 0 else "en", None if n % 5 == 0 else f"s{n % 3}", None, *[n] * 10) for n, (i, t) in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame(awkward_rows(), SCHEMA).repartition(4).cache()
+
+
+@pytest.fixture(scope="module")
+def real(spark):
+    return C.documents(spark, DATA).cache()
+
+
+@pytest.fixture(params=["awkward", "real", "empty"])
+def docs(request, spark):
+    return spark.createDataFrame([], SCHEMA) if request.param == "empty" else request.getfixturevalue(request.param)
+
+
+def texts_of(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+
+
+# 1
+
+
+def test_mix(docs):
+    out = mixing.mix(docs, mixing.n_words(F.col("text")), F.array("source"), mixing.cycle_521, keep=["doc_id", "source"]).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((i, len(words(t))) for i, t in texts_of(docs))
+    by = defaultdict(lambda: [0, 0, 0.0])
+    for r in out:
+        by[r["source"]][0] += r["size"]
+        by[r["source"]][1] += r["taken"]
+        by[r["source"]][2] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    for size, taken, target in by.values():
+        assert target <= 3 * size + 1e-6 and abs(taken - target) <= 1
+    assert abs(sum(v[2] for v in by.values()) - sum(v[0] for v in by.values())) < 1e-3
+    again = mixing.mix(docs.repartition(7), mixing.n_words(F.col("text")), F.array("source"), mixing.cycle_521).collect()
+    assert sorted((str(r["doc_id"]), r["taken"]) for r in again) == sorted((str(r["doc_id"]), r["taken"]) for r in out)
+
+
+def test_mix_of_overlapping_sources(spark):
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(10).alias("w"), F.when(F.col("id") < 100, F.array(F.lit("a"))).when(F.col("id") < 200, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"))).alias("m"))
+    out = mixing.mix(df, F.col("w"), F.col("m"), quotas={"a": 1800, "b": 900}).select("doc_id", "taken", F.explode_outer("taken_by").alias("x")).collect()
+    got = Counter()
+    for r in out:
+        if r["x"]:
+            got[r["x"]["source"]] += r["x"]["words"]
+    assert got == {"a": 1800, "b": 900}
+    assert max(r["taken"] for r in out) == 10  # nothing repeats while there is room elsewhere
+    whole = mixing.mix(df, F.col("w"), F.col("m"), quotas={"a": 1805, "b": 901}, cut=False).collect()
+    assert all(r["taken"] % 10 == 0 for r in whole) and abs(sum(r["taken"] for r in whole) - 2706) <= 20
+
+
+def test_flow_is_cheapest():
+    """Against all integer flows of small networks."""
+    from itertools import product
+
+    rnd = random.Random(1)
+    for _ in range(40):
+        patterns = [(tuple(s for s in "ab" if rnd.random() < 0.7), rnd.randint(1, 3)) for _ in range(2)]
+        quotas = {"a": rnd.randint(0, 6), "b": rnd.randint(0, 6)}
+        cost = lambda given, size: sum((k // size) for k in range(given))
+        best = None
+        for f in product(range(7), repeat=4):
+            parts = [{"a": f[0], "b": f[1]}, {"a": f[2], "b": f[3]}]
+            if any(x and s not in m for (m, _), p in zip(patterns, parts) for s, x in p.items()) or any(sum(p.values()) > 3 * size for (_, size), p in zip(patterns, parts)):
+                continue
+            if any(sum(p[s] for p in parts) > quotas[s] for s in "ab"):
+                continue
+            key = (-sum(f), sum(cost(sum(p.values()), size) for (_, size), p in zip(patterns, parts)))
+            best = min(best, key) if best else key
+        got = mixing.route(patterns, quotas, 3)
+        assert (-sum(sum(p.values()) for p in got), sum(cost(sum(p.values()), size) for (_, size), p in zip(patterns, got))) == best
+
+
+# 2, 3, 6
+
+
+def test_encoder_equals_the_library():
+    e, rnd = encoding.Encoder(BYTES), random.Random(1)
+    parts = [" ", " ", "\n", "\t", "a", "b", "é", "1", ".", ",", " ", "\0", "'s", "日", "<|endoftext|>", "\r", "word", "!!"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(20000)]
+    for _ in range(2):  # the second time from the cache
+        assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_piece_counts_equal_the_library():
+    import sentencepiece
+
+    c, rnd = token_counts.PieceCounter(PIECES), random.Random(1)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    parts = [" ", " ", "\n", "a", "é", "1", ".", " ", "\0", "the", "▁", "日", "<s>", "in", "er", "ing", "😀"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(20000)]
+    assert [c.count(t) for t in texts] == [len(x) for x in sp.encode(texts, num_threads=1)]
+
+
+def test_token_counts(docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    want = Counter((i, len((t or "").encode()), n := len(sp.encode(t or "")), n > 4096) for i, t in texts_of(docs))
+    assert Counter(tuple(r) for r in token_counts.count_tokens(docs, PIECES).collect()) == want
+
+
+@pytest.mark.parametrize("vocabulary", [2, 3, 300, 32000, 50257, 65536, 70000])
+def test_packed_files_round_trip(vocabulary):
+    rnd = np.random.default_rng(3)
+    docs = [rnd.integers(0, vocabulary, n).astype(np.uint32) for n in (0, 1, 7, 5000, 63, 64, 65)]
+    f = token_files.TokenFile(token_files.file_bytes([None, 1, 2, 3, 4, 5, 6], docs, vocabulary, block=64))
+    every = np.concatenate(docs)
+    assert [(k, s, x.tolist()) for k, s, x in f.documents()] == [(k, int(sum(map(len, docs[:i]))), d.tolist()) for i, (k, d) in enumerate(zip([None, 1, 2, 3, 4, 5, 6], docs))]
+    for a, b in ((0, 1), (63, 65), (100, 100), (4000, 5205), (0, 10**9)):
+        assert f.ids(a, b).tolist() == every[a:b].tolist()
+
+
+def ids_of(docs, end):
+    from tokenizers import Tokenizer
+
+    rows = texts_of(docs)
+    enc = Tokenizer.from_file(BYTES).encode_batch([t or "" for _, t in rows], add_special_tokens=False)
+    return [(i, np.array([*e.ids, end], "<u4")) for (i, _), e in zip(rows, enc)]
+
+
+def test_token_files(spark, docs):
+    uri = C.shared_dir(spark)
+    files = token_files.write_token_files(docs, uri, BYTES, shard_text_bytes=20_000, shard_ids=3000)
+    out = [tuple(r) for r in token_files.read_token_files(spark, uri, files).orderBy("start").collect()]
+    want = ids_of(docs, 0)
+    assert Counter((k, n, c) for k, _, n, c in out) == Counter((i, len(x), zlib.crc32(x.tobytes())) for i, x in want)
+    keys = [k for k, *_ in out]
+    assert keys == sorted(keys, key=lambda k: (k is None, k or 0))
+    at = 0
+    for _, start, n, _ in out:
+        assert start == at
+        at += n
+
+
+def test_packing(docs):
+    out = packing.pack(docs, BYTES, window=256, segment=100).collect()
+    want = Counter((i, len(x), zlib.crc32(x.tobytes())) for i, x in ids_of(docs, 1))
+    windows, pieces = defaultdict(list), Counter()
+    for r in out:
+        windows[r["sequence_id"]].append((r["offset"], r["length"]))
+        pieces[r["doc_id"]] += r["length"]
+    last = max(windows, default=0)
+    for w, spans in windows.items():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at == 256 or w == last
+    assert sorted(windows) == list(range(len(windows)))
+    total = Counter()
+    for (i, n, _), times in want.items():
+        total[i] += n * times
+    assert pieces == total
+    ids = {i: x for i, x in ids_of(docs, 1)}
+    for r in out:
+        if r["doc_id"] not in (None, 2):  # ids that rows share are told apart by the totals alone
+            assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+
+
+def test_packing_keeps_shares(spark):
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 60).alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
+    out = packing.pack(df, BYTES, window=512, segment=64).toPandas()
+    share = out[out.sequence_id < out.sequence_id.max()].pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum") / 512
+    assert abs(share["a"] - 0.25).max() < 0.2
+    assert abs(share["a"].cumsum() - 0.25 * np.arange(1, len(share) + 1)).max() < 0.3  # deficits carry
+
+
+# 4
+
+
+def test_lm_score(docs):
+    out = lm_scoring.lm_score(docs, head=500, steps=200).collect()
+    toks = [(i, [w.translate({c: c + 32 for c in range(65, 91)}) for w in words(t)] + [None]) for i, t in texts_of(docs)]
+    c = Counter()
+    for i, ts in toks:
+        if not lm_scoring.held_out(i):
+            c.update(ts)
+    n, v = sum(c.values()), len(c)
+    want = Counter((i, lm_scoring.held_out(i), len(ts), sum(c[x] > 0 for x in ts), n, round(sum(np.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in ts), 4)) for i, ts in toks)
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in out) == want
+    assert all(r["score"] <= 0 for r in out)
+
+
+def test_lm_beats_the_base_on_held_out_text(real):
+    r = lm_scoring.lm_score(real).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > r[1]
+
+
+def test_lm_is_normalised():
+    m = lm_scoring.LogBilinear()
+    rnd = np.random.default_rng(1)
+    m.train(rnd.integers(0, 128, (500, 2)), rnd.integers(0, 128, 500), rnd.random(500), steps=50)
+    assert np.allclose(np.exp(m.normalise().astype(float)).sum(1), 1, atol=1e-4)
+
+
+# 5
+
+
+def brute_links(rows, threshold=0.8):
+    sets = [C.shingles(t) if i is not None else np.empty(0) for i, t in rows]
+    links = [[j for j in range(len(rows)) if i != j and len(sets[i]) and len(sets[j]) and (x := len(np.intersect1d(sets[i], sets[j]))) >= threshold * (len(sets[i]) + len(sets[j]) - x) - 1e-9] for i in range(len(rows))]
+    label = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i, js in enumerate(links):
+            low = min([label[i], *(label[j] for j in js)])
+            for j in (i, *js):
+                if label[j] != low:
+                    label[j], changed = low, True
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[label[i]] = min(least.get(label[i], k), k) if k is not None and least.get(label[i], k) is not None else k
+    return Counter((k, least[label[i]], len(links[i])) for i, (k, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_near_join(docs, block):
+    out = near_join.near_join(docs, block=block).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == brute_links(texts_of(docs))
+
+
+def test_near_join_of_a_large_group(spark):
+    rnd = random.Random(2)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        ws = list(base)
+        for _ in range(rnd.randint(0, 4)):
+            ws[rnd.randrange(200)] = f"x{rnd.randrange(9)}"
+        rows.append((i, " ".join(ws)))
+    out = near_join.near_join(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == brute_links(rows)
+
+
+def test_keep_one(awkward):
+    left = near_join.keep_one(awkward)
+    assert left.columns == awkward.columns
+    ids = sorted((r["doc_id"] for r in left.collect() if r["doc_id"] is not None))
+    assert ids == [-3, 1, 4, 5, 6, 7, 10, 11, 12, 13, 14, 15, 16]
+    assert left.where("doc_id is null").count() == 2
+
+
+def test_components(spark):
+    rnd = random.Random(1)
+    edges = [(a, a + 1) for a in range(60)] + [(rnd.randrange(100, 140), rnd.randrange(100, 140)) for _ in range(30)]
+    got = dict(tuple(r) for r in components.components(spark.createDataFrame([e for e in edges if e[0] != e[1]], "u long, v long")).collect())
+    assert all(got[x] == 0 for x in range(1, 61)) and 0 not in got
+
+
+# 7
+
+
+def test_fingerprints(docs):
+    out = fingerprints.fingerprints(docs).collect()
+    rows = sorted(texts_of(docs), key=lambda x: (x[0] is None, -(x[0] or 0), hashlib.md5((x[1] or "").encode()).digest()))
+    want = Counter()
+    for i, (k, t) in enumerate(rows):
+        t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
+        want[k, len(t), hashlib.sha256(fingerprints.edited_text(t, nxt).encode()).hexdigest(), fingerprints.fingerprint(t).hex()] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"]) for r in out) == want
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in out)
+
+
+def test_fingerprints_over_many_ranges(real, monkeypatch):
+    whole = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.fingerprints(real).collect()}
+    monkeypatch.setattr(fingerprints, "PART_TEXT_BYTES", 30_000)
+    assert {r["doc_id"]: r["edited_sha256"] for r in fingerprints.fingerprints(real).collect()} == whole
+
+
+def test_likeness_is_unbiased():
+    rnd, errors = random.Random(4), []
+    for share in (0.0, 0.2, 0.5, 0.8, 1.0):
+        for _ in range(60):
+            both, own = rnd.randint(20, 600), 0
+            own = int(both * (1 - share) / 2 / share) if share else both
+            take = lambda n: C.mix(np.array([rnd.getrandbits(63) for _ in range(n)], np.uint64))
+            x, y, z = take(both if share else 0), take(own), take(own)
+            a, b = (np.unique(np.concatenate((x, q))) for q in (y, z))
+            j = len(x) / max(1, len(x) + 2 * own)
+            errors.append(fingerprints.likeness(fingerprints.packed(fingerprints.sketch(a)), fingerprints.packed(fingerprints.sketch(b))) - j)
+    assert abs(np.mean(errors)) < 0.01 and np.sqrt(np.mean(np.square(errors))) < 0.04
+
+
+# 8
+
+
+def test_html():
+    page = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/x">Menu</a></ul></nav>
+    <div class="cookie-notice">We use cookies</div><article class="post"><h1>Title &amp; more</h1><p><b>One&nbsp;two<br>three<p>Four <i>fi</i>ve &lt;b&gt;</p><div class="ad">Buy</div><aside>Side</aside><form>Mail <input></form>
+    <!-- no --><ul><li>a<li>b</ul><section id="comments">Nice!</section></article><footer>End</footer></body></html>"""
+    assert html_pages.main_text(page) == "Title & more\n\nOne two three\n\nFour five <b>\n\na\n\nb"
+    assert html_pages.main_text(None) == html_pages.main_text("") == ""
+    assert html_pages.main_text("plain <b>text") == "plain text"
+
+
+def test_deep_and_broken_pages(spark):
+    rows = [(1, "http://a/", "<div>" * 3000 + "deep"), (2, None, None), (3, "http://a/", "<p class='x>open quote <b>t</b>"), (3, "http://a/", ""), (None, "http://a/", "<p>x</p>")]
+    out = html_pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == 5 and next(r["text"] for r in out if r["page_id"] == 1) == "deep"
+    assert html_pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_site_templates(spark):
+    rows = [(i, f"http://h.example/{i}", f"<body><div><span>Hot offers</span> all day</div><div>story {i} text</div></body>") for i in range(20)] + [(99, "http://other.example/", "<body><div><span>Hot offers</span> all day</div></body>")]
+    out = {r["page_id"]: r["text"] for r in html_pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == "story 3 text" and out[99] == "Hot offers all day"
+
+
+def test_pages(spark):
+    out = {r["page_id"]: r["text"] for r in html_pages.op8_html_pages(spark, DATA).collect()}
+    import html
+
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        inside = re.search("<article>(.*)</article>", r["html"], re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", inside))
+        assert out[r["page_id"]] == "\n\n".join(b for b in blocks if b)
+
+
+# 9
+
+
+def test_quality(docs):
+    out = quality.quality(docs).collect()
+    want = Counter()
+    for i, t in texts_of(docs):
+        t = t or ""
+        ws = words(t)
+        runs = Counter(tuple(ws[a : a + 5]) for a in range(len(ws) - 4))
+        again = {b for a in range(len(ws) - 4) if runs[tuple(ws[a : a + 5])] > 1 for b in range(a, a + 5)}
+        lines = [x for x in t.split("\n") if words(x)]
+        want[i, len(ws), sum(map(len, ws)), sum(t.count(s) for s in "#*$%&|<>"), len(lines) - len(set(lines)), len(again), len(ws) < 10 or 100 * len(again) > 20 * len(ws)] += 1
+    assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in out) == want
+    assert not any(r["kept"] and r["base_failed"] for r in out)
+    assert quality.keep_good(docs).count() == sum(r["kept"] for r in out)
+
+
+def test_kneser_ney_is_normalised():
+    v = quality.Vocabulary([("en", 5), ("en", -7), ("fr", 9)])
+    rnd = np.random.default_rng(2)
+    pairs = np.unique([(a * v.size + b) for a in range(4) for b in range(4) if rnd.random() < 0.6])
+    m = quality.KneserNey(v, pairs, rnd.integers(1, 6, len(pairs)))
+    for a in range(4):
+        assert abs(np.exp(m.logs(np.array([a * v.size + b for b in range(4)]))).sum() - 1) < 1e-5
+
+
+def test_bands_reject_junk_and_keep_clean(spark):
+    rnd = random.Random(8)
+    clean = [f"w{int(rnd.paretovariate(0.5)) % 3000}" for _ in range(400 * 150)]
+    rows = [(i, " ".join(clean[i * 150 : i * 150 + 150]), "en") for i in range(400)] + [(1000 + i, " ".join(f"q{rnd.randrange(10**9)}" for _ in range(150)), "en") for i in range(8)]
+    out = [r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), vocabulary=1000).collect() if not r["base_failed"]]
+    good, junk = ([r["kept"] for r in out if (r["doc_id"] < 1000) == x] for x in (True, False))
+    assert len(good) > 300 and np.mean(good) > 0.98 and len(junk) == 8 and not any(junk)
+
+
+# 10
+
+
+def brute_removal(rows, span):
+    first = {}
+    for k, t in rows:
+        ws = words(t)
+        for a in range(len(ws) - span + 1):
+            g = tuple(ws[a : a + span])
+            if k is not None:
+                first[g] = min(first.get(g, k), k)
+    out = Counter()
+    for k, t in rows:
+        ws = words(t)
+        gone = set()
+        if k is not None:
+            for a in range(len(ws) - span + 1):
+                if first[tuple(ws[a : a + span])] < k:
+                    gone.update(range(a, a + span))
+        out[k, len(ws), len(gone), hashlib.sha256(" ".join(w for i, w in enumerate(ws) if i not in gone).encode()).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("span", [3, 10, 50])
+def test_substrings(docs, span):
+    assert Counter(tuple(r) for r in substrings.dedup_digest(docs, span).collect()) == brute_removal(texts_of(docs), span)
+
+
+@pytest.mark.parametrize("modulus", sorted(substrings.COVERS))
+def test_covers(modulus):
+    d = substrings.COVERS[modulus]
+    assert {(a - b) % modulus for a in d for b in d} == set(range(modulus))
+
+
+def test_dedup_keeps_columns(awkward):
+    out = substrings.dedup(awkward)
+    assert out.columns == awkward.columns
+    assert {r["doc_id"] for r in out.collect()} == {r[0] for r in awkward_rows()} - {2}
