@@ -35,7 +35,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as many times as the mix takes it, whole."""
     taken = mixing.mix(docs, mixing.n_words(F.col("text")), F.array(F.col("source")), mixing.cycle_521, cut=False, keep=docs.columns)
-    return taken.where("copies > 0").withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)
+    return taken.where("copies > 0").withColumn("__gl_again", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
