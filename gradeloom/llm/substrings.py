@@ -49,50 +49,95 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
 
+CHUNK = 1_000_000
+
+
+def _ends() -> list:
+    return [F.min("_k").alias("a"), F.max("_k").alias("b"), F.max("p").alias("c"), F.max("_th").alias("d"), F.max("sure").alias("s")]
+
+
+def several_docs(k: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows by group and then document: those whose group has several documents, and those that speak for their group (its
+    first and last row, or all of them if the group has one document)."""
+    begin = np.concatenate(([True], group[1:] != group[:-1]))
+    end = np.concatenate((begin[1:], [True]))
+    at = np.cumsum(begin) - 1
+    several = (k[begin] != k[end])[at]
+    return several, ~several | begin | end
+
+
+def later_docs(k: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows by group and then document: those of a later document than the group's first, and those of the first."""
+    begin = np.concatenate(([True], group[1:] != group[:-1]))
+    first = k == k[begin][np.cumsum(begin) - 1]
+    return ~first, first
+
+
+class _Held:
+    """Rows of a task, combined before they are shuffled. What the task's own rows decide is sent as sure, under a random hash; just the rows that
+    speak for their group go by its hash. So a hash that a third of all documents have sends a few rows from each chunk."""
+
+    def __init__(self, hashes: int):
+        self.n, self.rows, self.hashes = 0, [], hashes
+
+    def add(self, k: int, th: int, at: np.ndarray, *hs: np.ndarray) -> bool:
+        self.rows.append((np.full(len(at), k, np.int64), np.full(len(at), th, np.int64), at.astype(np.int32), *hs))
+        self.n += len(at)
+        return self.n >= CHUNK
+
+    def told(self, rule) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        k, th, p, *hs = (np.concatenate(c) for c in zip(*self.rows, strict=True))
+        self.n, self.rows = 0, []
+        order = np.lexsort((k, hs[0]))  # further hashes only tell apart the groups
+        k, th, p, hs = k[order], th[order], p[order], [h[order] for h in hs]
+        sure, speaks = rule(k, hs[0] if len(hs) == 1 else hs[0] ^ C.mix(hs[1]))
+        for rows, known in ((np.flatnonzero(sure), True), (np.flatnonzero(speaks), False)):
+            for a in range(0, len(rows), 50_000):
+                i = rows[a : a + 50_000]
+                spread = C.mix(k[i].view(np.uint64) ^ C.mix(p[i].astype(np.uint64) + np.uint64(0x5EED)))
+                keys = {name: _signed(C.mix(spread + np.uint64(j)) if known else h[i]) for j, (name, h) in enumerate(zip("xy", hs, strict=False))}
+                yield C.batch(**keys, _k=pa.array(k[i]), _th=pa.array(th[i]), p=pa.array(p[i]), sure=pa.array(np.full(len(i), known)))
+
+
 def removals(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_k, _th and the removed word ranges (bytes of u4 begin, end pairs) of the rows that lose words."""
     v, _ = cover(span)
     base = docs.select(F.col(id_col).cast("long").alias("_k"), F.xxhash64(F.col(text_col)).alias("_th"), F.col(text_col).alias("t")).where("_k is not null")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(1)
         for keys, ths, texts in C.rows_of(batches, "_k", "_th", "t"):
-            for a in range(0, len(keys), 200):
-                hs, ps, ks, tt = [], [], [], []
-                for k, th, t in zip(keys[a : a + 200], ths[a : a + 200], texts[a : a + 200], strict=True):
-                    at, h = anchors(C.word_hashes(C.words(t)), span) if t else ((), ())
-                    if len(at):
-                        hs.append(h)
-                        ps.append(at.astype(np.int32))
-                        ks.append(np.full(len(at), k, np.int64))
-                        tt.append(np.full(len(at), th, np.int64))
-                if hs:
-                    yield C.batch(h=_signed(np.concatenate(hs)), _k=pa.array(np.concatenate(ks)), _th=pa.array(np.concatenate(tt)), p=pa.array(np.concatenate(ps)))
-
-    # Both sides of the join read one exchange by hash.
-    found = base.mapInArrow(find, "h long, _k long, _th long, p int").repartition("h")
-    several = found.groupBy("h").agg(F.min("_k").alias("a"), F.max("_k").alias("b")).where("a < b").select("h")
-    marks = found.join(several, "h").groupBy("_k", "_th").agg(F.sort_array(F.collect_list("p")).alias("ps"))  # a document's own anchors alone
+            for k, th, t in zip(keys, ths, texts, strict=True):
+                at, h = anchors(C.word_hashes(C.words(t)), span) if t else ((), ())
+                if len(at) and held.add(k, th, at, h):
+                    yield from held.told(several_docs)
+        yield from held.told(several_docs)
+
+    # Both sides of the join read one exchange by hash: the aggregate names all columns, so that none is pruned on its side alone.
+    found = base.mapInArrow(find, "x long, _k long, _th long, p int, sure boolean").repartition("x")
+    several = found.groupBy("x").agg(*_ends()).where("(a < b or s) and c >= 0 and d is not null").select("x")
+    marks = found.join(several, "x").groupBy("_k", "_th").agg(F.sort_array(F.collect_set("p")).alias("ps"))  # a document's own anchors alone
     marks = C.saved(marks)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(2)
         for keys, ths, texts, marked in C.rows_of(batches, "_k", "_th", "t", "ps"):
-            for a in range(0, len(keys), 50):
-                cols: list[list] = [[], [], [], [], []]
-                for k, th, t, ps in zip(keys[a : a + 50], ths[a : a + 50], texts[a : a + 50], marked[a : a + 50], strict=True):
-                    x, y = _window_pair(C.word_hashes(C.words(t)), span)
-                    edge = np.zeros(len(x) + v + 1, np.int64)  # an anchor lies in the windows that start up to v - 1 before it
-                    p = np.array(ps)
-                    np.add.at(edge, np.maximum(0, p - v + 1), 1)
-                    np.add.at(edge, np.minimum(p + 1, len(x) + v), -1)
-                    at = np.flatnonzero(np.cumsum(edge)[: len(x)] > 0)
-                    for c, val in zip(cols, (x[at], y[at], np.full(len(at), k, np.int64), np.full(len(at), th, np.int64), at.astype(np.int32)), strict=True):
-                        c.append(val)
-                if sum(map(len, cols[0])):
-                    yield C.batch(x=_signed(np.concatenate(cols[0])), y=_signed(np.concatenate(cols[1])), _k=pa.array(np.concatenate(cols[2])), _th=pa.array(np.concatenate(cols[3])), p=pa.array(np.concatenate(cols[4])))
-
-    wins = base.join(C.small(marks), ["_k", "_th"]).mapInArrow(windows, "x long, y long, _k long, _th long, p int").repartition("x", "y")
-    first = wins.groupBy("x", "y").agg(F.min("_k").alias("a"), F.max("_k").alias("b")).where("a < b").select("x", "y", "a")
-    lost = wins.join(first, ["x", "y"]).where("_k > a").groupBy("_k", "_th").agg(F.collect_list("p").alias("ps"))
+            for k, th, t, ps in zip(keys, ths, texts, marked, strict=True):
+                x, y = _window_pair(C.word_hashes(C.words(t)), span)
+                edge = np.zeros(len(x) + v + 1, np.int64)  # an anchor lies in the windows that start up to v - 1 before it
+                p = np.array(ps)
+                np.add.at(edge, np.maximum(0, p - v + 1), 1)
+                np.add.at(edge, np.minimum(p + 1, len(x) + v), -1)
+                at = np.flatnonzero(np.cumsum(edge)[: len(x)] > 0)
+                if len(at) and held.add(k, th, at, x[at], y[at]):
+                    yield from held.told(later_docs)
+        yield from held.told(later_docs)
+
+    wins = base.join(C.small(marks), ["_k", "_th"]).mapInArrow(windows, "x long, y long, _k long, _th long, p int, sure boolean").repartition("x", "y")
+    first = wins.groupBy("x", "y").agg(*_ends()).where("(a < b or s) and c >= 0 and d is not null").select("x", "y", "a")
+    lost = wins.join(first, ["x", "y"]).where("_k > a or sure").groupBy("_k", "_th").agg(F.collect_list("p").alias("ps"))
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, ths, starts in C.rows_of(batches, "_k", "_th", "ps"):
