@@ -91,9 +91,8 @@ class _Held:
         k, th, p, *hs = (np.concatenate(c) for c in zip(*self.rows, strict=True))
         self.n, self.rows = 0, []
         order = np.lexsort((k, hs[0]))  # further hashes only tell apart the groups
-        k, th, p, hs = k[order], th[order], p[order], [h[order] for h in hs]
-        sure, speaks = rule(k, hs[0] if len(hs) == 1 else hs[0] ^ C.mix(hs[1]))
-        for rows, known in ((np.flatnonzero(sure), True), (np.flatnonzero(speaks), False)):
+        sure, speaks = rule(k[order], (hs[0] if len(hs) == 1 else hs[0] ^ C.mix(hs[1]))[order])
+        for rows, known in ((np.sort(order[sure]), True), (np.sort(order[speaks]), False)):  # by document again, which compresses better
             for a in range(0, len(rows), 50_000):
                 i = rows[a : a + 50_000]
                 spread = C.mix(k[i].view(np.uint64) ^ C.mix(p[i].astype(np.uint64) + np.uint64(0x5EED)))
@@ -117,8 +116,8 @@ def removals(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col
 
     # Both sides of the join read one exchange by hash: the aggregate names all columns, so that none is pruned on its side alone.
     found = base.mapInArrow(find, "x long, _k long, _th long, p int, sure boolean").repartition("x")
-    several = found.groupBy("x").agg(*_ends()).where("(a < b or s) and c >= 0 and d is not null").select("x")
-    marks = found.join(several, "x").groupBy("_k", "_th").agg(F.sort_array(F.collect_set("p")).alias("ps"))  # a document's own anchors alone
+    several = found.groupBy("x").agg(*_ends()).where("(a < b or s) and c >= 0 and d is not null").select("x", "c")
+    marks = found.join(several, "x").where("sure or c >= 0").groupBy("_k", "_th").agg(F.sort_array(F.collect_set("p")).alias("ps"))  # a document's own anchors alone
     marks = C.saved(marks)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
