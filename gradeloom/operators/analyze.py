@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import exprs as X
 
+from .ranks import ranked
+
 OK = "_ok"
 
 
@@ -91,8 +93,10 @@ def finish_matrix(df: DataFrame) -> DataFrame:
 
 def case_numbers(df: DataFrame) -> DataFrame:
     """Incorrect rows numbered within their dataset."""
-    w = Window.partitionBy("dataset").orderBy("_pos")
-    return flagged(df).where(~F.col(OK)).withColumn("case_number", F.row_number().over(w).cast("long"))
+    rows = flagged(df).where(~F.col(OK))
+    span = rows.agg(F.min("_pos").alias("a"), F.max("_pos").alias("b")).first()
+    low, width = (span["a"] or 0), max(1, ((span["b"] or 0) - (span["a"] or 0)) // 1000)
+    return ranked(rows, "dataset", F.floor((F.col("_pos") - low) / width), [F.col("_pos")], "case_number")
 
 
 def occurrence_join(predictions: DataFrame, generations: DataFrame) -> DataFrame:

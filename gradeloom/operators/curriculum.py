@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions import exprs as X
 
 from .analyze import OK, flagged, with_ratio
+from .ranks import ranked as number_rows
 
 
 def annotated(predictions: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -22,8 +23,8 @@ def ranked(rows: DataFrame, seed: int) -> DataFrame:
     out = rows.withColumn("pool", stage)
     # only pools that are sampled are ranked; the others pass by
     sampled = F.col("pool").isin("group_1_2", "group_3", "group_4")
-    w = Window.partitionBy("pool").orderBy(X.seeded(seed, F.col("index")), F.col("index").cast("string"))
-    drawn = out.where(sampled).withColumn("rank", F.row_number().over(w).cast("long"))
+    h = X.seeded(seed, F.col("index"))
+    drawn = number_rows(out.where(sampled), "pool", F.substring(h, 1, 4), [h, F.col("index").cast("string")], "rank")
     return drawn.unionByName(out.where(~sampled).withColumn("rank", F.lit(0).cast("long")))
 
 
