@@ -27,7 +27,7 @@ from .components import components
 
 HASHES, ROWS, STEP = 96, 4, 16
 THRESHOLD, TOLERANCE = 0.8, 1e-7
-BLOCK = 2048
+BLOCK = 512
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
