@@ -35,7 +35,7 @@ HEAD = struct.Struct("<4sHBBQQII")
 NO_ID = -(1 << 63)
 BLOCK_IDS = 1 << 16
 SHARD_TEXT_BYTES = 24 << 20
-SHARD_IDS = 12 << 20
+SHARD_IDS = 6 << 20
 
 
 def bits_of(vocabulary: int) -> int:
