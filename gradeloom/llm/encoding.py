@@ -20,7 +20,7 @@ _UNSAFE = re.compile(r"\s \s|\s \Z")
 
 
 class Encoder:
-    def __init__(self, path: str, cached: int = 1_500_000):
+    def __init__(self, path: str, cached: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
