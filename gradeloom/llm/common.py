@@ -7,6 +7,7 @@ the encoded text equals splitting the code points.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -110,11 +111,23 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     return np.unique(window_hashes(h, min(n, len(h))) + np.uint64(min(n, len(h))))
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+
+
+def release() -> None:
+    """Gives freed memory back to the system. A worker that waits for its next task would keep it, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
-    """The named columns of each batch as lists."""
+    """The named columns of each batch as lists; at the end, memory of earlier batches is released."""
     for b in batches:
         if b.num_rows:
             yield tuple(b.column(b.schema.get_field_index(n)).to_pylist() for n in names)
+    b = None
+    release()
 
 
 def batch(**columns) -> pa.RecordBatch:
