@@ -19,8 +19,12 @@ _PUNCTUATION = "!#$%&*,.:;?|"
 _UNSAFE = re.compile(r"\s \s|\s \Z")
 
 
+#: Chunks that a worker remembers, about 240 bytes each.
+CACHED = 1_200_000
+
+
 class Encoder:
-    def __init__(self, path: str, cached: int = 1_200_000):
+    def __init__(self, path: str, cached: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -125,8 +129,9 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file and process."""
+def encoder(path: str, cached: int = CACHED) -> Encoder:
+    """One encoder for each file and process, which remembers at most about ``cached`` chunks."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].cached = cached
     return _encoders[path]

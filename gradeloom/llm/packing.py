@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .encoding import encoder
+from .encoding import CACHED, encoder
 
 WINDOW = 2048
 SEGMENT = 512
@@ -29,11 +29,11 @@ SEGMENT = 512
 MAX_SOURCES = 100_000
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str, source_col: str, cached: int = CACHED) -> DataFrame:
     """_id, _src, _th, n and the compressed ids of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, squeeze = encoder(tokenizer), zstandard.ZstdCompressor(1)
+        enc, squeeze = encoder(tokenizer, cached), zstandard.ZstdCompressor(1)
         tail = np.array([] if end_id is None else [end_id], enc.dtype).tobytes()
         for keys, sources, hashes, texts in C.rows_of(batches, "_id", "_src", "_th", "t"):
             for a in range(0, len(keys), 500):
@@ -47,7 +47,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, te
     return cols.mapInArrow(run, "_id long, _src string, _th long, n long, z binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int = WINDOW, shares: dict | None = None, segment: int = SEGMENT, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int = WINDOW, shares: dict | None = None, segment: int = SEGMENT, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cached: int = CACHED) -> DataFrame:
     """Packs every row into windows of ``window`` ids; returns a row for each piece.
 
     Columns: doc_id, start (ids of the row before the piece), length, ids_crc32, doc_tokens, sequence_id, offset,
@@ -55,12 +55,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int =
     all queues end together); a source without one shares what is left by its ids. A null text is empty
     and has its end id alone, a null source is a queue of its own, rows that repeat are packed each, an
     empty table gives no rows, other columns are ignored. Windows are numbered from 0 and full but for the last.
+    ``cached`` bounds what a worker remembers of the tokenizer's results; it trades memory for time and changes no row.
 
     Ids are made once and stored, compressed; orders and cuts are found on narrow rows; the cuts are then joined to the ids.
     Sums run over buckets (square roots of the counts), never over a whole source or stream in one task.
     """
     spark = docs.sparkSession
-    coded = C.saved(encoded(docs, tokenizer, end_id, id_col, text_col, source_col).withColumn("_row", F.monotonically_increasing_id()), "none")
+    coded = C.saved(encoded(docs, tokenizer, end_id, id_col, text_col, source_col, cached).withColumn("_row", F.monotonically_increasing_id()), "none")
     stats = coded.groupBy("_src").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).limit(MAX_SOURCES + 1).collect()
     if len(stats) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
@@ -87,7 +88,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int =
     cuts = C.saved(cuts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, expand = encoder(tokenizer), zstandard.ZstdDecompressor()
+        enc, expand = encoder(tokenizer, cached), zstandard.ZstdDecompressor()
         for keys, sources, ns, zs, plans in C.rows_of(batches, "_id", "_src", "n", "z", "segs"):
             out: list[tuple] = []
             for key, source, n, z, plan in zip(keys, sources, ns, zs, plans, strict=True):
