@@ -49,7 +49,8 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
 
-CHUNK = 1_000_000
+#: Rows that a task holds to combine them; at most about 30 MB with what sorting takes.
+CHUNK = 250_000
 
 
 def _ends() -> list:
