@@ -64,6 +64,14 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if file_bytes(df) <= limit else df
 
 
+def text_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Has Arrow batches of ``rows`` rows, where the session has Spark's default of 10,000: whole texts are long, and the JVM and the
+    worker of every running task each hold a batch. A session that sets another size keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of a text column."""
     r = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text))).alias("b")).first()

@@ -122,6 +122,7 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     other sets. A text of one to four words is one shingle. Rows without words (null, empty) or with a null id are alone: n_links 0, and
     class_id is their own id. Rows that repeat count as rows. An empty table gives no rows; other columns are ignored.
     """
+    C.text_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("_k"), F.xxhash64(F.col(text_col)).alias("_th"), F.col(text_col).alias("t"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,6 +61,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int =
     Sums run over buckets (square roots of the counts), never over a whole source or stream in one task.
     """
     spark = docs.sparkSession
+    C.text_batches(spark)
     coded = C.saved(encoded(docs, tokenizer, end_id, id_col, text_col, source_col, cached).withColumn("_row", F.monotonically_increasing_id()), "none")
     stats = coded.groupBy("_src").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).limit(MAX_SOURCES + 1).collect()
     if len(stats) > MAX_SOURCES:

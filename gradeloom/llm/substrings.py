@@ -104,6 +104,7 @@ class _Held:
 def removals(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_k, _th and the removed word ranges (bytes of u4 begin, end pairs) of the rows that lose words."""
     v, _ = cover(span)
+    C.text_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("_k"), F.xxhash64(F.col(text_col)).alias("_th"), F.col(text_col).alias("t")).where("_k is not null")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
