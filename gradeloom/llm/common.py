@@ -8,6 +8,7 @@ the encoded text equals splitting the code points.
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 import tempfile
 import uuid
@@ -123,7 +124,8 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
 
 
 def release() -> None:
-    """Gives freed memory back to the system. A worker that waits for its next task would keep it, beside the JVM."""
+    """Turns the collector on and gives freed memory back to the system. A worker that waits for its next task would keep it, beside the JVM."""
+    gc.enable()
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)
