@@ -1,8 +1,9 @@
 """Main text of web pages, with removal of site templates.
 
-Element subtrees are hashed (tag and texts), and counted per host in Spark, each page once. A subtree
-that recurs on many pages of its host is template and is deleted wherever it stands outside of the page's
-article. Elements that their tag, role or class says are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+Element subtrees are hashed (tag and texts), and counted per host in Spark, once for each distinct main part (article, else
+main, else page), so that copies of a page count once. A subtree that recurs with many main parts of its host is template and is deleted
+wherever it stands; within an article that holds for containers (WRAPPERS) alone, as sentences and headings there may be copied
+between pages. A page keeps its text if nothing else would be left. Elements that their tag, role or class says are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles or reader comments go too, wherever they stand.
 """
 
@@ -32,6 +33,8 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 GONE = frozenset("head script style noscript template iframe nav footer aside form button select textarea input object embed svg canvas dialog title noembed noframes menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+#: Containers that a template may be within an article.
+WRAPPERS = frozenset("address article center details div dl fieldset figure header hgroup ol section table ul".split())
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice notices notification overlay popup promo promotion related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 #: A start tag ends an open element of these kinds, if no element of the second set lies between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -155,20 +158,22 @@ def article_of(root: Node) -> list[Node]:
     return found
 
 
-def template_candidates(page: str | None) -> set[int]:
-    """Hashes of the subtrees with text outside of the article."""
+def template_candidates(page: str | None) -> tuple[int, set[int]]:
+    """Hash of the main part, and hashes of the subtrees with text: outside of the article all, within it the containers."""
     if not page:
-        return set()
+        return 0, set()
     root, out = parse(page), set()
-    own, stack = set(map(id, article_of(root))), [root]
+    own = article_of(root)
+    ids, stack = set(map(id, own)), [(root, False)]
     while stack:
-        x = stack.pop()
-        if id(x) in own or x.tag in ("script", "style"):
+        x, inside = stack.pop()
+        if x.tag in ("script", "style"):
             continue
-        if x.tag not in ("#root", "html", "body", "head") and (h := digest(x)):
+        mine = id(x) in ids
+        if not mine and (x.tag in WRAPPERS if inside else x.tag not in ("#root", "html", "body", "head")) and (h := digest(x)):
             out.add(h)
-        stack += [c for c in x.children if isinstance(c, Node)]
-    return out
+        stack += [(c, inside or mine) for c in x.children if isinstance(c, Node)]
+    return xxhash.xxh3_64_intdigest("\0".join(f"{digest(x):x}" for x in own or [root])), out
 
 
 def main_text(page: str | None, templates: set[int] | frozenset = frozenset()) -> str:
@@ -179,6 +184,7 @@ def main_text(page: str | None, templates: set[int] | frozenset = frozenset()) -
     own = article_of(root)
     blocks: list[str] = []
     line: list[str] = []
+    cut = templates
 
     def end() -> None:
         if t := " ".join("".join(line).split()):
@@ -191,7 +197,7 @@ def main_text(page: str | None, templates: set[int] | frozenset = frozenset()) -
                 line.append(html.unescape(c))
             elif c.tag == "br":
                 line.append(" ")
-            elif not unwanted(c, inside) and (inside or not templates or digest(c) not in templates):
+            elif not unwanted(c, inside) and not (cut and (not inside or c.tag in WRAPPERS) and digest(c) in cut):
                 block = c.tag in BLOCK
                 if block:
                     end()
@@ -199,9 +205,15 @@ def main_text(page: str | None, templates: set[int] | frozenset = frozenset()) -
                 if block:
                     end()
 
-    for x in own or [root]:
-        walk(x, bool(own))
-        end()
+    def take() -> None:
+        for x in own or [root]:
+            walk(x, bool(own))
+            end()
+
+    take()
+    if cut and not blocks:  # no template, but all that the page says
+        cut = frozenset()
+        take()
     return "\n\n".join(blocks)
 
 
@@ -227,18 +239,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), _HOST, 1), F.lit(""))
     base = pages.select(F.col(id_col).cast("long").alias("k"), F.col(url_col).alias("u"), host.alias("host"), F.col(html_col).alias("t"))
 
+    signed = lambda d: d - (1 << 64 if d >> 63 else 0)
+
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hosts, texts in C.rows_of(batches, "host", "t"):
             hs: list[str] = []
             ds: list[int] = []
+            ms: list[int] = []
             for x, t in zip(hosts, texts, strict=True):
-                got = _deep(template_candidates, t)
-                ds += [d - (1 << 64 if d >> 63 else 0) for d in got]
+                part, got = _deep(template_candidates, t)
+                ds += [signed(d) for d in got]
+                ms += [signed(part)] * len(got)
                 hs += [x] * len(got)
-            yield C.batch(host=pa.array(hs, pa.string()), d=pa.array(ds, pa.int64()))
+            yield C.batch(host=pa.array(hs, pa.string()), d=pa.array(ds, pa.int64()), m=pa.array(ms, pa.int64()))
 
     sizes = base.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    counts = base.select("host", "t").mapInArrow(candidates, "host string, d long").groupBy("host", "d").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_pages)
+    counts = base.select("host", "t").mapInArrow(candidates, "host string, d long, m long").distinct().groupBy("host", "d").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_pages)
     kept = counts.join(sizes, "host").where(F.col("c") >= least_share * F.col("n")).groupBy("host").agg(F.collect_list("d").alias("ds"))
     joined = base.join(C.small(C.saved(kept)), "host", "left")
 

@@ -348,6 +348,17 @@ def test_site_templates(spark):
     assert out[3] == "story 3 text" and out[99] == "Hot offers all day"
 
 
+def test_templates_within_articles(spark):
+    box = "<div><p>More from us</p><ul><li>All stories</li></ul></div>"
+    rows = [(i, f"http://h.example/{i}", f"<body><article><h1>Story</h1><p>Same words.</p><p>Text {i}.</p>{box}</article></body>") for i in range(20)]
+    copied = "<div>Own words of one page.</div>"  # the same page under several addresses
+    rows += [(100 + i, f"http://h.example/c{i}", f"<body><nav>{i}</nav><article>{copied}</article></body>") for i in range(5)]
+    rows += [(200, "http://h.example/only", f"<body><article>{box}</article></body>")]
+    out = {r["page_id"]: r["text"] for r in html_pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[7] == "Story\n\nSame words.\n\nText 7."
+    assert out[102] == "Own words of one page." and out[200] == "More from us\n\nAll stories"
+
+
 def test_pages(spark):
     out = {r["page_id"]: r["text"] for r in html_pages.op8_html_pages(spark, DATA).collect()}
     import html
