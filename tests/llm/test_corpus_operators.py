@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on real rows and on rows made to be awkward."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -396,6 +397,16 @@ def test_kneser_ney_is_normalised():
         assert abs(np.exp(m.logs(np.array([a * v.size + b for b in range(4)]))).sum() - 1) < 1e-5
 
 
+def test_small_languages_have_words_of_their_own(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(f"w{rnd.randrange(3000)}" for _ in range(200)), "en") for i in range(400)]
+    rows += [(1000 + i, " ".join(f"x{rnd.randrange(40)}" for _ in range(60)), "xx") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    v = quality.fit(df, vocabulary=50).vocabulary
+    assert len(v.hashes["xx"]) == 40 and len(v.hashes["en"]) >= math.isqrt(400 * 200)
+    assert all(r["low"] is not None for r in quality.quality(df, vocabulary=50).collect())
+
+
 def test_bands_reject_junk_and_keep_clean(spark):
     rnd = random.Random(8)
     clean = [f"w{int(rnd.paretovariate(0.5)) % 3000}" for _ in range(400 * 150)]
