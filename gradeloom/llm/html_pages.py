@@ -1,7 +1,7 @@
 """Main text of web pages, with removal of site templates.
 
 Element subtrees are hashed (tag and texts), and counted per host in Spark, once for each distinct main part (article, else
-main, else page), so that copies of a page count once. A subtree that recurs with many main parts of its host is template and is deleted
+main, else page), so that copies of a page count once. A subtree that recurs with LEAST_PAGES main parts of its host, however large the host, is template and is deleted
 wherever it stands; within an article that holds for containers (WRAPPERS) alone, as sentences and headings there may be copied
 between pages. A page keeps its text if nothing else would be left. Elements that their tag, role or class says are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles or reader comments go too, wherever they stand.
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: A template's least pages, and least share of its host's pages.
-LEAST_PAGES, LEAST_SHARE = 3, 0.01
+#: Main parts of a host that a template stands with at least.
+LEAST_PAGES = 3
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -158,11 +158,13 @@ def article_of(root: Node) -> list[Node]:
     return found
 
 
-def template_candidates(page: str | None) -> tuple[int, set[int]]:
-    """Hash of the main part, and hashes of the subtrees with text: outside of the article all, within it the containers."""
+def template_candidates(page: str | None) -> tuple[int, dict[int, bool]]:
+    """Hash of the main part, and hashes of the subtrees with text: outside of the article all, within it the containers. A subtree's
+    value tells whether it may be part of the text, so that :func:`main_text` asks whether it is a template."""
+    out: dict[int, bool] = {}
     if not page:
-        return 0, set()
-    root, out = parse(page), set()
+        return 0, out
+    root = parse(page)
     own = article_of(root)
     ids, stack = set(map(id, own)), [(root, False)]
     while stack:
@@ -171,7 +173,7 @@ def template_candidates(page: str | None) -> tuple[int, set[int]]:
             continue
         mine = id(x) in ids
         if not mine and (x.tag in WRAPPERS if inside else x.tag not in ("#root", "html", "body", "head")) and (h := digest(x)):
-            out.add(h)
+            out[h] = out.get(h, False) or inside or not own
         stack += [(c, inside or mine) for c in x.children if isinstance(c, Node)]
     return xxhash.xxh3_64_intdigest("\0".join(f"{digest(x):x}" for x in own or [root])), out
 
@@ -229,45 +231,39 @@ def _deep(f, *args):
         sys.setrecursionlimit(limit)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of each row. A null or empty page has an empty text; a null url is a host of its own; rows
-    that repeat are pages each; an empty table gives no rows; other columns are ignored.
+    that repeat count once for templates; an empty table gives no rows; other columns are ignored.
 
-    Subtrees are counted per host with partial sums; a host keeps at most (subtrees of a page) / least_share templates, however many pages it has, and these
-    few per host are broadcast up to a checked size, else joined by host.
+    Subtrees are counted per host with partial sums. Templates meet the subtrees by host and hash, and what a page has of them
+    meets the page by a hash of host and page, so that a host may have any number of templates. Either is broadcast up to a checked size, else joined by a shuffle.
     """
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col)), _HOST, 1), F.lit(""))
-    base = pages.select(F.col(id_col).cast("long").alias("k"), F.col(url_col).alias("u"), host.alias("host"), F.col(html_col).alias("t"))
+    base = pages.select(F.col(id_col).cast("long").alias("k"), F.col(url_col).alias("u"), host.alias("host"), F.col(html_col).alias("t")).withColumn("p", F.xxhash64("host", "t"))
+
+    def keyed(host: str, d: int) -> int:
+        """A subtree's hash made one of its host; the same again undoes it."""
+        return d ^ xxhash.xxh3_64_intdigest(host)
 
     signed = lambda d: d - (1 << 64 if d >> 63 else 0)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hosts, texts in C.rows_of(batches, "host", "t"):
-            hs: list[str] = []
-            ds: list[int] = []
-            ms: list[int] = []
-            for x, t in zip(hosts, texts, strict=True):
+        for ps, hosts, texts in C.rows_of(batches, "p", "host", "t"):
+            rows: list[tuple] = []
+            for p, x, t in zip(ps, hosts, texts, strict=True):
                 part, got = _deep(template_candidates, t)
-                ds += [signed(d) for d in got]
-                ms += [signed(part)] * len(got)
-                hs += [x] * len(got)
-            yield C.batch(host=pa.array(hs, pa.string()), d=pa.array(ds, pa.int64()), m=pa.array(ms, pa.int64()))
+                rows += [(p, signed(keyed(x, d)), signed(part), asked) for d, asked in got.items()]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield C.batch(p=pa.array(cols[0], pa.int64()), d=pa.array(cols[1], pa.int64()), m=pa.array(cols[2], pa.int64()), asked=pa.array(cols[3], pa.bool_()))
 
-    sizes = base.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    counts = base.select("host", "t").mapInArrow(candidates, "host string, d long, m long").distinct().groupBy("host", "d").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_pages)
-    kept = counts.join(sizes, "host").where(F.col("c") >= least_share * F.col("n")).groupBy("host").agg(F.collect_list("d").alias("ds"))
-    joined = base.join(C.small(C.saved(kept)), "host", "left")
+    found = C.saved(base.mapInArrow(candidates, "p long, d long, m long, asked boolean"))
+    templates = found.select("d", "m").distinct().groupBy("d").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_pages).select("d")
+    hits = found.where("asked").select("p", "d").join(C.small(C.saved(templates)), "d").groupBy("p").agg(F.collect_set("d").alias("ds"))  # a page's own subtrees alone
+    joined = base.join(C.small(C.saved(hits)), "p", "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[str, frozenset] = {}
         for keys, urls, hosts, raw, ds in C.rows_of(batches, "k", "u", "host", "t", "ds"):
-            out = []
-            for x, t, d in zip(hosts, raw, ds, strict=True):
-                if x not in sets:
-                    if len(sets) > 1000:
-                        sets.clear()
-                    sets[x] = frozenset(v & 0xFFFFFFFFFFFFFFFF for v in d or ())
-                out.append(_deep(main_text, t, sets[x]))
+            out = [_deep(main_text, t, frozenset(keyed(x, v & 0xFFFFFFFFFFFFFFFF) for v in d or ())) for x, t, d in zip(hosts, raw, ds, strict=True)]
             yield C.batch(page_id=pa.array(keys, pa.int64()), url=pa.array(urls, pa.string()), text=pa.array(out, pa.string()), n_chars=pa.array([len(t) for t in out], pa.int64()))
 
     return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long")

@@ -360,6 +360,16 @@ def test_templates_within_articles(spark):
     assert out[102] == "Own words of one page." and out[200] == "More from us\n\nAll stories"
 
 
+def test_templates_of_large_and_small_hosts(spark):
+    note = "<div>Section notice</div>"
+    rows = [(i, f"http://hot.example/{i}", f"<body><div>story {i}</div>{note if i < 4 else ''}</body>") for i in range(600)]
+    rows += [(1000 + i, "http://small.example/", "<body><div>The one page</div></body>") for i in range(3)]  # the same row, thrice
+    rows += [(2000 + i, f"http://lists.example/{i}", f"<body><div>All {x}</div></body>") for i, x in enumerate("aaab")]
+    out = {r["page_id"]: r["text"] for r in html_pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[2] == "story 2" and out[500] == "story 500"
+    assert out[1001] == "The one page" and out[2000] == "All a"
+
+
 def test_pages(spark):
     out = {r["page_id"]: r["text"] for r in html_pages.op8_html_pages(spark, DATA).collect()}
     import html
