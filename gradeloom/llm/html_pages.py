@@ -1,10 +1,13 @@
-"""Main text of web pages, with removal of site templates.
+"""Main text of web pages by removal of site templates.
 
-Element subtrees are hashed (tag and texts), and counted per host in Spark, once for each distinct main part (article, else
-main, else page), so that copies of a page count once. A subtree that recurs with LEAST_PAGES main parts of its host, however large the host, is template and is deleted
-wherever it stands; within an article that holds for containers (WRAPPERS) alone, as sentences and headings there may be copied
-between pages. A page keeps its text if nothing else would be left. Elements that their tag, role or class says are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments go too, wherever they stand.
+The subtrees of containers (CONTAINERS) are hashed by tag and texts and counted per host in Spark: a subtree that stands with LEAST_PAGES
+different main parts of its host is template, however large the host, and is deleted wherever it stands, within an article too. A main part is the page's articles, else its
+main element, else what the page says beside the container; equal ones count once, so that copies of a page make no template. Sentences and headings are no
+containers: pages may copy these from each other, and they stay. What is left is the text: of the articles, else of the main element, else of the
+page. Tags, roles and a few unambiguous class words say what else is no text (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, reader comments) where a host has too few pages to count.
+
+A page is read in time linear in its length, and no step recurses.
 """
 
 from __future__ import annotations
@@ -23,217 +26,300 @@ from . import common as C
 #: Main parts of a host that a template stands with at least.
 LEAST_PAGES = 3
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+#: A tag whose quoted values hold neither < nor >; it looks no further than the next of these.
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*+)([^<>\"']*+(?:\"[^\"<>]*+\"[^<>\"']*+|'[^'<>]*+'[^<>\"']*+)*+)>")
+_TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
+_ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 _HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 GONE = frozenset("head script style noscript template iframe nav footer aside form button select textarea input object embed svg canvas dialog title noembed noframes menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-#: Containers that a template may be within an article.
-WRAPPERS = frozenset("address article center details div dl fieldset figure header hgroup ol section table ul".split())
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice notices notification overlay popup promo promotion related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
-#: A start tag ends an open element of these kinds, if no element of the second set lies between.
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-
-
-class Node:
-    __slots__ = ("attrs", "children", "digest", "tag")
-
-    def __init__(self, tag: str, attrs: str):
-        self.tag, self.attrs, self.children, self.digest = tag, attrs, [], None
-
-
-def parse(page: str) -> Node:
-    """A tree of the page's elements; texts are undecoded strings between them. Never fails; what is not a tag is text."""
-    root = Node("#root", "")
-    stack, at, n = [root], 0, len(page)
+#: What may be a template; paragraphs, headings and the like never are by themselves.
+CONTAINERS = frozenset("address article aside center details dialog div dl fieldset figure footer form header hgroup menu nav ol section table ul".split())
+#: Class words that no article text has, in any element.
+ADVERTS = frozenset("ad ads adsbygoogle adsense advert advertisement advertising adverts".split())
+#: Class words that tell a container's purpose, by themselves or with each other and with PLACES ("cookie-notice", "share-buttons").
+PURPOSES = ADVERTS | frozenset("breadcrumb breadcrumbs comment comments disqus gdpr modal nav navbar navigation newsletter popup sidebar signup sponsored subscribe toolbar".split())
+#: These do so outside of the article alone, or with another word of a purpose or place.
+OUTSIDE = frozenset("banner consent cookie cookies footer header menu notice notices overlay promo promotion respond share sharing social sponsor widget widgets".split())
+PLACES = frozenset("area bar block bottom box button buttons container fixed form global icons inline inner item items left link links list main message page panel primary right row secondary section site slot sticky text thread top unit up wrap wrapper".split())
+#: A start tag ends an open element of the first set, if none of the second was opened since.
+ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
+
+
+class Page:
+    """A page's elements and texts in page order. Item i is an element (``tag``, ``attrs``) or a text (tag "", the text in
+    ``attrs``); its subtree is items i .. ``ends[i]`` - 1. Item 0 is the root."""
+
+    __slots__ = ("attrs", "ends", "parents", "tags")
+
+    def __init__(self, page: str):
+        """Never fails; what is not a tag is text."""
+        tags, attrs, parents, ends = [""], [""], [-1], [0]
+        self.tags, self.attrs, self.parents, self.ends = tags, attrs, parents, ends
+        tags[0] = "#root"
+        stack, where = [0], {}  # open elements, and for each tag the places in the stack of its open ones
+        at, n, last = 0, len(page), page.rfind(">")
+
+        def text(t: str) -> None:
+            if t:
+                tags.append("")
+                attrs.append(t)
+                parents.append(stack[-1])
+                ends.append(len(tags))
+
+        def close_to(depth: int) -> None:
+            """Closes the open elements from this place of the stack on."""
+            while len(stack) > depth:
+                i = stack.pop()
+                where[tags[i]].pop()
+                ends[i] = len(tags)
+
+        while at < n:
+            i = page.find("<", at)
+            if i < 0 or i > last:  # no tag ends any more
+                j = page.find("<!--", at) if i >= 0 else -1
+                text(page[at:j] if j >= 0 else page[at:])
+                break
+            text(page[at:i])
+            m = _PLAIN_TAG.match(page, i)
+            if m:
+                slash, tag, attr = m.groups()
+                at = m.end()
+            elif page.startswith("<!--", i):
+                j = page.find("-->", i + 4)
+                at = j + 3 if j >= 0 else n
+                continue
+            elif page.startswith("<![CDATA[", i):
+                j = page.find("]]>", i)
+                text(html.escape(page[i + 9 : j if j >= 0 else n], quote=False))
+                at = j + 3 if j >= 0 else n
+                continue
+            elif page.startswith(("<!", "<?"), i):
+                at = page.find(">", i) + 1
+                continue
+            elif m := _TAG_NAME.match(page, i):
+                slash, tag = m.groups()
+                at = _tag_end(page, m.end(), last)
+                attr = page[m.end() : at - 1]
+            else:
+                text("<")
+                at = i + 1
+                continue
+            tag = tag.lower()
+            if slash:
+                if where.get(tag):
+                    close_to(where[tag][-1])
+                continue
+            if tag in BLOCK and where.get("p"):
+                close_to(where["p"][-1])
+            if tag in ENDS:
+                close, until = ENDS[tag]
+                d = max((where[x][-1] for x in close if where.get(x)), default=-1)
+                if d > max((where[x][-1] for x in until if where.get(x)), default=-1):
+                    close_to(d)
+            tags.append(tag)
+            attrs.append(attr)
+            parents.append(stack[-1])
+            ends.append(len(tags))
+            if tag in VOID or attr.endswith("/"):
+                continue
+            stack.append(len(tags) - 1)
+            where.setdefault(tag, []).append(len(stack) - 1)
+            if tag in RAW:
+                m = _RAW_END[tag].search(page, at)
+                text(page[at : m.start() if m else n])
+                at = m.end() if m else n
+                close_to(len(stack) - 1)
+        close_to(1)
+        ends[0] = len(tags)
+
+
+def _tag_end(page: str, at: int, last: int) -> int:
+    """Where a tag ends whose name ends at ``at``: after the first > that is not in a quoted value, or the first at all if quotes don't close."""
+    first = page.find(">", at) + 1
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        at = page.find(m[0], m.end()) + 1
+        if not 0 < at <= last:
+            break
+    return first
 
-    def close(tags: set, limits: set | frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in limits:
-                return
 
-    while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            stack[-1].children.append(page[at:])
-            break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        slash, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(html.escape(m[0][9:].removesuffix("]]>"), quote=False))
-            continue
-        tag = tag.lower()
-        if slash:
-            if any(x.tag == tag for x in stack):
-                while stack[-1].tag != tag:
-                    stack.pop()
-                stack.pop()
-            continue
-        if tag in BLOCK:
-            close({"p"}, BLOCK - {"p"})
-        if tag in ENDS:
-            close(*ENDS[tag])
-        node = Node(tag, attrs)
-        stack[-1].children.append(node)
-        if tag in VOID or attrs.endswith("/"):
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            node.children.append(page[at : end.start() if end else n])
-            at = end.end() if end else n
-            continue
-        stack.append(node)
-    return root
+def _attributes(attrs: str) -> dict[str, str]:
+    return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)} if attrs.strip(" /") else {}
 
 
-def _attributes(node: Node) -> dict[str, str]:
-    return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(node.attrs)} if node.attrs.strip(" /") else {}
+def _says(name: str, inside: bool) -> bool:
+    """Whether a class or id tells the purpose of a container that is no text."""
+    parts = [p for p in _PARTS.split(name) if p and not p.isdigit()]
+    if not parts or not all(p in PURPOSES or p in OUTSIDE or p in PLACES for p in parts):
+        return False
+    told = sum(p in PURPOSES for p in parts)
+    return told > 0 or (any(p in OUTSIDE for p in parts) and (not inside or len(parts) > 1))
 
 
-def unwanted(node: Node, in_article: bool) -> bool:
-    """Whether tag, role, class or id say that an element is no part of the article."""
-    if node.tag in GONE or (node.tag == "header" and not in_article):
+def unwanted(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether tag, role, class or id say that an element is no part of the text; ``inside``: of an article or main element."""
+    if tag in GONE or (tag == "header" and not inside):
         return True
-    a = _attributes(node)
+    a = _attributes(attrs)
     if not a:
         return False
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", "")):
         return True
     if a.get("role", "").lower() in ROLES:
         return True
-    if node.tag in ("html", "body", "main") or (node.tag == "article" and not in_article and "comment" not in a.get("class", "").lower()):
+    if tag in ("html", "body", "main"):
         return False
-    parts = set(_PARTS.split(f"{a.get('class', '')} {a.get('id', '')}".lower()))
-    return bool(parts & MARKS) or (not in_article and "header" in parts)
-
-
-def digest(node: Node) -> int:
-    """Hash of an element's tag and, in order, its texts and child elements; 0 for one without text."""
-    if node.digest is None:
-        parts = []
-        for c in node.children:
-            if isinstance(c, str):
-                if t := " ".join(c.split()):
-                    parts.append(t)
-            elif c.tag not in ("script", "style") and digest(c):
-                parts.append(f"\0{c.digest:x}")
-        node.digest = (xxhash.xxh3_64_intdigest(f"{node.tag}\0" + "\0".join(parts)) or 1) if parts else 0
-    return node.digest
-
-
-def _elements(node: Node) -> Iterator[Node]:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        yield x
-        stack += [c for c in x.children if isinstance(c, Node)]
-
-
-def article_of(root: Node) -> list[Node]:
+    names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
+    if any(x in ADVERTS for x in names):
+        return True
+    if tag == "article":
+        return any(x.startswith("comment") for x in names)
+    return tag in CONTAINERS and any(_says(x, inside) for x in names)
+
+
+def digests(page: Page) -> list[int]:
+    """For each item a hash of its tag and, in order, its texts and child elements; 0 for one without text, for texts, scripts and styles."""
+    tags, attrs, parents = page.tags, page.attrs, page.parents
+    out, held = [0] * len(tags), [None] * len(tags)
+    for i in range(len(tags) - 1, 0, -1):
+        if not tags[i]:
+            said = " ".join(attrs[i].split())
+        elif held[i] and tags[i] not in ("script", "style"):
+            out[i] = xxhash.xxh3_64_intdigest(f"{tags[i]}\0" + "\0".join(reversed(held[i]))) or 1
+            said = f"\0{out[i]:x}"
+        else:
+            said = ""
+        held[i] = None
+        if said:
+            p = parents[i]
+            if held[p] is None:
+                held[p] = [said]
+            else:
+                held[p].append(said)
+    return out
+
+
+def _top(page: Page, tag: str) -> list[int]:
+    """The outermost wanted elements of a kind."""
+    out, i, tags = [], 1, page.tags
+    while i < len(tags):
+        if not tags[i]:
+            i += 1
+        elif unwanted(tags[i], page.attrs[i], False):
+            i = page.ends[i]
+        elif tags[i] == tag or (tag == "main" and "role" in page.attrs[i] and _attributes(page.attrs[i]).get("role") == "main"):
+            out.append(i)
+            i = page.ends[i]
+        else:
+            i += 1
+    return out
+
+
+def articles(page: Page) -> list[int]:
     """The wanted article elements of a page, else its main element, else nothing."""
-    found: list[Node] = []
-
-    def seek(node: Node, tag: str) -> None:
-        for c in node.children:
-            if isinstance(c, Node) and not unwanted(c, False):
-                if c.tag == tag or (tag == "main" and _attributes(c).get("role") == "main"):
-                    found.append(c)
-                else:
-                    seek(c, tag)
-
-    seek(root, "article")
-    if not found:
-        seek(root, "main")
-    return found
-
-
-def template_candidates(page: str | None) -> tuple[int, dict[int, bool]]:
-    """Hash of the main part, and hashes of the subtrees with text: outside of the article all, within it the containers. A subtree's
-    value tells whether it may be part of the text, so that :func:`main_text` asks whether it is a template."""
-    out: dict[int, bool] = {}
-    if not page:
-        return 0, out
-    root = parse(page)
-    own = article_of(root)
-    ids, stack = set(map(id, own)), [(root, False)]
-    while stack:
-        x, inside = stack.pop()
-        if x.tag in ("script", "style"):
-            continue
-        mine = id(x) in ids
-        if not mine and (x.tag in WRAPPERS if inside else x.tag not in ("#root", "html", "body", "head")) and (h := digest(x)):
-            out[h] = out.get(h, False) or inside or not own
-        stack += [(c, inside or mine) for c in x.children if isinstance(c, Node)]
-    return xxhash.xxh3_64_intdigest("\0".join(f"{digest(x):x}" for x in own or [root])), out
-
-
-def main_text(page: str | None, templates: set[int] | frozenset = frozenset()) -> str:
-    """Blocks of the article in page order, joined by blank lines; white space in a block is one space."""
-    if not page:
-        return ""
-    root = parse(page)
-    own = article_of(root)
+    return (_top(page, "article") if "article" in page.tags else []) or _top(page, "main")
+
+
+def _beside(page: Page) -> list[int]:
+    """Running sums, by item, of the hashes of the texts outside of unwanted elements; a difference of two is a range of items."""
+    out, i, tags, ends = [0] * (len(page.tags) + 1), 1, page.tags, page.ends
+    while i < len(tags):
+        to = ends[i] if tags[i] and unwanted(tags[i], page.attrs[i], False) else i + 1
+        said = " ".join(page.attrs[i].split()) if not tags[i] else ""
+        now = out[i] + (xxhash.xxh3_64_intdigest(said) if said else 0)
+        out[i + 1 : to + 1] = [now] * (to - i)
+        i = to
+    return out
+
+
+def template_candidates(text: str | None) -> set[tuple[int, int]]:
+    """Hashes of the containers with text, but for the articles themselves, each with a hash of what it stands with: the page's articles or main
+    element, else the wanted texts of the page outside of the container."""
+    if not text:
+        return set()
+    page = Page(text)
+    ds, own = digests(page), articles(page)
+    if own:
+        part, main = xxhash.xxh3_64_intdigest("\0".join(f"{ds[i]:x}" for i in own)), set(own)
+        return {(d, part) for i, (d, t) in enumerate(zip(ds, page.tags, strict=True)) if d and t in CONTAINERS and i not in main}
+    upto = _beside(page)
+    return {(d, (upto[-1] - upto[page.ends[i]] + upto[i]) & 0xFFFFFFFFFFFFFFFF) for i, (d, t) in enumerate(zip(ds, page.tags, strict=True)) if d and t in CONTAINERS}
+
+
+def _blocks(page: Page, ds: list[int], cut: frozenset | set, own: set[int]) -> tuple[list[str], int]:
+    """Blocks of what is left, and how many subtrees went as templates."""
+    tags, attrs, ends = page.tags, page.attrs, page.ends
     blocks: list[str] = []
     line: list[str] = []
-    cut = templates
+    closing: list[int] = []  # where the open blocks end
+    i, n, inside_to, gone = 1, len(tags), 0, 0
 
     def end() -> None:
         if t := " ".join("".join(line).split()):
             blocks.append(t)
         line.clear()
 
-    def walk(node: Node, inside: bool) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                line.append(html.unescape(c))
-            elif c.tag == "br":
-                line.append(" ")
-            elif not unwanted(c, inside) and not (cut and (not inside or c.tag in WRAPPERS) and digest(c) in cut):
-                block = c.tag in BLOCK
-                if block:
-                    end()
-                walk(c, inside)
-                if block:
-                    end()
-
-    def take() -> None:
-        for x in own or [root]:
-            walk(x, bool(own))
+    while True:
+        while closing and closing[-1] <= i:
+            closing.pop()
+            end()
+        if i >= n:
+            end()
+            return blocks, gone
+        tag, inside = tags[i], i < inside_to
+        if not tag:
+            if inside or not own:
+                line.append(html.unescape(attrs[i]))
+        elif tag == "br":
+            line.append(" ")
+        elif i in own:
+            end()
+            inside_to = ends[i]
+            closing.append(ends[i])
+        elif cut and tag in CONTAINERS and ds[i] in cut:
+            gone += 1
+            i = ends[i]
+            continue
+        elif unwanted(tag, attrs[i], inside):
+            i = ends[i]
+            continue
+        elif tag in BLOCK:
             end()
+            closing.append(ends[i])
+        i += 1
 
-    take()
-    if cut and not blocks:  # no template, but all that the page says
-        cut = frozenset()
-        take()
-    return "\n\n".join(blocks)
 
+def extracted(text: str | None, templates: set[int] | frozenset = frozenset()) -> tuple[str, int]:
+    """The text of a page (blocks in page order, joined by blank lines; white space in a block is one space), and the number of subtrees that
+    went as templates. A page of which templates leave nothing keeps what it says."""
+    if not text:
+        return "", 0
+    page = Page(text)
+    ds, own = digests(page) if templates else [], set(articles(page))
+    blocks, gone = _blocks(page, ds, templates, own)
+    if gone and not blocks:
+        blocks, gone = _blocks(page, ds, frozenset(), own)
+    return "\n\n".join(blocks), gone
 
-def _deep(f, *args):
-    """``f`` with room for deeply nested pages."""
-    import sys
 
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 20_000))
-    try:
-        return f(*args)
-    finally:
-        sys.setrecursionlimit(limit)
+def main_text(text: str | None, templates: set[int] | frozenset = frozenset()) -> str:
+    return extracted(text, templates)[0]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars of each row. A null or empty page has an empty text; a null url is a host of its own; rows
-    that repeat count once for templates; an empty table gives no rows; other columns are ignored.
+    """page_id, url, text, n_chars and n_templates (subtrees deleted as templates) of each row. A null or empty page has an empty text; a null url is
+    a host of its own; rows that repeat count once for templates; an empty table gives no rows; other columns are ignored.
 
     Subtrees are counted per host with partial sums. Templates meet the subtrees by host and hash, and what a page has of them
     meets the page by a hash of host and page, so that a host may have any number of templates. Either is broadcast up to a checked size, else joined by a shuffle.
@@ -251,22 +337,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for ps, hosts, texts in C.rows_of(batches, "p", "host", "t"):
             rows: list[tuple] = []
             for p, x, t in zip(ps, hosts, texts, strict=True):
-                part, got = _deep(template_candidates, t)
-                rows += [(p, signed(keyed(x, d)), signed(part), asked) for d, asked in got.items()]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield C.batch(p=pa.array(cols[0], pa.int64()), d=pa.array(cols[1], pa.int64()), m=pa.array(cols[2], pa.int64()), asked=pa.array(cols[3], pa.bool_()))
+                rows += [(p, signed(keyed(x, d)), signed(m)) for d, m in template_candidates(t)]
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield C.batch(**{c: pa.array(v, pa.int64()) for c, v in zip("pdm", cols, strict=True)})
 
-    found = C.saved(base.mapInArrow(candidates, "p long, d long, m long, asked boolean"))
+    found = C.saved(base.mapInArrow(candidates, "p long, d long, m long"))
     templates = found.select("d", "m").distinct().groupBy("d").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_pages).select("d")
-    hits = found.where("asked").select("p", "d").join(C.small(C.saved(templates)), "d").groupBy("p").agg(F.collect_set("d").alias("ds"))  # a page's own subtrees alone
+    hits = found.select("p", "d").join(C.small(C.saved(templates)), "d").groupBy("p").agg(F.collect_set("d").alias("ds"))  # a page's own subtrees alone
     joined = base.join(C.small(C.saved(hits)), "p", "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, urls, hosts, raw, ds in C.rows_of(batches, "k", "u", "host", "t", "ds"):
-            out = [_deep(main_text, t, frozenset(keyed(x, v & 0xFFFFFFFFFFFFFFFF) for v in d or ())) for x, t, d in zip(hosts, raw, ds, strict=True)]
-            yield C.batch(page_id=pa.array(keys, pa.int64()), url=pa.array(urls, pa.string()), text=pa.array(out, pa.string()), n_chars=pa.array([len(t) for t in out], pa.int64()))
+            out = [extracted(t, frozenset(keyed(x, v & 0xFFFFFFFFFFFFFFFF) for v in d or ())) for x, t, d in zip(hosts, raw, ds, strict=True)]
+            yield C.batch(page_id=pa.array(keys, pa.int64()), url=pa.array(urls, pa.string()), text=pa.array([t for t, _ in out], pa.string()), n_chars=pa.array([len(t) for t, _ in out], pa.int64()), n_templates=pa.array([n for _, n in out], pa.int64()))
 
-    return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long, n_templates long")
 
 
 def op8_html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
