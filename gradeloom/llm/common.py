@@ -73,12 +73,6 @@ def text_batches(spark: SparkSession, rows: int = 2_000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
-    """Rows and UTF-8 bytes of a text column."""
-    r = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text))).alias("b")).first()
-    return int(r["n"] or 0), int(r["b"] or 0)
-
-
 def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
@@ -114,7 +108,12 @@ def window_hashes(h: np.ndarray, n: int, mul: int = 0x9E3779B97F4A7C15) -> np.nd
 
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``n`` words; a shorter text is one run, no words give none."""
-    h = word_hashes(words(text))
+    return shingles_of(words(text), n)
+
+
+def shingles_of(ws: list[bytes], n: int = SHINGLE) -> np.ndarray:
+    """As :func:`shingles`, of a text's words."""
+    h = word_hashes(ws)
     if not len(h):
         return h
     return np.unique(window_hashes(h, min(n, len(h))) + np.uint64(min(n, len(h))))
@@ -140,6 +139,22 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[li
     release()
 
 
+def groups(batches: Iterator[pa.RecordBatch], key: str, *names: str) -> Iterator[tuple]:
+    """Runs of rows with the same key in sorted batches: the key, and a list for each other column."""
+    at, held = None, [[] for _ in names]
+    for key_col, *cols in rows_of(batches, key, *names):
+        edges = [0, *(i for i in range(1, len(key_col)) if key_col[i] != key_col[i - 1]), len(key_col)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if held[0] and key_col[a] != at:
+                yield at, *held
+                held = [[] for _ in names]
+            at = key_col[a]
+            for h, c in zip(held, cols, strict=True):
+                h.extend(c[a:b])
+    if held[0]:
+        yield at, *held
+
+
 def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 

@@ -56,22 +56,6 @@ def least_matches(threshold: float, tolerance: float, step: int = STEP, hashes:
     return out
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: str, *names: str) -> Iterator[tuple]:
-    """Runs of rows with the same key in sorted batches: the key, and a list for each other column."""
-    at, held = None, [[] for _ in names]
-    for key_col, *cols in C.rows_of(batches, key, *names):
-        edges = [0, *(i for i in range(1, len(key_col)) if key_col[i] != key_col[i - 1]), len(key_col)]
-        for a, b in zip(edges, edges[1:], strict=False):
-            if held[0] and key_col[a] != at:
-                yield at, *held
-                held = [[] for _ in names]
-            at = key_col[a]
-            for h, c in zip(held, cols, strict=True):
-                h.extend(c[a:b])
-    if held[0]:
-        yield at, *held
-
-
 def survivors(lanes: np.ndarray, sizes: np.ndarray, side: np.ndarray, other: int, band: int, threshold: float, need: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """For each member its partners that may reach the threshold and that share no earlier band.
 
@@ -169,7 +153,7 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     need = least_matches(threshold, tolerance)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, rs, band, own, other, ns, sigs in groups(batches, "t", "r", "band", "own", "other", "n", "sig"):
+        for t, rs, band, own, other, ns, sigs in C.groups(batches, "t", "r", "band", "own", "other", "n", "sig"):
             if len(rs) < 2:
                 continue
             lanes = np.frombuffer(b"".join(sigs), "<u8").reshape(len(rs), -1)
@@ -196,7 +180,7 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     full = pruned.join(sets, "r").repartition("t").sortWithinPartitions("t", "at")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rs, same, partners, raw in groups(batches, "t", "r", "same", "js", "s"):
+        for _, rs, same, partners, raw in C.groups(batches, "t", "r", "same", "js", "s"):
             sets, copies = [np.frombuffer(x, np.uint64) for x in raw], np.array(same)
             links, rows, root = np.zeros(len(rs), np.int64), np.zeros(len(rs), np.int64), list(range(len(rs)))
 

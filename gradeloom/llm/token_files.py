@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .encoding import encoder
+from .ranges import plan_ranges, running_sum
 
 HEAD = struct.Struct("<4sHBBQQII")
 NO_ID = -(1 << 63)
@@ -114,37 +115,43 @@ def _put(uri: str, name: str, data: bytes) -> None:
     system.move(temporary, f"{path}/{name}")
 
 
-def quantile_bounds(docs: DataFrame, key: str, parts: int) -> list[int]:
-    """Up to ``parts`` - 1 values that cut the rows by ``key`` into even ranges; one for each part, so its size is bounded by the number of files."""
-    if parts <= 1:
-        return []
-    cuts = docs.where(F.col(key).isNotNull()).agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
-    return sorted(set(cuts or []))
+def _get(uri: str, name: str) -> bytes:
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    with system.open_input_stream(f"{path}/{name}") as src:
+        return src.read()
 
 
-def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shard_text_bytes: int = SHARD_TEXT_BYTES, shard_ids: int = SHARD_IDS) -> list[tuple[str, int, int]]:
+def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shard_text_bytes: int = SHARD_TEXT_BYTES, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes whole texts and writes them to ``uri`` in ascending ``id_col`` order over numbered files.
 
     Ids come from ``tokenizer`` (a file of the tokenizers library) without added special tokens; each
     document ends with ``end_id``. A null text is empty, a null id comes last, rows that share an id
     stay together in unspecified order, an empty table gives no files, other columns are ignored.
-    Returns (name, documents, ids) of each file in order.
+    Returns a saved table of the files: file, docs, ids and start (ids of all files before).
 
-    Texts are encoded where they are read; ids, compressed, are what is shuffled. Ranges of ids have
-    even document counts; a task begins a new file at ``shard_ids``, which bounds its memory.
+    Texts are encoded where they are read; ids, compressed, are what is shuffled, each range of ids to a partition of its own. Ranges hold about
+    ``shard_text_bytes`` of text (more beyond 65,536 ranges), also if a third of all rows share an id or have none; a task begins a new file at ``shard_ids``, which bounds its memory.
     """
-    n, size = C.text_bytes(docs, text_col)
-    parts = max(1, min(n, -(-size // shard_text_bytes)))
-    bounds = np.array(quantile_bounds(docs, id_col, parts), np.int64)
+    C.text_batches(docs.sparkSession)
+    base = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
+    sizes = C.saved(base.select("k", (F.coalesce(F.octet_length("t"), F.lit(0)) + 32).cast("long").alias("w")))
+    plan = plan_ranges(sizes, shard_text_bytes)
+    shared = docs.sparkSession.sparkContext.broadcast(plan)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, squeeze = encoder(tokenizer), zstandard.ZstdCompressor(1)
+        enc, squeeze, seen = encoder(tokenizer), zstandard.ZstdCompressor(1), 0
         tail = np.array([] if end_id is None else [end_id], enc.dtype).tobytes()
-        for keys, texts in C.rows_of(batches, "k", "t"):
-            where = [len(bounds) + 1 if k is None else int(np.searchsorted(bounds, k)) for k in keys]
+        for b in batches:
+            keys, texts = (b.column(b.schema.get_field_index(c)) for c in ("k", "t"))
+            turn = C.mix(np.arange(seen, seen + len(keys), dtype=np.uint64)) & np.uint64(0xFFFF)  # spreads the rows of an id
+            where = pa.array(shared.value.ranks(keys, turn).astype(np.int32))
+            seen += len(keys)
             for a in range(0, len(keys), 500):
-                got = [squeeze.compress(ids.tobytes() + tail) for ids in enc.encode(texts[a : a + 500])]
-                yield C.batch(b=pa.array(where[a : a + 500], pa.int32()), k=pa.array(keys[a : a + 500], pa.int64()), z=pa.array(got, pa.binary()))
+                got = [squeeze.compress(ids.tobytes() + tail) for ids in enc.encode(texts.slice(a, 500).to_pylist())]
+                yield C.batch(b=where.slice(a, 500), k=keys.slice(a, 500), z=pa.array(got, pa.binary()))
+        C.release()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, expand = encoder(tokenizer), zstandard.ZstdDecompressor()
@@ -155,7 +162,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | N
         def flush() -> pa.RecordBatch:
             name = f"part-{at:08d}-{part:06d}.gltk"
             _put(uri, name, file_bytes(keys, ids, enc.size))
-            return C.batch(name=[name], docs=[len(keys)], ids=[held])
+            return C.batch(file=[name], b=pa.array([at], pa.int32()), part=pa.array([part], pa.int32()), docs=[len(keys)], ids=[held])
 
         for bs, ks, zs in C.rows_of(batches, "b", "k", "z"):
             for b, k, z in zip(bs, ks, zs, strict=True):
@@ -170,34 +177,28 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | N
         if keys:
             yield flush()
 
-    coded = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInArrow(encode, "b int, k long, z binary")
-    laid = coded.repartition(max(1, parts), "b").sortWithinPartitions("b", F.col("k").asc_nulls_last())
-    files = laid.mapInArrow(write, "name string, docs long, ids long").collect()  # a row for each file
-    return sorted((r["name"], r["docs"], r["ids"]) for r in files)
+    coded = base.mapInArrow(encode, "b int, k long, z binary")
+    laid = coded.repartitionById(plan.size, F.col("b")).sortWithinPartitions("b", F.col("k").asc_nulls_last())
+    files = C.saved(laid.mapInArrow(write, "file string, b int, part int, docs long, ids long"))
+    return running_sum(files, [F.col("b"), F.col("part")], "ids", "start", keep=["file", "docs", "ids"])
 
 
-def read_token_files(spark: SparkSession, uri: str, files: list[tuple[str, int, int]], digest: Callable[[np.ndarray], int] = lambda ids: zlib.crc32(ids.astype("<u4").tobytes())) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, from the files."""
-    starts, total = {}, 0
-    for name, _, ids in files:
-        starts[name], total = total, total + ids
+def read_token_files(files: DataFrame, uri: str, digest: Callable[[np.ndarray], int] = lambda ids: zlib.crc32(ids.astype("<u4").tobytes())) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, from the files that :func:`write_token_files` lists. A task
+    holds one file at a time."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, raw in zip(b.column(0), b.column(1), strict=True):
-                rows = [(k, s, len(ids), digest(ids)) for k, s, ids in TokenFile(raw.as_py()).documents()]
-                base = starts[path.as_py().rsplit("/", 1)[1]]
-                yield C.batch(doc_id=pa.array([r[0] for r in rows], pa.int64()), start=pa.array([base + r[1] for r in rows], pa.int64()), n_tokens=pa.array([r[2] for r in rows], pa.int64()), ids_crc32=pa.array([r[3] for r in rows], pa.int64()))
+        for names, starts in C.rows_of(batches, "file", "start"):
+            for name, base in zip(names, starts, strict=True):
+                rows = [(k, base + s, len(ids), digest(ids)) for k, s, ids in TokenFile(_get(uri, name)).documents()]
+                yield C.batch(**{c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "start", "n_tokens", "ids_crc32"), zip(*rows, strict=True), strict=True)})
 
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not files:
-        return spark.createDataFrame([], schema)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gltk").load(uri).select("path", "content").mapInArrow(decode, schema)
+    spread = files.select("file", "start").repartition(min(max(1, files.count()), 100_000))
+    return spread.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs, uri = C.documents(spark, sf_dir), C.shared_dir(spark)
-    files = write_token_files(docs, uri, public_tokenizers.path("byte_bpe_50k.json"))
-    return read_token_files(spark, uri, files)
+    return read_token_files(write_token_files(docs, uri, public_tokenizers.path("byte_bpe_50k.json")), uri)

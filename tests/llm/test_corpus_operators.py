@@ -163,7 +163,7 @@ def ids_of(docs, end):
 def test_token_files(spark, docs):
     uri = C.shared_dir(spark)
     files = token_files.write_token_files(docs, uri, BYTES, shard_text_bytes=20_000, shard_ids=3000)
-    out = [tuple(r) for r in token_files.read_token_files(spark, uri, files).orderBy("start").collect()]
+    out = [tuple(r) for r in token_files.read_token_files(files, uri).orderBy("start").collect()]
     want = ids_of(docs, 0)
     assert Counter((k, n, c) for k, _, n, c in out) == Counter((i, len(x), zlib.crc32(x.tobytes())) for i, x in want)
     keys = [k for k, *_ in out]
