@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .token_files import quantile_bounds
+from .ranges import plan_ranges
 
 BINS, BITS = 256, 8
 PART_TEXT_BYTES = 24 << 20
@@ -80,48 +80,64 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row.
 
     A row's next is the one before it by id, and the first row's that with the greatest. Null ids
-    come last; a null text is empty; rows that share an id follow each other by text; a single row is its own next; an
+    come last; a null text is empty; rows that share an id follow each other by the md5 of their text; a single row is its own next; an
     empty table gives no rows. Fingerprints are hexadecimal, and empty for a text without words.
 
-    One shuffle: each text, compressed, goes to the range of its id, and the greatest row of every
-    range also to the range above, whose last row it follows. Ranges hold about PART_TEXT_BYTES; a task walks its
-    ranges in order and holds two texts at a time.
+    One shuffle: each text, compressed, goes to the partition of its range of ids, and the first row of every
+    range also to the range before, whose last row it follows. Ranges hold about PART_TEXT_BYTES (more beyond 65,536 ranges), also if a third of all
+    rows share an id or have none; rows of equal id and text travel as one with their number. A task walks its ranges in order and holds two texts at a time.
     """
-    n, size = C.text_bytes(docs, text_col)
-    parts = max(1, min(n, -(-size // PART_TEXT_BYTES)))
-    bounds = np.array(quantile_bounds(docs, id_col, parts), np.int64)
+    spark = docs.sparkSession
+    C.text_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
+    md5 = F.unhex(F.md5(F.coalesce(F.col("t"), F.lit(""))))
+    narrow = C.saved(base.select("k", (F.coalesce(F.octet_length("t"), F.lit(0)) + 32).cast("long").alias("w"), md5.alias("h")))
+    plan = spark.sparkContext.broadcast(plan_ranges(narrow, PART_TEXT_BYTES))
 
-    def rank(keys: list[int | None]) -> list[int]:
-        """0 holds null ids, then ranges by id."""
-        return [0 if k is None else 1 + int(np.searchsorted(bounds, k)) for k in keys]
+    def ranks(keys: pa.Array, hashes: list[bytes]) -> np.ndarray:
+        subs = np.frombuffer(b"".join(x[:2] for x in hashes), ">u2")
+        return plan.value.ranks_down(keys, subs).astype(np.int32)
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each range the first row's place in the order: whether its id is null, the id's complement, the hash."""
         best: dict[int, tuple] = {}
-        for (keys,) in C.rows_of(batches, "k"):
-            for r, k in zip(rank(keys), keys, strict=True):
-                if r not in best or (k is not None and k > best[r]):
-                    best[r] = k
-        yield C.batch(r=pa.array(list(best), pa.int32()), k=pa.array(list(best.values()), pa.int64()))
-
-    # one row for each range: the greatest id
-    heads = {r["r"]: r["k"] for r in base.select("k").mapInArrow(tops, "r int, k long").groupBy("r").agg(F.max("k").alias("k")).collect()}
-    ranges = sorted(heads)
-    above = {r: ranges[(i + 1) % len(ranges)] for i, r in enumerate(ranges)}
+        for b in batches:
+            keys, hashes = b.column(b.schema.get_field_index("k")), b.column(b.schema.get_field_index("h")).to_pylist()
+            for r, k, h in zip(ranks(keys, hashes).tolist(), keys.to_pylist(), hashes, strict=True):
+                place = (k is None, 0 if k is None else ~k, h)
+                if r not in best or place < best[r]:
+                    best[r] = place
+        cols = list(zip(*best.values(), strict=True)) or [()] * 3
+        yield C.batch(r=pa.array(list(best), pa.int32()), none=pa.array(cols[0], pa.bool_()), inv=pa.array(cols[1], pa.int64()), h=pa.array(cols[2], pa.binary()))
+
+    # one row for each range
+    heads = sorted((x["r"], tuple(x["m"])) for x in narrow.select("k", "h").mapInArrow(tops, "r int, none boolean, inv long, h binary").groupBy("r").agg(F.min(F.struct("none", "inv", "h")).alias("m")).collect())
+    before = {r: heads[i - 1][0] for i, (r, _) in enumerate(heads)}
+    first = spark.sparkContext.broadcast({r: (None if m[0] else ~m[1], bytes(m[2]), before[r]) for r, m in heads})
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(1)
-        for keys, texts in C.rows_of(batches, "k", "t"):
+        squeeze, led = zstandard.ZstdCompressor(1), set()
+        for b in batches:
+            keys, texts = (b.column(b.schema.get_field_index(c)) for c in ("k", "t"))
             for a in range(0, len(keys), 500):
+                raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts.slice(a, 500).to_pylist()]
+                hashes = [hashlib.md5(x).digest() for x in raws]
+                held: dict[tuple, list] = {}
+                for r, k, h, raw in zip(ranks(keys.slice(a, 500), hashes).tolist(), keys.slice(a, 500).to_pylist(), hashes, raws, strict=True):
+                    if (k, h) in held:
+                        held[k, h][3] += 1
+                    else:
+                        held[k, h] = [r, k, h, 1, raw]
                 out: list[tuple] = []
-                for r, k, t in zip(rank(keys[a : a + 500]), keys[a : a + 500], texts[a : a + 500], strict=True):
-                    raw = (t or "").encode("utf-8", "surrogatepass")
-                    z, h, f = squeeze.compress(raw), hashlib.md5(raw).digest(), fingerprint(t, bins, bits)
-                    out.append((r, 0, k, h, z, f))
-                    if k == heads[r]:  # a candidate for the row that follows the range above
-                        out.append((above[r], 1, k, h, z, f))
-                cols = list(zip(*out, strict=True))
-                yield C.batch(r=pa.array(cols[0], pa.int32()), guest=pa.array(cols[1], pa.int32()), k=pa.array(cols[2], pa.int64()), h=pa.array(cols[3], pa.binary()), z=pa.array(cols[4], pa.binary()), f=pa.array(cols[5], pa.binary()))
+                for r, k, h, n, raw in held.values():
+                    z, f = squeeze.compress(raw), packed(sketch(C.shingles_of(raw.split()), bins), bits)
+                    out.append((r, 0, k, h, n, z, f))
+                    if (k, h) == first.value[r][:2] and r not in led:  # a candidate for the row that follows the range before
+                        led.add(r)
+                        out.append((first.value[r][2], 1, k, h, 1, z, f))
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+                yield C.batch(**{c: pa.array(v, kind) for c, v, kind in zip(("r", "guest", "k", "h", "n", "z", "f"), zip(*out, strict=True), kinds, strict=True)})
+        C.release()
 
     names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
@@ -139,11 +155,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         def made() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True))
+            out.clear()
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             return C.batch(**{n: pa.array(c, kind) for n, c, kind in zip(names, cols, kinds, strict=True)})
 
-        for rs, guests, ks, zs, fs in C.rows_of(batches, "r", "guest", "k", "z", "f"):
-            for r, guest, k, z, f in zip(rs, guests, ks, zs, fs, strict=True):
+        for rs, guests, ks, ns, zs, fs in C.rows_of(batches, "r", "guest", "k", "n", "z", "f"):
+            for r, guest, k, n, z, f in zip(rs, guests, ks, ns, zs, fs, strict=True):
                 if r != at:
                     at, held, done = r, None, False
                 if done:
@@ -152,14 +169,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if held is not None:
                     out.append(pair(held, row))
                 held, done = row, bool(guest)
+                if n > 1:  # all but the last of these are followed by their like
+                    same = pair(row, row)
+                    for a in range(0, n - 1, 500):
+                        out += [same] * min(500, n - 1 - a)
+                        if len(out) >= 500:
+                            yield made()
                 if len(out) >= 500:
                     yield made()
-                    out.clear()
         if out:
             yield made()
 
-    sent = base.mapInArrow(send, "r int, guest int, k long, h binary, z binary, f binary")
-    laid = sent.repartition(max(1, parts), "r").sortWithinPartitions("r", "guest", F.col("k").desc_nulls_last(), "h")
+    sent = base.mapInArrow(send, "r int, guest int, k long, h binary, n long, z binary, f binary")
+    laid = sent.repartitionById(plan.value.size, F.col("r")).sortWithinPartitions("r", "guest", F.col("k").desc_nulls_last(), "h")
     return laid.mapInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
