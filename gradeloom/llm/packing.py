@@ -1,7 +1,7 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Every source is a queue of segments (a document's ids, cut at ``segment`` ids). Each round credits a source with
-its share of a window, and the source sends segments as long as its credit covers them; what it can't
+Every source is a queue of segments (a document's ids, cut at about the source's share of a window, so that each window can hold every source). Each
+round credits a source with its share of a window, and the source sends segments as long as its credit covers them; what it can't
 send yet stays as its deficit for the next round. For queues that are not empty this has a closed form: with ``e`` the ids
 of the queue up to and with a segment, the segment leaves in round ceil(e / quantum), and the deficit
 after round r is r * quantum less the ids sent. Rounds are therefore assigned to all segments at once from
@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .encoding import CACHED, encoder
+from .ranges import running_sum
 
 WINDOW = 2048
-SEGMENT = 512
-#: Sources that the driver may hold.
-MAX_SOURCES = 100_000
+#: Ids of a segment at most, and at least (of a source whose share of a window is smaller).
+SEGMENT, LEAST_SEGMENT = 512, 64
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str, source_col: str, cached: int = CACHED) -> DataFrame:
@@ -47,52 +47,51 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, te
     return cols.mapInArrow(run, "_id long, _src string, _th long, n long, z binary")
 
 
+def _quanta(stats: DataFrame, window: int, shares: dict) -> DataFrame:
+    """``stats`` with _q, the ids that a source is credited with in a round."""
+    spark = stats.sparkSession
+    named = spark.createDataFrame([(s, float(x)) for s, x in shares.items()], "name string, share double")
+    joined = stats.join(named, F.col("s").eqNullSafe(F.col("name")), "left")
+    at = joined.agg(F.sum("share"), F.sum(F.when(F.col("share").isNull(), F.col("t")))).first()
+    left, free = max(0.0, 1.0 - (at[0] or 0.0)), max(1, at[1] or 0)
+    return joined.withColumn("_q", F.greatest(F.coalesce("share", F.lit(left) * F.col("t") / F.lit(free)) * window, F.lit(1e-6)))
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int = WINDOW, shares: dict | None = None, segment: int = SEGMENT, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cached: int = CACHED) -> DataFrame:
     """Packs every row into windows of ``window`` ids; returns a row for each piece.
 
     Columns: doc_id, start (ids of the row before the piece), length, ids_crc32, doc_tokens, sequence_id, offset,
     source. ``shares`` are target proportions by source (default: by the ids that a source has, so that
-    all queues end together); a source without one shares what is left by its ids. A null text is empty
+    all queues end together); a source without one shares what is left by its ids; one with a share of 0 comes after all that have one. A null text is empty
     and has its end id alone, a null source is a queue of its own, rows that repeat are packed each, an
     empty table gives no rows, other columns are ignored. Windows are numbered from 0 and full but for the last.
     ``cached`` bounds what a worker remembers of the tokenizer's results; it trades memory for time and changes no row.
 
     Ids are made once and stored, compressed; orders and cuts are found on narrow rows; the cuts are then joined to the ids.
-    Sums run over buckets (square roots of the counts), never over a whole source or stream in one task.
+    Sums run over buckets of a source (square roots of the counts) and over ranges of the stream, never over a whole source or stream in one task. Sources are a table, of any number.
     """
     spark = docs.sparkSession
     C.text_batches(spark)
-    coded = C.saved(encoded(docs, tokenizer, end_id, id_col, text_col, source_col, cached).withColumn("_row", F.monotonically_increasing_id()), "none")
-    stats = coded.groupBy("_src").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).limit(MAX_SOURCES + 1).collect()
-    if len(stats) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    stats.sort(key=lambda r: (r["_src"] is None, r["_src"] or ""))
-    total = sum(r["t"] for r in stats)
-    named = shares or {}
-    given = sum(named.get(r["_src"], 0.0) for r in stats)
-    free = sum(r["t"] for r in stats if r["_src"] not in named)
-    plan = []
-    for rank, r in enumerate(stats):
-        share = named[r["_src"]] if r["_src"] in named else max(0.0, 1.0 - given) * r["t"] / max(1, free)
-        plan.append((r["_src"], rank, C.root_buckets(r["c"]), max(share * window, 1e-6)))
-    plan_df = F.broadcast(spark.createDataFrame(plan, "s string, _rank int, _nb long, _q double"))
-    rounds = max([1.0, *(r["t"] / q for r, (_, _, _, q) in zip(stats, plan, strict=True))])
-
-    rows = coded.select("_row", "_id", "_src", "_th", "n").join(plan_df, F.col("_src").eqNullSafe(F.col("s"))).drop("s", "_src")
+    coded = C.saved(encoded(docs, tokenizer, end_id, id_col, text_col, source_col, cached).withColumns({"_row": F.monotonically_increasing_id(), "_queue": F.xxhash64("_src")}), "none")
+    stats = C.saved(coded.groupBy("_queue").agg(F.first("_src").alias("s"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")))
+    queues = _quanta(stats, window, shares or {})
+    whole = F.ceil(F.col("_q") / F.ceil(F.col("_q") / segment))  # a quantum over ``segment`` is cut evenly
+    queues = C.small(C.saved(queues.select("_queue", "_q", F.ceil(F.sqrt("c")).cast("long").alias("_nb"), F.least(F.lit(segment), F.greatest(F.lit(min(LEAST_SEGMENT, segment)), whole)).cast("long").alias("_seg"))))
+
+    rows = coded.select("_row", "_id", "_th", "_queue", "n").join(queues, "_queue")
     rows = rows.withColumn("_h", C.hash_key(F.col("_id"), F.col("_th"), seed=seed)).withColumn("_b", C.bucket_of(F.col("_h"), F.col("_nb")))
-    rows = C.prefix_sum(rows, ["_rank"], "_b", ["_h", "_row"], "n", "_at").where("n > 0")
-    pieces = F.transform(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {segment}")), lambda k: F.struct((k * segment).alias("from"), F.least(F.lit(segment).cast("long"), F.col("n") - k * segment).alias("len")))
-    segs = rows.select("_row", "_rank", "_q", "_at", F.explode(pieces).alias("p")).select("_row", "_rank", F.col("p.from").alias("_from"), F.col("p.len").alias("_len"), (F.col("_at") + F.col("p.from")).alias("_pos"), F.ceil((F.col("_at") + F.col("p.from") + F.col("p.len")) / F.col("_q")).cast("long").alias("_round"))
-    wide = max(1, int(rounds / C.root_buckets(max(1, total // segment), 16)))
-    segs = C.prefix_sum(segs.withColumn("_b", F.floor(F.col("_round") / wide).cast("long")), [], "_b", ["_round", "_rank", "_pos"], "_len", "_to")
-    cuts = segs.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_from", "_to"))), lambda x: x["_to"]).alias("segs"))  # a row's own segments alone
+    rows = C.saved(C.prefix_sum(rows, ["_queue"], "_b", ["_h", "_row"], "n", "_at").where("n > 0").select("_row", "_queue", "_q", "_seg", "_at", "n"))
+    pieces = F.transform(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div _seg")), lambda k: F.struct((k * F.col("_seg")).alias("from"), F.least(F.col("_seg"), F.col("n") - k * F.col("_seg")).alias("len")))
+    segs = rows.select("_row", "_queue", "_q", "_seg", "_at", F.explode(pieces).alias("p")).select("_row", "_queue", "_seg", F.col("p.from").alias("_from"), F.col("p.len").alias("_len"), (F.col("_at") + F.col("p.from")).alias("_pos"), F.ceil((F.col("_at") + F.col("p.from") + F.col("p.len")) / F.col("_q")).cast("long").alias("_round"))
+    segs = running_sum(segs, [F.col("_round"), F.col("_queue"), F.col("_pos"), F.col("_row")], "_len", "_to", keep=["_row", "_seg", "_from"])
+    cuts = segs.groupBy("_row").agg(F.first("_seg").alias("seg"), F.transform(F.array_sort(F.collect_list(F.struct("_from", "_to"))), lambda x: x["_to"]).alias("segs"))  # a row's own segments alone
     cuts = C.saved(cuts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, expand = encoder(tokenizer, cached), zstandard.ZstdDecompressor()
-        for keys, sources, ns, zs, plans in C.rows_of(batches, "_id", "_src", "n", "z", "segs"):
+        for keys, sources, ns, zs, sizes, plans in C.rows_of(batches, "_id", "_src", "n", "z", "seg", "segs"):
             out: list[tuple] = []
-            for key, source, n, z, plan in zip(keys, sources, ns, zs, plans, strict=True):
+            for key, source, n, z, segment, plan in zip(keys, sources, ns, zs, sizes, plans, strict=True):
                 ids = np.frombuffer(expand.decompress(z), enc.dtype)
                 runs: list[list[int]] = []
                 for j, to in enumerate(plan):
@@ -111,8 +110,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int =
             cols = list(zip(*out, strict=True)) or [()] * 8
             yield C.batch(**{c: pa.array(v, pa.int64()) for c, v in zip(names, cols, strict=False)}, source=pa.array(cols[7], pa.string()))
 
-    whole = coded.select("_row", "_id", "_src", "n", "z").join(C.small(cuts), "_row")
-    return whole.drop("_row").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+    ready = coded.select("_row", "_id", "_src", "n", "z").join(C.small(cuts), "_row")
+    return ready.drop("_row").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
