@@ -1,14 +1,14 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning.
 
 Rows with the same set of shingles (runs of five words) form a class, and the join is between classes. A class has 96 MinHash
-values of 16 bits; four adjacent ones make a band, and classes that share a band are candidates, looked at in their first
-common band alone. At similarity 0.8 a pair shares none of 24 bands with chance 3e-6. Values are compared 16 at a time; after each
+values of 16 bits; three adjacent ones make a band, and classes that share a band are candidates, looked at in their first
+common band alone. At similarity 0.8 a pair shares none of 32 bands with chance 1e-10. Values are compared 16 at a time; after each
 step a pair is dropped if, under a uniform prior, the posterior probability of reaching the threshold is below the tolerance.
 What is left is verified exactly on the shingle sets.
 
-Pairs are never rows. A band's bucket is split into blocks, a task compares two blocks in numpy and says which members have
-survivors; a second task gets the sets of just these members. It gives each member's number of links and a
-spanning forest of the links, from which components are found in rounds.
+Pairs are never stored. A band's bucket is split into blocks by count and size; a task compares two blocks (or one with itself) in numpy and says which members
+have survivors; a second task gets the sets of just these members, finds the survivors again and verifies them. It gives each member's number of links and a
+spanning forest of the links, from which components are found in rounds. A member so travels once for each block of its bucket.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
-HASHES, ROWS, STEP = 96, 4, 16
+HASHES, ROWS, STEP = 96, 3, 16
 THRESHOLD, TOLERANCE = 0.8, 1e-7
-BLOCK = 512
+#: Members of a block at most, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 4096, 32 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -41,6 +42,13 @@ def minhash(h: np.ndarray) -> np.ndarray:
     return (C.mix(least) & np.uint64(0xFFFF)).astype("<u2")
 
 
+def bands_of(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The values of some signatures, and their bands as numbers."""
+    values = np.frombuffer(b"".join(sigs), "<u2").reshape(len(sigs), HASHES)
+    parts = values.reshape(len(sigs), HASHES // ROWS, ROWS).astype(np.uint64)
+    return values, sum(parts[:, :, i] << np.uint64(16 * i) for i in range(ROWS))
+
+
 def least_matches(threshold: float, tolerance: float, step: int = STEP, hashes: int = HASHES) -> list[int]:
     """After each step of n values, the least number of matches at which P(J >= threshold) is at least the tolerance.
 
@@ -56,12 +64,11 @@ def least_matches(threshold: float, tolerance: float, step: int = STEP, hashes:
     return out
 
 
-def survivors(lanes: np.ndarray, sizes: np.ndarray, side: np.ndarray, other: int, band: int, threshold: float, need: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each member its partners that may reach the threshold and that share no earlier band.
+def survivors(values: np.ndarray, lanes: np.ndarray, sizes: np.ndarray, side: np.ndarray, other: int, band: int, threshold: float, need: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members (two arrays, 64 first members at a time) that may reach the threshold and that share no earlier band.
 
     ``side`` is each member's block; with ``other`` >= 0, pairs are between blocks, else within one.
     """
-    values = lanes.view("<u2").reshape(len(lanes), -1)
     left = np.flatnonzero(side != other) if other >= 0 else np.arange(len(lanes))
     right = np.flatnonzero(side == other) if other >= 0 else np.arange(len(lanes))
     for a in range(0, len(left), 64):
@@ -80,22 +87,32 @@ def survivors(lanes: np.ndarray, sizes: np.ndarray, side: np.ndarray, other: int
             got += (values[i, k * STEP : (k + 1) * STEP] == values[j, k * STEP : (k + 1) * STEP]).sum(1)
             keep = got >= least
             i, j, got = i[keep], j[keep], got[keep]
-        cut = np.flatnonzero(np.diff(i)) + 1
-        for js, first in zip(np.split(j, cut), i[np.concatenate(([0], cut))] if len(i) else [], strict=False):
-            yield int(first), js
-
-
-def verified(sets: list[np.ndarray], who: int, partners: np.ndarray, threshold: float) -> np.ndarray:
-    """Those partners whose exact Jaccard similarity with ``who`` reaches the threshold."""
-    mine, out = sets[who], []
-    for a in range(0, len(partners), 256):
-        js = partners[a : a + 256]
-        sizes = np.array([len(sets[j]) for j in js])
-        every = np.concatenate([sets[j] for j in js])
-        hit = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
-        common = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(sizes)[:-1])))
-        out.append(js[common >= threshold * (len(mine) + sizes - common) - 1e-9])
-    return np.concatenate(out)
+        if len(i):
+            yield i, j
+
+
+def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (i rises) have an exact Jaccard similarity that reaches the threshold. The distinct first members' shingles make a table,
+    a column for each; a second member's rows of it add up to what it has in common with all of them."""
+    mine, row = np.unique(i, return_inverse=True)
+    others, col = np.unique(j, return_inverse=True)
+    every = np.unique(np.concatenate([sets[x] for x in mine]))
+    table = np.zeros((len(every) + 1, len(mine)), np.int32)  # the last row is for shingles that no first member has
+    for c, x in enumerate(mine):
+        table[np.searchsorted(every, sets[x]), c] = 1
+    common = np.empty((len(others), len(mine)), np.int32)
+    sizes = np.array([len(sets[x]) for x in others])
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    a = 0
+    while a < len(others):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + 40_000, side="right")) - 1)
+        part = np.concatenate([sets[x] for x in others[a:b]])
+        at = np.searchsorted(every, part)
+        at[every[np.minimum(at, len(every) - 1)] != part] = len(every)
+        common[a:b] = np.add.reduceat(table[at], upto[a:b] - upto[a], axis=0)
+        a = b
+    got = common[col, row]
+    return got >= threshold * (sizes[col] + np.array([len(sets[x]) for x in mine])[row] - got) - 1e-9
 
 
 def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,13 +145,14 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.arange(HASHES // ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for rs, sigs in C.rows_of(batches, "r", "sig"):
-            lanes = np.frombuffer(b"".join(sigs), "<u8").reshape(len(rs), -1)
-            yield C.batch(kb=pa.array(C.mix(C.mix(lanes) + width).ravel().view(np.int64)), r=pa.array(np.repeat(np.array(rs, np.int64), lanes.shape[1])), band=pa.array(np.tile(np.arange(lanes.shape[1], dtype=np.int8), len(rs))))
+        for rs, ns, sigs in C.rows_of(batches, "r", "n", "sig"):
+            lanes = bands_of(sigs)[1]
+            yield C.batch(kb=pa.array(C.mix(C.mix(lanes) + width).ravel().view(np.int64)), r=pa.array(np.repeat(np.array(rs, np.int64), lanes.shape[1])), n=pa.array(np.repeat(np.array(ns, np.int32), lanes.shape[1])), band=pa.array(np.tile(np.arange(lanes.shape[1], dtype=np.int8), len(rs))))
 
-    banded = reps.select("r", "sig").mapInArrow(bands, "kb long, r long, band byte").repartition("kb")
-    shared = banded.groupBy("kb").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    seats = banded.join(shared, "kb").groupBy("r").agg(F.collect_list(F.struct("kb", "band", "c")).alias("seats"))  # one for each band at most
+    banded = reps.select("r", "n", "sig").mapInArrow(bands, "kb long, r long, n int, band byte").repartition("kb")
+    shared = banded.groupBy("kb").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("all")).where("c > 1")
+    blocks = F.greatest(F.ceil(F.col("c") / block), F.ceil(8 * F.col("all") / BLOCK_BYTES)).cast("int")
+    seats = banded.join(shared, "kb").groupBy("r").agg(F.collect_list(F.struct("kb", "band", blocks.alias("nb"))).alias("seats"))  # one for each band at most
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rs, ns, sigs, seated in C.rows_of(batches, "r", "n", "sig", "seats"):
@@ -142,7 +160,7 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
                 out: list[tuple] = []
                 for r, n, sig, seats in zip(rs[a : a + 200], ns[a : a + 200], sigs[a : a + 200], seated[a : a + 200], strict=True):
                     for s in seats:
-                        nb = -(-s["c"] // block)
+                        nb = s["nb"]
                         own = r % nb
                         out += [(f"{s['kb']}/{min(own, o)}/{max(own, o)}", r, s["band"], own, o if o != own else -1, n, sig) for o in range(nb)]
                 cols = list(zip(*out, strict=True)) or [()] * 7
@@ -152,57 +170,52 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     dealt = reps.select("r", "n", "sig").join(seats, "r").mapInArrow(deal, "t string, r long, band int, own int, other int, n int, sig binary").repartition("t").sortWithinPartitions("t", "r")
     need = least_matches(threshold, tolerance)
 
+    def pairs(sigs: list[bytes], ns: list[int], own: list[int], other: list[int], band: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        across = max(own) if max(other) >= 0 else -1
+        return survivors(*bands_of(sigs), np.array(ns), np.array(own), across, band[0], threshold, need)
+
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, rs, band, own, other, ns, sigs in C.groups(batches, "t", "r", "band", "own", "other", "n", "sig"):
             if len(rs) < 2:
                 continue
-            lanes = np.frombuffer(b"".join(sigs), "<u8").reshape(len(rs), -1)
-            across = max(own) if max(other) >= 0 else -1
-            found = list(survivors(lanes, np.array(ns), np.array(own), across, band[0], threshold, need))
-            if not found:
-                continue
-            used = np.unique(np.concatenate([[i for i, _ in found], *(j for _, j in found)])).astype(np.int64)
-            place = {int(x): i for i, x in enumerate(used)}
-            partners: list[list[int]] = [[] for _ in used]
-            for i, js in found:
-                partners[place[i]] = np.searchsorted(used, js).tolist()
-            yield C.batch(t=pa.array([t] * len(used)), r=pa.array([rs[i] for i in used], pa.int64()), at=pa.array(range(len(used)), pa.int32()), js=pa.array(partners, pa.list_(pa.int32())))
+            hit = np.zeros(len(rs), bool)
+            for i, j in pairs(sigs, ns, own, other, band):
+                hit[i] = hit[j] = True
+            on = np.flatnonzero(hit).tolist()
+            cols = ([rs[x] for x in on], *([c[x] for x in on] for c in (band, own, other)))
+            yield C.batch(t=pa.array([t] * len(on), pa.string()), **{c: pa.array(v, kind) for c, v, kind in zip(("r", "band", "own", "other"), cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)})
 
-    pruned = C.saved(dealt.mapInArrow(prune, "t string, r long, at int, js array<int>"))
-    wanted = C.saved(reps.select("r", "_k", "_th", "same").join(pruned.select("r").distinct(), "r"))
+    pruned = C.saved(dealt.mapInArrow(prune, "t string, r long, band int, own int, other int"))
+    wanted = C.saved(reps.select("r", "_k", "_th", "same", "sig").join(pruned.select("r").distinct(), "r"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rs, same, texts in C.rows_of(batches, "r", "same", "t"):
+        for rs, same, sigs, texts in C.rows_of(batches, "r", "same", "sig", "t"):
             for a in range(0, len(rs), 500):
-                yield C.batch(r=pa.array(rs[a : a + 500], pa.int64()), same=pa.array(same[a : a + 500], pa.int64()), s=pa.array([C.shingles(t).tobytes() for t in texts[a : a + 500]], pa.binary()))
+                yield C.batch(r=pa.array(rs[a : a + 500], pa.int64()), same=pa.array(same[a : a + 500], pa.int64()), sig=pa.array(sigs[a : a + 500], pa.binary()), s=pa.array([C.shingles(t).tobytes() for t in texts[a : a + 500]], pa.binary()))
 
-    sets = base.join(C.small(wanted), ["_k", "_th"]).mapInArrow(gather, "r long, same long, s binary").dropDuplicates(["r"])
-    full = pruned.join(sets, "r").repartition("t").sortWithinPartitions("t", "at")
+    sets = base.join(C.small(wanted), ["_k", "_th"]).mapInArrow(gather, "r long, same long, sig binary, s binary").dropDuplicates(["r"])
+    full = pruned.join(sets, "r").repartition("t").sortWithinPartitions("t", "r")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rs, same, partners, raw in C.groups(batches, "t", "r", "same", "js", "s"):
+        for _, rs, same, band, own, other, sigs, raw in C.groups(batches, "t", "r", "same", "band", "own", "other", "sig", "s"):
             sets, copies = [np.frombuffer(x, np.uint64) for x in raw], np.array(same)
-            links, rows, root = np.zeros(len(rs), np.int64), np.zeros(len(rs), np.int64), list(range(len(rs)))
-
-            def top(x: int, root: list[int] = root) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            for i, js in enumerate(partners):
-                if js:
-                    ok = verified(sets, i, np.array(js), threshold)
-                    links[i] += len(ok)
-                    rows[i] += copies[ok].sum()
-                    links[ok] += 1
-                    rows[ok] += copies[i]
-                    for j in ok.tolist():
-                        x, y = top(i), top(j)
-                        root[max(x, y)] = min(x, y)
+            links, rows, root = np.zeros(len(rs), np.int64), np.zeros(len(rs), np.int64), np.arange(len(rs))
+            for i, j in pairs(sigs, [len(x) for x in sets], own, other, band):
+                ok = verified(sets, i, j, threshold)
+                i, j = i[ok], j[ok]
+                np.add.at(links, i, 1)
+                np.add.at(links, j, 1)
+                np.add.at(rows, i, copies[j])
+                np.add.at(rows, j, copies[i])
+                cut = np.flatnonzero(np.diff(i)) + 1
+                for x, js in zip(i[np.concatenate(([0], cut))].tolist() if len(i) else [], np.split(j, cut), strict=False):
+                    of = root[js]
+                    low = min(root[x], of.min())
+                    if root[x] != low or (of != low).any():
+                        root[np.isin(root, np.append(of, root[x]))] = low
             on = np.flatnonzero(links)
             if len(on):
-                yield C.batch(r=pa.array([rs[i] for i in on], pa.int64()), v=pa.array([rs[top(int(i))] for i in on], pa.int64()), links=pa.array(links[on]), rows=pa.array(rows[on]))
+                yield C.batch(r=pa.array([rs[x] for x in on], pa.int64()), v=pa.array([rs[root[x]] for x in on], pa.int64()), links=pa.array(links[on]), rows=pa.array(rows[on]))
 
     linked = C.saved(full.mapInArrow(verify, "r long, v long, links long, rows long"))
     number = linked.groupBy("r").agg(F.sum("links").alias("links"), F.sum("rows").alias("rows"))
