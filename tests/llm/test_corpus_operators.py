@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.llm import common as C
-from gradeloom.llm import components, encoding, fingerprints, html_pages, lm_scoring, mixing, near_join, packing, quality, substrings, token_counts, token_files
+from gradeloom.llm import components, encoding, fingerprints, html_pages, lm_scoring, mixing, near_join, packing, quality, ranges, substrings, token_counts, token_files
 
 DATA = "/root/testdata/sf0.001"
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -112,6 +112,60 @@ def test_flow_is_cheapest():
         assert (-sum(sum(p.values()) for p in got), sum(cost(sum(p.values()), size) for (_, size), p in zip(patterns, got))) == best
 
 
+def test_mix_of_components_equals_one_network(spark):
+    """Sources that rows connect are solved apart; together they give the same."""
+    rnd = random.Random(9)
+    names = ["a", "b", "c", "d", "e", None]
+    rows = [(i, rnd.randint(0, 9), rnd.choice([["a"], ["a", "b"], ["c"], ["d", "e"], ["e"], [None], [], None])) for i in range(400)]
+    quotas = {"a": 300, "b": 200, "c": 5000, "d": 10, "e": 400, None: 77}
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, w long, m array<string>"), F.col("w"), F.col("m"), quotas=quotas).select("doc_id", "taken", "taken_by").collect()
+    size = Counter()
+    for _, w, m in rows:
+        size[tuple(m or ())] += w
+    found = [(m, w) for m, w in size.items() if m]
+    want = Counter()
+    for g in mixing.route(found, {s: quotas[s] for s in names}, 3):
+        want.update(g)
+    got = Counter()
+    for r in out:
+        got.update({x["source"]: x["words"] for x in r["taken_by"]})
+    assert {s: got[s] for s in names} == {s: want[s] for s in names}
+    weights = mixing.mix(spark.createDataFrame(rows, "doc_id long, w long, m array<string>"), F.col("w"), F.col("m"), mixing.cycle_521).collect()
+    assert all(r["taken"] <= 3 * r["size"] for r in weights)
+
+
+# ranges
+
+
+@pytest.mark.parametrize("kind", ["dense", "skewed", "wide", "hot", "null", "none"])
+def test_range_plans(spark, kind):
+    rnd = random.Random(1)
+    ids = {
+        "dense": list(range(4000)), "skewed": [int(rnd.paretovariate(0.3)) % 10**12 for _ in range(4000)], "wide": [rnd.choice([-(2**63), 2**63 - 1, rnd.randrange(-(2**63), 2**63)]) for _ in range(4000)],
+        "hot": [7] * 2000 + list(range(2000)), "null": [None] * 2000 + list(range(2000)), "none": [],
+    }[kind]
+    rows = C.saved(spark.createDataFrame([(k, 10) for k in ids], "k long, w long"))
+    plan = ranges.plan_ranges(rows, 400, bins=16)
+    keys = __import__("pyarrow").array(ids, "int64")
+    subs = np.array([rnd.randrange(1 << 16) for _ in ids], np.uint16)
+    up, down = plan.ranks(keys, subs), plan.ranks_down(keys, subs)
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, subs[i]))
+    assert (np.diff(up[order]) >= 0).all()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, -(ids[i] or 0), subs[i]))
+    assert (np.diff(down[order]) >= 0).all()
+    for r in (up, down):
+        sums = Counter(r.tolist())
+        assert not ids or (min(sums) >= 0 and max(sums) < plan.size and max(sums.values()) * 10 <= 2 * 400)
+    assert plan.size <= 400
+
+
+def test_running_sum(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("v"), F.lit("x").alias("s"))
+    out = ranges.running_sum(df, [F.col("id").desc()], "v", "before", parts=6, keep=["id"]).collect()
+    assert {r["id"]: r["before"] for r in out} == {i: sum(j % 7 for j in range(i + 1, 1000)) for i in range(1000)}
+    assert ranges.running_sum(df.limit(0), [F.col("id")], "v", "before").count() == 0
+
+
 # 2, 3, 6
 
 
@@ -199,20 +253,77 @@ def test_packing(docs):
             assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
 
 
-def test_packing_keeps_shares(spark):
-    df = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 60).alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
-    out = packing.pack(df, BYTES, window=512, segment=64).toPandas()
-    share = out[out.sequence_id < out.sequence_id.max()].pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum") / 512
-    assert abs(share["a"] - 0.25).max() < 0.2
-    assert abs(share["a"].cumsum() - 0.25 * np.arange(1, len(share) + 1)).max() < 0.3  # deficits carry
+def runs_of(rows, key):
+    """Sources along the stream with the number of their ids."""
+    out = []
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        if out and out[-1][0] == key(r):
+            out[-1][1] += r["length"]
+        else:
+            out.append([key(r), r["length"]])
+    return out
+
+
+@pytest.mark.parametrize("shares", [{"a": 0.25, "b": 0.75}, {"a": 0.125, "b": 0.625, "c": 0.25}, {"a": 0.5, "b": 0.5, "c": 0.0}, {"a": 2.0**-20, "b": 0.5, "c": 0.5}])
+def test_packing_is_deficit_round_robin(spark, shares):
+    """Against queues that are served round by round."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join(["word"] * rnd.randint(1, 150)), rnd.choice("abc")) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    window, most = 512, 128
+    out = packing.pack(df, BYTES, window=window, segment=most, shares=shares).collect()
+    total = Counter()
+    for r in out:
+        total[r["source"]] += r["length"]
+    left = max(0.0, 1 - sum(shares.values()))
+    quantum = {s: max((shares[s] if s in shares else left) * window, 1e-6) for s in total}
+    order = [r["source"] for r in df.select("source").distinct().orderBy(F.xxhash64("source")).collect()]
+    queues = {}
+    for s in total:  # a queue's documents in the order that they were sent, cut into segments
+        q, size = quantum[s], {}
+        for r in sorted((r for r in out if r["source"] == s), key=lambda r: (r["sequence_id"], r["offset"])):
+            size.setdefault(r["doc_id"], r["doc_tokens"])
+        seg = min(most, max(64, math.ceil(q / math.ceil(q / most))))
+        queues[s] = [min(seg, n - a) for n in size.values() for a in range(0, n, seg)]
+    credit, sent, want = Counter(), Counter(), []
+    while any(queues.values()):
+        live = [s for s in order if queues[s]]
+        jump = max(1, min(math.floor((queues[s][0] - credit[s]) / quantum[s]) for s in live))  # rounds that send nothing
+        for s in live:
+            credit[s] += quantum[s] * jump
+            while queues[s] and queues[s][0] <= credit[s]:
+                n = queues[s].pop(0)
+                credit[s] -= n
+                if want and want[-1][0] == s:
+                    want[-1][1] += n
+                else:
+                    want.append([s, n])
+    assert runs_of(out, lambda r: r["source"]) == want
+
+
+def test_packing_fills_every_window_to_the_shares(spark):
+    """Twenty equal sources: each window holds about its share of each."""
+    df = spark.range(800).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 60).alias("text"), F.concat(F.lit("s"), F.col("id") % 20).alias("source"))
+    out = packing.pack(df, BYTES).toPandas()
+    share = out[out.sequence_id < out.sequence_id.max()].pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum").fillna(0) / 2048
+    assert share.shape[1] == 20 and (share - 0.05).abs().to_numpy().max() < 0.06
+    assert (share.cumsum().to_numpy() - 0.05 * np.arange(1, len(share) + 1)[:, None] < 0.06).all()  # deficits carry
 
 
 # 4
 
 
-def test_lm_score(docs):
-    out = lm_scoring.lm_score(docs, head=500, steps=200).collect()
-    toks = [(i, [w.translate({c: c + 32 for c in range(65, 91)}) for w in words(t)] + [None]) for i, t in texts_of(docs)]
+def lowered(t):
+    return [w.translate({c: c + 32 for c in range(65, 91)}) for w in words(t)]
+
+
+def test_lm_score(docs, monkeypatch):
+    """The base columns by a plain count, the score by plain loops over the trained parameters."""
+    kept = []
+    trained = lm_scoring._trained
+    monkeypatch.setattr(lm_scoring, "_trained", lambda model, *a: (trained(model, *a), kept.append(model)))
+    out = lm_scoring.lm_score(docs, head=500, least_words=60, epochs=1).collect()
+    toks = [(i, lowered(t) + [None]) for i, t in texts_of(docs)]
     c = Counter()
     for i, ts in toks:
         if not lm_scoring.held_out(i):
@@ -220,19 +331,66 @@ def test_lm_score(docs):
     n, v = sum(c.values()), len(c)
     want = Counter((i, lm_scoring.held_out(i), len(ts), sum(c[x] > 0 for x in ts), n, round(sum(np.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in ts), 4)) for i, ts in toks)
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in out) == want
-    assert all(r["score"] <= 0 for r in out)
-
-
-def test_lm_beats_the_base_on_held_out_text(real):
-    r = lm_scoring.lm_score(real).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert r[0] > r[1]
-
-
-def test_lm_is_normalised():
-    m = lm_scoring.LogBilinear()
-    rnd = np.random.default_rng(1)
-    m.train(rnd.integers(0, 128, (500, 2)), rnd.integers(0, 128, 500), rnd.random(500), steps=50)
-    assert np.allclose(np.exp(m.normalise().astype(float)).sum(1), 1, atol=1e-4)
+    if not n:
+        return
+    m = kept[0]
+    o = m.outcomes
+    left, level, least = max(60, int(lm_scoring.WORDS_ROOT * n ** (1 / 3))), Counter(math.floor(8 * math.log2(x)) for w, x in c.items() if w), 0
+    for b in sorted(level, reverse=True):  # whole bins of the counts
+        left -= level[b]
+        if left < 0:
+            break
+        least = b
+    own = sorted((w for w in c if w and math.floor(8 * math.log2(c[w])) >= least), key=lambda w: (-c[w], w.encode("utf-8", "surrogatepass")))
+    number = {w: i + 1 for i, w in enumerate(own)} | {None: 0}
+    once, twice = (sum(x == k for w, x in c.items() if w) for k in (1, 2))
+    d = once / (once + 2 * twice) if once and twice else 0.5
+    bucket = lambda w: o.tail + zlib.crc32(w.encode("utf-8", "surrogatepass")[:2]) % o.buckets
+    mass, kinds = Counter(), Counter()
+    for w, x in c.items():
+        if w not in number:
+            mass[bucket(w)] += x
+            kinds[bucket(w)] += 1
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    def every(one, two):
+        """The probability of each outcome after two others."""
+        h = (m.read[one] @ m.place[0] + m.read[two] @ m.place[1]).astype(float)
+        inner = np.concatenate([softmax(m.say[k * o.width : (k + 1) * o.width] @ h + m.bias[k * o.width : (k + 1) * o.width]) for k in range(o.classes)])
+        return inner * np.repeat(softmax(m.say_class @ h + m.bias_class), o.width)
+
+    def of(w, p):
+        if w in number:
+            return p[number[w]]
+        if c[w]:
+            return p[bucket(w)] * (c[w] - d) / mass[bucket(w)]
+        return sum(p[b] * (d * kinds[b] / mass[b] if mass[b] else 1.0) for b in range(o.tail, o.size))
+
+    place = lambda w: number[w] if w in number else bucket(w)
+    p = every(3, 1)
+    assert abs(sum(of(w, p) for w in [*c, "\0never\0"]) - 1) < 1e-5
+    got = {r["doc_id"]: r["score"] for r in out}
+    for i, ts in [x for x in toks if x[0] not in (None, 2) and len(x[1]) < 400][:12]:
+        at = [0, 0, *map(place, ts)]
+        plain = sum(np.log10(of(w, every(at[j + 1], at[j]))) for j, w in enumerate(ts))
+        assert abs(got[i] - plain) < 1e-3 * max(1, abs(plain) / 10), i
+
+
+def test_lm_learns_more_than_counts(spark):
+    docs = C.documents(spark, "/root/testdata/sf0.01")
+    per = lambda e: lm_scoring.lm_score(docs, epochs=e).where("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    (untrained, base), (trained, _) = per(0), per(2)
+    assert base < untrained and trained > untrained + 0.2
+
+
+def test_outcomes_hold_every_word_once():
+    for n in (0, 1, 7, 63, 64, 65, 5000):
+        o = lm_scoring.Outcomes(n)
+        assert o.tail > n and o.tail % o.width == 0 and o.size == o.classes * o.width
+        assert {o.bucket(bytes((a, b))) for a in range(97, 123) for b in range(97, 123)} <= set(range(o.tail, o.size))
 
 
 # 5
@@ -275,6 +433,31 @@ def test_near_join_of_a_large_group(spark):
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == brute_links(rows)
 
 
+def test_near_copies_store_no_pairs(spark, monkeypatch):
+    """A group of 3000: the links of brute force, and rows stored in proportion to the members."""
+    rnd = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(3000):
+        ws = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            ws[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(ws)))
+    stored = []
+    saved = C.saved
+    monkeypatch.setattr(C, "saved", lambda df, *a: (stored.append(saved(df, *a)), stored[-1])[1])
+    out = {r["doc_id"]: r["n_links"] for r in near_join.near_join(spark.createDataFrame(rows, "doc_id long, text string"), block=1000).collect()}
+    sets = [C.shingles(t) for _, t in rows]
+    every = np.unique(np.concatenate(sets))
+    m = np.zeros((3000, len(every)), np.float32)
+    for i, x in enumerate(sets):
+        m[i, np.searchsorted(every, x)] = 1
+    common, size = m @ m.T, m.sum(1)
+    links = (common / (size[:, None] + size[None, :] - common) >= 0.8 - 1e-6).sum(1) - 1
+    assert all(out[i] == links[i] for i in range(3000))
+    assert all("js" not in x.columns and x.count() <= 3000 * 32 * 3 for x in stored)
+
+
 def test_keep_one(awkward):
     left = near_join.keep_one(awkward)
     assert left.columns == awkward.columns
@@ -293,15 +476,51 @@ def test_components(spark):
 # 7
 
 
+def plain_fingerprint(text):
+    """256 bins by the top byte of a shingle's hash, the least hash of each, empty bins from others by their own sequence; the low bytes."""
+    hs = [int(x) for x in C.shingles(text)]
+    if not hs:
+        return ""
+    mixed = lambda x: int(C.mix(np.array([x % 2**64], np.uint64))[0])
+    full = {}
+    for h in hs:
+        full[h >> 56] = min(full.get(h >> 56, h), h)
+    out = []
+    for i in range(256):
+        at, turn = i, 0
+        while at not in full:
+            turn += 1
+            at = mixed(i * 0x9E3779B97F4A7C15 + turn) % 256
+        out.append(mixed(full[at]) & 255)
+    return bytes(out).hex()
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    same = sum(a[i : i + 2] == b[i : i + 2] for i in range(0, 512, 2)) / 256
+    return min(1.0, max(0.0, (same - 1 / 256) / (255 / 256)))
+
+
 def test_fingerprints(docs):
     out = fingerprints.fingerprints(docs).collect()
     rows = sorted(texts_of(docs), key=lambda x: (x[0] is None, -(x[0] or 0), hashlib.md5((x[1] or "").encode()).digest()))
-    want = Counter()
+    want, prints = Counter(), [plain_fingerprint(t) for _, t in rows]
     for i, (k, t) in enumerate(rows):
         t, nxt = t or "", rows[(i + 1) % len(rows)][1] or ""
-        want[k, len(t), hashlib.sha256(fingerprints.edited_text(t, nxt).encode()).hexdigest(), fingerprints.fingerprint(t).hex()] += 1
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"]) for r in out) == want
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in out)
+        e = fingerprints.edited_text(t, nxt)
+        p = plain_fingerprint(e)
+        want[k, len(t), hashlib.sha256(e.encode()).hexdigest(), prints[i], p, round(plain_likeness(prints[i], p), 9), round(plain_likeness(prints[i], prints[(i + 1) % len(rows)]), 9)] += 1
+    assert Counter((*tuple(r)[:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in out) == want
+
+
+def test_fingerprints_of_hot_ids(spark, monkeypatch):
+    """Many rows without an id, with the same id, and equal in all."""
+    rows = [(None, f"null {i}") for i in range(300)] + [(7, f"seven {i} " * 3) for i in range(300)] + [(9, "all the same text") for _ in range(300)] + [(i, f"own {i}") for i in range(100, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    whole = Counter(tuple(r) for r in fingerprints.fingerprints(df).collect())
+    monkeypatch.setattr(fingerprints, "PART_TEXT_BYTES", 500)
+    assert Counter(tuple(r) for r in fingerprints.fingerprints(df).collect()) == whole and sum(whole.values()) == len(rows)
 
 
 def test_fingerprints_over_many_ranges(real, monkeypatch):
@@ -336,11 +555,71 @@ def test_html():
     assert html_pages.main_text("plain <b>text") == "plain text"
 
 
+def test_class_words_leave_text():
+    assert html_pages.main_text('<article><p class="share-price">1</p><p id="notice">2</p><section class="related work"><p>3</p></section><div class="notice">4</div></article>') == "1\n\n2\n\n3\n\n4"
+    assert html_pages.main_text('<body><div>t</div><div class="cookie-notice">n</div><div class="share-buttons">s</div><div id="sidebar">b</div><p class="advert">a</p><div class="notice">n</div><ul class="comment-list"><li>c</ul></body>') == "t"
+
+
+@pytest.mark.parametrize("page, text", [("<div>" * 200_000 + "deep", "deep"), ("<a " * 350_000, None), ("<p>x<a '>" * 100_000, None), ("<li>" + "<b>" * 100_000 + "<ul>" + "<li>" * 50_000, ""), ("<" * 500_000 + ">", None), ("<b>" * 100_000 + "</i>" * 100_000, "")])
+def test_pages_are_read_in_linear_time(page, text):
+    import time
+
+    began = time.thread_time()
+    got = html_pages.extracted(page, {1})[0]
+    html_pages.template_candidates(page)
+    assert time.thread_time() - began < 15
+    assert text is None or got == text
+
+
 def test_deep_and_broken_pages(spark):
-    rows = [(1, "http://a/", "<div>" * 3000 + "deep"), (2, None, None), (3, "http://a/", "<p class='x>open quote <b>t</b>"), (3, "http://a/", ""), (None, "http://a/", "<p>x</p>")]
-    out = html_pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    rows = [(1, "http://a/", "<div>" * 3000 + "deep", "x"), (2, None, None, None), (3, "http://a/", "<p class='x>open quote <b>t</b>", "y"), (3, "http://a/", "", "y"), (None, "http://a/", "<p>x</p>", "z")]
+    names = "page_id long, url string, html string, host string"
+    out = html_pages.extract(spark.createDataFrame(rows, names)).collect()
     assert len(out) == 5 and next(r["text"] for r in out if r["page_id"] == 1) == "deep"
-    assert html_pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert html_pages.extract(spark.createDataFrame([], names)).count() == 0
+    clash = spark.createDataFrame([(1, "http://a/", "<p>x</p>", 1, 2, 3, 4)], "page_id long, url string, html string, p int, d int, text int, ds int")
+    assert [r["text"] for r in html_pages.extract(clash).collect()] == ["x"]
+
+
+def plain_template_removal(pages, least=3):
+    """Containers of well-formed pages without class names, counted by their source with what the page says beside them."""
+    seen = defaultdict(set)
+    strip = lambda x: re.sub(r"<[^>]*>", " ", x).split()
+
+    def containers(page):
+        for tag in ("div", "ul"):
+            for m in re.finditer(f"<{tag}>", page):
+                depth, at = 0, m.start()
+                for t in re.finditer(f"</?{tag}>", page[m.start() :]):
+                    depth += -1 if t[0][1] == "/" else 1
+                    if not depth:
+                        at = m.start() + t.end()
+                        break
+                yield m.start(), at
+
+    for host, page in pages:
+        for a, b in containers(page):
+            seen[host, page[a:b]].add(tuple(sorted(strip(page[:a]) + strip(page[b:]))))
+    out = []
+    for host, page in pages:
+        cut = [(a, b) for a, b in containers(page) if len(seen[host, page[a:b]]) >= least]
+        left = "".join(c for i, c in enumerate(page) if not any(a <= i < b for a, b in cut))
+        out.append("\n\n".join(x for x in (" ".join(strip(y)) for y in re.split(r"</?(?:div|ul|li|p|body)>", left if strip(left) else page)) if x))
+    return out
+
+
+def test_templates_equal_brute_force(spark):
+    rnd = random.Random(6)
+    menus, foots = [f"<ul><li>menu {i}</li><li>all</li></ul>" for i in range(4)], [f"<div>foot {i}<div>inner</div></div>" for i in range(5)]
+    pages = []
+    for i in range(120):
+        body = "".join(f"<p>line {rnd.randrange(40)} of text</p>" for _ in range(3)) + f"<p>own {i}</p>"
+        pages.append((f"h{rnd.randrange(3)}", f"<body>{rnd.choice(menus)}<div>{body}{rnd.choice(foots) if i % 3 else ''}</div>{rnd.choice(foots)}</body>"))
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string")
+    out = html_pages.extract(df).collect()
+    assert {r["page_id"]: r["text"] for r in out} == dict(enumerate(plain_template_removal(pages)))
+    off = {r["page_id"]: r["text"] for r in html_pages.extract(df, least_pages=10**9).collect()}
+    assert sum(off[r["page_id"]] != r["text"] for r in out) > 100 and all(r["n_templates"] for r in out if off[r["page_id"]] != r["text"])
 
 
 def test_site_templates(spark):
@@ -370,14 +649,30 @@ def test_templates_of_large_and_small_hosts(spark):
     assert out[1001] == "The one page" and out[2000] == "All a"
 
 
-def test_pages(spark):
-    out = {r["page_id"]: r["text"] for r in html_pages.op8_html_pages(spark, DATA).collect()}
+def article_text(page):
     import html
 
-    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
-        inside = re.search("<article>(.*)</article>", r["html"], re.S)[1]
-        blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", inside))
-        assert out[r["page_id"]] == "\n\n".join(b for b in blocks if b)
+    inside = re.search("<article>(.*)</article>", page, re.S)[1]
+    blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", inside))
+    return "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_pages(spark, tag):
+    """The same text whether or not the article is marked."""
+    rows = spark.read.parquet(f"{DATA}/pages.parquet")
+    out = {r["page_id"]: r["text"] for r in html_pages.extract(rows.withColumn("html", F.regexp_replace("html", "article>", f"{tag}>"))).collect()}
+    assert out == {r["page_id"]: article_text(r["html"]) for r in rows.collect()}
+
+
+def test_templates_alone_find_the_article(spark):
+    """Menus, adverts and footers without any mark: what recurs on a host goes, and nothing of the articles does."""
+    every = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").withColumn("host", F.regexp_extract("url", "//([^/?#]*)", 1))
+    rows = every.where(F.col("host") == every.groupBy("host").count().orderBy(F.desc("count")).first()["host"]).drop("host")
+    bare = rows.withColumn("html", F.regexp_replace(F.regexp_replace("html", "(</?)(?:nav|footer|article)>", "$1div>"), ' class="ad"', ""))
+    out = {r["page_id"]: r for r in html_pages.extract(bare).collect()}
+    exact = [out[r["page_id"]]["text"] == article_text(r["html"]) for r in rows.collect()]
+    assert len(exact) > 300 and np.mean(exact) > 0.95 and np.mean([r["n_templates"] > 0 for r in out.values()]) > 0.95
 
 
 # 9
@@ -398,6 +693,87 @@ def test_quality(docs):
     assert quality.keep_good(docs).count() == sum(r["kept"] for r in out)
 
 
+def plain_kneser_ney(texts, top):
+    """log P of each text's tokens with its end, by an interpolated modified Kneser-Ney bigram model of the distinct texts."""
+    count = Counter(w for t in set(texts) for w in words(t))
+    top = max(top, 2 * math.isqrt(sum(count.values())))
+    least = sorted(count.values(), reverse=True)[min(top, len(count)) - 1]
+    known = {w for w in count if count[w] >= least}
+    seq = lambda t: ["^", *(w if w in known else "?" for w in words(t)), "^"]
+    pair, first, n = Counter(), Counter(), len(known) + 2
+    for t in set(texts):
+        s = seq(t)
+        pair.update(zip(s, s[1:], strict=False))
+        first.update(s[:-1])
+    after, follow = defaultdict(list), Counter()
+    for (a, b), x in pair.items():
+        after[a].append(x)
+        follow[b] += 1
+
+    def discounts(xs):
+        k = [sum(x == i for x in xs) for i in (1, 2, 3, 4)]
+        d = [0.5, 1.0, 1.5]
+        if k[0] and k[1]:
+            y = k[0] / (k[0] + 2 * k[1])
+            for i in range(3):
+                if k[i] and k[i + 1]:
+                    d[i] = min(max(i + 1 - (i + 2) * y * k[i + 1] / k[i], 0.01), i + 0.99)
+        return lambda x: d[min(x, 3) - 1] if x else 0.0
+
+    low, high, total = discounts(follow.values()), discounts(pair.values()), sum(follow.values())
+    off = sum(map(low, follow.values()))
+    uni = lambda b: (follow[b] - low(follow[b])) / total + off / total / n
+
+    def p(a, b):
+        if not after[a]:
+            return uni(b)
+        return (pair[a, b] - high(pair[a, b])) / first[a] + sum(map(high, after[a])) / first[a] * uni(b)
+
+    return [sum(math.log(p(a, b)) for a, b in zip(s, s[1:], strict=False)) / (len(s) - 1) for s in map(seq, texts)]
+
+
+def test_perplexity_and_verdict_equal_plain_kneser_ney(spark):
+    rnd = random.Random(11)
+    rows = []
+    for lang, n, size in (("en", 120, 400), ("fr", 8, 60)):
+        for _ in range(n):
+            rows.append((len(rows), " ".join(f"{lang}{min(rnd.randrange(size), rnd.randrange(size))}" for _ in range(rnd.randint(12, 90))), lang))
+    rows += [(1000 + i, rows[3][1], "en") for i in range(9)] + [(2000, " ".join(f"j{i}" for i in range(60)), "en"), (2001, None, "xx"), (2002, rows[5][1], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in quality.quality(df, vocabulary=70).collect()}
+    scores = {}
+    for lang in ("en", "fr", None):
+        own = [(i, t) for i, t, x in rows if x == lang]
+        scores[lang] = dict(zip([i for i, _ in own], plain_kneser_ney([t for _, t in own], 70), strict=True))
+        for i, x in scores[lang].items():
+            assert abs(out[i]["log_perplexity"] + x) < 1e-4, (i, lang)
+    found = {}
+    for lang, by in scores.items():
+        v = sorted(math.floor(-x * quality.BIN) for i, x in by.items() if not out[i]["base_failed"])
+        if v:
+            q = [(v[next(k for k in range(len(v)) if k + 1 >= f * len(v))] + 0.5) / quality.BIN for f in (0.25, 0.5, 0.75)]
+            found[lang] = len(v), q[1], (q[2] - q[0]) / 1.349
+    pooled = sum(n * s * s for n, _, s in found.values()) / sum(n for n, _, _ in found.values())
+    for lang, by in scores.items():
+        for i, x in by.items():
+            n, mid, s = found.get(lang, (1, 0, 0))
+            k = quality.PRIOR_ROWS
+            reach = quality.WIDTH * max(math.sqrt((n * s * s + k * pooled) / (n + k)), quality.LEAST_SPREAD) * math.sqrt(1 + k / n) * math.sqrt(1 + quality.SHORT / out[i]["n_words"])
+            if abs(abs(-x - mid) - reach) > 1e-3:
+                assert out[i]["kept"] == (not out[i]["base_failed"] and abs(-x - mid) < reach), i
+    assert not out[2000]["kept"] and out[2001]["kept"] is False
+
+
+def test_rows_are_removed_by_language_too(spark):
+    rnd = random.Random(4)
+    text = " ".join(f"q{rnd.randrange(10**9)}" for _ in range(150))
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.5)) % 900}" for _ in range(150)), "en") for i in range(200)] + [(500, text, "en"), (500, text, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["_lang"]: r["kept"] for r in quality.quality(df, vocabulary=500).where("doc_id = 500").collect()}
+    assert kept == {"en": False, "none": True}
+    assert [r["lang"] for r in quality.keep_good(df, vocabulary=500).where("doc_id = 500").collect()] == ["none"]
+
+
 def test_kneser_ney_is_normalised():
     v = quality.Vocabulary([("en", 5), ("en", -7), ("fr", 9)])
     rnd = np.random.default_rng(2)
