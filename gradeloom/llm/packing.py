@@ -87,28 +87,38 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int =
     cuts = segs.groupBy("_row").agg(F.first("_seg").alias("seg"), F.transform(F.array_sort(F.collect_list(F.struct("_from", "_to"))), lambda x: x["_to"]).alias("segs"))  # a row's own segments alone
     cuts = C.saved(cuts)
 
+    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, expand = encoder(tokenizer, cached), zstandard.ZstdDecompressor()
-        for keys, sources, ns, zs, sizes, plans in C.rows_of(batches, "_id", "_src", "n", "z", "seg", "segs"):
-            out: list[tuple] = []
-            for key, source, n, z, segment, plan in zip(keys, sources, ns, zs, sizes, plans, strict=True):
-                ids = np.frombuffer(expand.decompress(z), enc.dtype)
-                runs: list[list[int]] = []
-                for j, to in enumerate(plan):
-                    a = j * segment
-                    length = min(segment, n - a)
-                    if runs and runs[-1][2] + runs[-1][1] == to:  # the stream goes on with this row
-                        runs[-1][1] += length
-                    else:
-                        runs.append([a, length, to])
-                for a, length, to in runs:
-                    while length:
-                        take = min(length, window - to % window)
-                        out.append((key, a, take, zlib.crc32(ids[a : a + take].astype("<u4").tobytes()), n, to // window, to % window, source))
-                        a, to, length = a + take, to + take, length - take
-            names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-            cols = list(zip(*out, strict=True)) or [()] * 8
-            yield C.batch(**{c: pa.array(v, pa.int64()) for c, v in zip(names, cols, strict=False)}, source=pa.array(cols[7], pa.string()))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, sources, ns, zs, seg, segs = (b.column(b.schema.get_field_index(c)) for c in ("_id", "_src", "n", "z", "seg", "segs"))
+            n, counts = ns.to_numpy(), segs.value_lengths().to_numpy()
+            to = segs.flatten().to_numpy()
+            row = np.repeat(np.arange(len(n)), counts)
+            size = seg.to_numpy()[row]
+            at = (np.arange(len(to)) - np.repeat(np.cumsum(counts) - counts, counts)) * size
+            length = np.minimum(size, n[row] - at)
+            # segments of a row that follow each other in the stream are one run; a run is cut at the windows' ends
+            new = np.concatenate(([True], (row[1:] != row[:-1]) | (to[1:] != to[:-1] + length[:-1])))
+            first = np.flatnonzero(new)
+            length, row, at, to = np.add.reduceat(length, first), row[first], at[first], to[first]
+            times = (to + length - 1) // window - to // window + 1
+            turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, at, to, length = (np.repeat(x, times) for x in (row, at, to, length))
+            begin, end = np.maximum(to, (to // window + turn) * window), np.minimum(to + length, (to // window + turn + 1) * window)
+            start, length = at + begin - to, end - begin
+            crcs = np.empty(len(start), np.int64)
+            held, raw = -1, b""
+            for i, (r, a, c) in enumerate(zip(row.tolist(), (4 * start).tolist(), (4 * (start + length)).tolist(), strict=True)):
+                if r != held:
+                    held, raw = r, memoryview(np.frombuffer(expand.decompress(zs[r].as_py()), enc.dtype).astype("<u4").tobytes())
+                crcs[i] = zlib.crc32(raw[a:c])
+            where = pa.array(row)
+            yield C.batch(**dict(zip(names, (keys.take(where), pa.array(start), pa.array(length), pa.array(crcs), ns.take(where), pa.array(begin // window), pa.array(begin % window)), strict=True)), source=sources.take(where))
+        C.release()
 
     ready = coded.select("_row", "_id", "_src", "n", "z").join(C.small(cuts), "_row")
     return ready.drop("_row").mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
