@@ -28,9 +28,52 @@ GOLDEN = [
     ("$20", r"\boxed{20}", True, "literal_match", "20"),
     ("(x+1)(x+2)", r"\boxed{2+3x+xx}", True, "symbolic_match", "2+3x+xx"),
     (None, r"\boxed{}", False, "no_match", ""),
+    (r"\dfrac{1}{2}", r"\boxed{\tfrac{1}{2}}", True, "literal_match", r"\tfrac{1}{2}"),
+    (r"\left(1,2\right)", r"\boxed{(1,\,2)}", True, "literal_match", r"(1,\,2)"),
+    ("(1,2)", r"\boxed{1,2}", False, "no_match", "1,2"),
+    (r"\begin{pmatrix}1\\2\end{pmatrix}", r"\boxed{\begin{bmatrix}1\\2\end{bmatrix}}", True, "literal_match", r"\begin{bmatrix}1\\2\end{bmatrix}"),
+    (r"x^{2}", r"\boxed{x^2}", True, "literal_match", "x^2"),
+    (r"\sin{x}", r"\boxed{\sin x}", True, "literal_match", r"\sin x"),
+    (r"\operatorname{Yes}", r"\boxed{\mathbf{YES}}", True, "literal_match", r"\mathbf{YES}"),
+    ("f(x)=x+1", r"\boxed{x+1}", True, "literal_match", "x+1"),
+    ("a_1=7", r"\boxed{7}", True, "literal_match", "7"),
+    ("f^{-1}(x)=2", r"\boxed{2}", True, "literal_match", "2"),
+    ("x+1=0", r"\boxed{0}", False, "no_match", "0"),
+    ("xx-1=(x-1)(x+1)", r"\boxed{(x-1)(x+1)}", True, "literal_match", "(x-1)(x+1)"),
+    (r"n\in\{1\}", r"\boxed{\{1\}}", True, "literal_match", r"\{1\}"),
+    (r"\{1,2\}", r"\boxed{1,2}", False, "no_match", "1,2"),
+    ("3/4", r"\boxed{0.75}", True, "numeric_match", "0.75"),
+    (r"2\cdot 3", r"\boxed{6}", True, "numeric_match", "6"),
+    (r"\frac{50%}{2}", r"\boxed{25}", True, "numeric_match", "25"),
+    ("1,000", r"\boxed{1000}", True, "numeric_match", "1000"),
+    ("5000", r"\boxed{50}", True, "numeric_match", "50"),
+    ("5001", r"\boxed{50}", False, "no_match", "50"),
+    (r"12\,\text{m}", r"\boxed{12\text{ meters}}", True, "literal_match", r"12\text{ meters}"),
+    ("90°", r"\boxed{90^{\circ}}", True, "literal_match", r"90^{\circ}"),
+    ("20 °C", r"\boxed{20}", True, "literal_match", "20"),
+    ("€5", r"\boxed{5.0}", True, "numeric_match", "5.0"),
+    ("7 km/h", r"\boxed{7}", True, "literal_match", "7"),
+    ("7m/s^2", r"\boxed{7}", True, "literal_match", "7"),
+    ("seven km", r"\boxed{seven}", False, "no_match", "seven"),
+    (r"$\(4\)$", r"\boxed{4}", True, "literal_match", "4"),
+    ("2a+3b-a", r"\boxed{3b+a}", True, "symbolic_match", "3b+a"),
+    ("2a+3b", r"\boxed{2a+4b}", False, "no_match", "2a+4b"),
+    ("a--b", r"\boxed{a+b}", False, "no_match", "a+b"),
 ]
 
 
+@pytest.mark.parametrize("text, form", [(r"\frac{1}{\sqrt{2}}", "((1)/(sqrt(2)))"), (r"2\pi r^{2}", "2pi r**(2)"), (r"\sin x\cdot\ln{y}", "sin x*ln(y)"), (r"\frac12", r"\frac12"), (r"{a", "(a)")])
+def test_formulas(text, form):
+    assert M.formula(M.tree(text)) == form
+
+
+@given(st.text(alphabet="{}\\abc$ ,^_", max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_trees_keep_their_text(text):
+    assert M._source(M.tree(text)).count("a") == text.count("a")
+    M.match_answer(text, rf"\boxed{{{text}}}")
+
+
 @pytest.mark.parametrize("expected, output, matched, reason, extracted", GOLDEN)
 def test_golden(expected, output, matched, reason, extracted):
     assert M.match_answer(expected, output) == (matched, reason, extracted)
