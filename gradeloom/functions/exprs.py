@@ -191,3 +191,21 @@ def label_mask(ids: Column, prompt_length: Column) -> Column:
 
 def truncated(ids: Column, most: int) -> Column:
     return F.slice(ids, 1, most)
+
+
+def two_decimals(c: Column) -> Column:
+    return F.format_string("%.2f", c.cast("double"))
+
+
+def percent(share: Column) -> Column:
+    """A share with one decimal."""
+    return F.format_string("%.1f%%", share.cast("double") * 100)
+
+
+def thousands(c: Column) -> Column:
+    return F.format_number(c, 0)
+
+
+def undoubled(c: Column) -> Column:
+    """A template's text with doubled braces as braces."""
+    return F.replace(F.replace(c, F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))

@@ -12,6 +12,8 @@ SYSTEM_PROMPT = (
     "identify relevant constraints, reason logically, verify key steps, and correct mistakes when found. Then respond clearly and follow the user's instructions."
 )
 HINT_FORMAT = "{question}\n\nHint: {hint}"
+TOOLS_BEGIN = "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>"
+TOOLS_END = '\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call>'
 HINT_COLUMNS = {"nohint": None, "concise": "concise_hint", "detailmethod": "detailed_method_hint", "detailscaffold": "detailed_scaffold_hint"}
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -125,11 +127,7 @@ def _chat(messages, tools, generate, thinking, one, text) -> Column:
     first = F.try_element_at(messages, F.lit(1))
     own = F.when(first["role"] == "system", text(first))
     if tools:
-        intro = (
-            "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>"
-            + "".join(f"\n{t}" for t in tools)
-            + '\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call>'
-        )
+        intro = TOOLS_BEGIN + "".join(f"\n{t}" for t in tools) + TOOLS_END
         head = block("system", F.concat(F.coalesce(F.concat(own, F.lit("\n\n")), F.lit("")), F.lit(intro)))
     else:
         head = F.coalesce(block("system", own), F.lit(""))
@@ -148,8 +146,9 @@ def sft_messages(system: Column, instruction: Column, output: Column, default_sy
     return F.when(F.coalesce(s, F.lit("")) != "", F.array(message("system", s), *rest)).otherwise(F.array(*rest))
 
 
-def chat_payload(system: Column, question: Column, others: Column) -> Column:
-    """System, question, and each other prompt as a user turn."""
+def chat_payload(system: Column, question: Column, others: Column, single: bool = False) -> Column:
+    """System, question, and each other prompt as a user turn; ``others`` is an array, or (``single``) one text."""
+    others = F.array_compact(F.array(others)) if single else others
     turns = F.transform(F.coalesce(others, F.array().cast("array<string>")), lambda t: message("user", t))
     return F.concat(F.array(message("system", system), message("user", question)), turns)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +42,13 @@ def breakdown(df: DataFrame) -> DataFrame:
     return sums.withColumn("finish_rank", X.finish_rank(F.col("finish_reason"), "length", "stop").cast("int"))
 
 
+def other_reasons(df: DataFrame) -> DataFrame:
+    """Incorrect rows that are neither unmatched nor without a box, by finish reason and reason: counts of think types and of box sources, in one pass."""
+    rows = flagged(df).where("_bad").select(*[X.label(F.col(c)).alias(c) for c in ("finish_reason", "reason", "think_type", "last_box_source")], "_pos").where(~F.col("reason").isin("no_match", "can_not_extract"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("think_type", "last_box_source")]))
+    return rows.select("finish_reason", "reason", "_pos", kinds.alias("x")).groupBy("finish_reason", "reason", "x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("first_pos"))
+
+
 def unboxed_indexes(df: DataFrame) -> DataFrame:
     """Incorrect rows without a box source, to be listed in order."""
     source = X.label(F.col("last_box_source"))
@@ -94,16 +102,16 @@ def finish_matrix(df: DataFrame) -> DataFrame:
 def case_numbers(df: DataFrame) -> DataFrame:
     """Incorrect rows numbered within their dataset."""
     rows = flagged(df).where(~F.col(OK))
-    span = rows.agg(F.min("_pos").alias("a"), F.max("_pos").alias("b")).first()
-    low, width = (span["a"] or 0), max(1, ((span["b"] or 0) - (span["a"] or 0)) // 1000)
+    at = rows.agg(F.min("_pos").alias("a"), F.max("_pos").alias("b"), F.count(F.lit(1)).alias("n")).first()
+    low, width = (at["a"] or 0), max(1, ((at["b"] or 0) - (at["a"] or 0)) // (1 + math.isqrt(at["n"])))
     return ranked(rows, "dataset", F.floor((F.col("_pos") - low) / width), [F.col("_pos")], "case_number")
 
 
 def occurrence_join(predictions: DataFrame, generations: DataFrame) -> DataFrame:
     """The generation of each prediction by a cursor over its index: the next one of the same dataset, else the one at the cursor, else the last.
 
-    Where (dataset, index) is unique on both sides and each prediction's own is there, and the index has just one
-    generation, the cursor can't matter and an ordinary join does; only the other indexes go to Python, a group each.
+    Where the index has just one generation or none, the cursor can't matter and an ordinary join does; only the other indexes go to Python, a group each.
+    The cursor finds the next place of a dataset by bisection, so that a group takes time in proportion to its rows.
     """
     p = predictions.select(X.key_text(F.col("index")).alias("_key"), F.col("_pos").alias("p_pos"), X.to_text(F.col("dataset")).alias("ds"))
     g = generations.select(X.key_text(F.col("index")).alias("_key"), F.col("_pos").alias("g_pos"), X.to_text(F.col("dataset")).alias("ds"))
@@ -114,39 +122,31 @@ def occurrence_join(predictions: DataFrame, generations: DataFrame) -> DataFrame
 
     def follow(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("p_pos"), right.sort_values("g_pos")
-        sets, places = right["ds"].tolist(), right["g_pos"].tolist()
-        at, out = 0, []
-        for want in left["ds"]:
-            hit = next((i for i in range(at, len(sets)) if want and sets[i] == want), at if at < len(sets) else None)
-            out.append(places[-1] if hit is None else places[hit])
-            at = at if hit is None else hit + 1
-        return pd.DataFrame({"p_pos": left["p_pos"].to_numpy(), "g_pos": out})
+        where: dict[str, list[int]] = {}
+        for i, ds in enumerate(right["ds"].tolist()):
+            where.setdefault(ds, []).append(i)
+        at, last, out = 0, len(right) - 1, []
+        for want in left["ds"].tolist():
+            places = where.get(want, []) if want else []
+            i = bisect_left(places, at)
+            hit = places[i] if i < len(places) else at
+            out.append(min(hit, last))
+            at = hit + 1 if hit <= last else at
+        return pd.DataFrame({"p_pos": left["p_pos"].to_numpy(), "g_pos": right["g_pos"].to_numpy()[out]})
 
     hard = p.join(many, "_key", "left_semi").groupBy("_key").cogroup(g.join(many, "_key", "left_semi").groupBy("_key")).applyInPandas(follow, "p_pos long, g_pos long")
     return easy.unionByName(hard).unionByName(none)
 
 
 def enriched(predictions: DataFrame, generations: DataFrame) -> DataFrame:
-    """Predictions with dataset, question and output filled from their generation; an empty text is a value."""
+    """Predictions with dataset, question and output filled from their generation (an empty text is a value), predict and ``_is_correct``."""
     links = occurrence_join(predictions, generations)
     g = generations.select(F.col("_pos").alias("g_pos"), *[F.col(c).alias(f"_g_{c}") for c in ("dataset", "question", "model_output")])
     out = predictions.join(links.withColumnRenamed("p_pos", "_pos"), "_pos", "left").join(g, "g_pos", "left")
     for c, default in (("dataset", "unknown"), ("question", ""), ("model_output", "")):
         own = F.col(c).cast("string") if c in predictions.columns else F.lit(None).cast("string")
         out = out.withColumn(c, F.coalesce(own, F.col(f"_g_{c}").cast("string"), F.lit(default)))
-    return out.withColumn("predict", X.to_text(F.col("extracted_answer")) if "extracted_answer" in predictions.columns else F.lit("")).drop("g_pos", "_g_dataset", "_g_question", "_g_model_output")
-
-
-def lines(df: DataFrame, *columns: str) -> Iterator[str]:
-    """Rows of a small or ordered table as Markdown, streamed."""
-    yield f"| {' | '.join(columns)} |"
-    yield f"|{'---|' * len(columns)}"
-    for r in df.select(*columns).toLocalIterator():
-        yield f"| {' | '.join('-' if v is None else f'{v:.2f}' if isinstance(v, float) else str(v) for v in r)} |"
-
-
-def report(df: DataFrame) -> str:
-    """Metrics of a benchmark run as Markdown."""
-    total = benchmark(df).orderBy(F.col("dataset") == "<all>", "dataset")
-    parts = ["# Metrics", *lines(total, "dataset", "total", "correct", "incorrect", "accuracy", "avg_tokens"), "", "## Finish reasons"]
-    return "\n".join([*parts, *lines(finish_matrix(df).orderBy("dataset", "finish_rank", "finish_reason"), "dataset", "finish_reason", "n", "correct", "incorrect", "avg_tokens")])
+    out = out.withColumn("predict", X.to_text(F.col("extracted_answer")) if "extracted_answer" in predictions.columns else F.lit(""))
+    if "is_correct" in predictions.columns:
+        out = out.withColumn("_is_correct", X.is_correct(F.col("is_correct"), predictions.schema["is_correct"].dataType.simpleString()))
+    return out.drop("g_pos", "_g_dataset", "_g_question", "_g_model_output")

@@ -48,15 +48,22 @@ def single_box(df: DataFrame, column: str = "solution") -> DataFrame:
     return df.where(X.boxed_count(F.col(column)) <= 1)
 
 
-def funnel(df: DataFrame, invalid: DataFrame, key: str = "index", column: str = "solution") -> DataFrame:
-    """Counts before and after the filters, in one pass."""
-    flags = df.select(X.key_text(F.col(key)).alias("_key"), (X.boxed_count(F.col(column)) > 1).alias("multi"))
-    bad = invalid.select(X.key_text(F.col("index")).alias("_key"), F.lit(True).alias("bad")).distinct()
-    joined = flags.join(bad, "_key", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
-    return joined.agg(
-        F.count(F.lit(1)).alias("original"), F.count_if("bad").alias("invalid_matched"), F.count_if(~F.col("bad")).alias("after_invalid"),
-        F.count_if(~F.col("bad") & F.col("multi")).alias("multi_box"), F.count_if(~F.col("bad") & ~F.col("multi")).alias("after_multi_box"),
-    )
+def funnel(df: DataFrame, invalid: DataFrame, key: str = "index", column: str = "solution", hints: DataFrame | None = None) -> DataFrame:
+    """Counts before and after the filters, in one pass: rows, keys in the invalid file, rows of these, rows left, of these with several boxes, and without;
+    with ``hints``, the hints of the rows left."""
+    flags = df.select(X.key_text(F.col(key)).alias("_key"), (X.boxed_count(F.col(column)) > 1).alias("multi"), F.lit(1).alias("row"))
+    bad = invalid.select(X.key_text(F.col("index")).alias("_key"), F.lit(True).alias("bad")).where("_key is not null").distinct()
+    joined = flags.join(bad, "_key", "full").withColumns({"listed": F.coalesce("bad", F.lit(False)), "bad": F.coalesce("bad", F.lit(False))}).withColumn("row", F.col("row").isNotNull())
+    good = F.col("row") & ~F.col("bad")
+    counts = [
+        F.count_if("row").alias("original"), F.count_distinct(F.when(F.col("listed"), F.col("_key"))).alias("invalid_in_file"), F.count_if(F.col("row") & F.col("bad")).alias("invalid_matched"), F.count_if(good).alias("after_invalid"),
+        F.count_if(good & F.col("multi")).alias("multi_box"), F.count_if(good & ~F.col("multi")).alias("after_multi_box"),
+    ]
+    if hints is not None:
+        have = hints.select(X.key_text(F.col("index")).alias("_key"), F.lit(1).alias("hint")).where("_key is not null").distinct()
+        joined = joined.join(have, "_key", "left")
+        counts.append(F.count_if(good & ~F.col("multi") & F.col("hint").isNotNull()).alias("hints"))
+    return joined.agg(*counts)
 
 
 def key_profile(df: DataFrame, key: str = "index") -> DataFrame:
@@ -65,9 +72,19 @@ def key_profile(df: DataFrame, key: str = "index") -> DataFrame:
 
 
 def duplicate_examples(df: DataFrame, key: str = "index", most: int = 10, order: str = "_pos") -> DataFrame:
-    """The first repeated keys by where they first repeat."""
-    seconds = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_pos")).where("n > 1")
-    return seconds.orderBy("_pos").limit(most)
+    """The first repeated keys by where they first repeat: their rows, first and second position. Both are found by partial minima, so that a key of any number of rows is combined map-side."""
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(order).alias("_at"))
+    first = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first")).where("n > 1")
+    again = rows.join(first, "_k").where("_at > _first").groupBy("_k").agg(F.first("n").alias("n"), F.first("_first").alias("first_pos"), F.min("_at").alias("second_pos"))
+    return again.orderBy("second_pos").limit(most).withColumnRenamed("_k", key)
+
+
+def overlap_examples(left: DataFrame, right: DataFrame, most: int = 10, key: str = "index") -> DataFrame:
+    """Keys of one side alone: the first of each side, sorted as text."""
+    a = left.select(X.key_text(F.col(key)).alias("k")).where("k is not null").distinct()
+    b = right.select(X.key_text(F.col(key)).alias("k")).where("k is not null").distinct()
+    one = lambda x, y, side: x.join(y, "k", "left_anti").orderBy("k").limit(most).select(F.lit(side).alias("side"), F.col("k").alias(key))
+    return one(a, b, "left").unionByName(one(b, a, "right"))
 
 
 def key_overlap(left: DataFrame, right: DataFrame, key: str = "index") -> DataFrame:

@@ -28,15 +28,29 @@ def ranked(rows: DataFrame, seed: int) -> DataFrame:
     return drawn.unionByName(out.where(~sampled).withColumn("rank", F.lit(0).cast("long")))
 
 
+def pool_sizes(rows: DataFrame) -> dict[str, int]:
+    """Rows of each pool of ranked rows."""
+    return {r["pool"]: r["count"] for r in rows.groupBy("pool").count().collect()}  # at most nine
+
+
+def base_size(n: dict[str, int]) -> int:
+    """Rows that are hard before the fill."""
+    return sum(n.get(p, 0) for p in ("incorrect", "group_5", "group_6", "group_7")) + n.get("group_3", 0) // 2 + n.get("group_4", 0) // 2
+
+
 def split(predictions: DataFrame, tokens: DataFrame, target: int, seed: int, checked: bool = True) -> DataFrame:
     """Adds ``hard``: all incorrect rows, groups 7 to 5, the floor half of 4 and of 3, then groups 1 and 2 up to the target.
 
     Too large a base or too small a fill is an error. Samples are the least seeded hashes.
     """
     rows = ranked(annotated(predictions, tokens), seed)
-    n = {r["pool"]: r["count"] for r in rows.groupBy("pool").count().collect()}
+    return chosen(rows, pool_sizes(rows), target, checked)
+
+
+def chosen(rows: DataFrame, n: dict[str, int], target: int, checked: bool = True) -> DataFrame:
+    """As :func:`split`, of ranked rows whose pools have ``n`` rows."""
     half = {g: n.get(g, 0) // 2 for g in ("group_3", "group_4")}
-    base = sum(n.get(p, 0) for p in ("incorrect", "group_5", "group_6", "group_7")) + sum(half.values())
+    base = base_size(n)
     fill = target - base
     if checked and fill < 0:
         raise ValueError(f"the base selection has {base} rows, over the target of {target}")

@@ -36,8 +36,14 @@ def without_confirmed(rows: DataFrame, confirmed: DataFrame) -> DataFrame:
     return rows.withColumn("_key", X.key_text(F.col("index"))).join(confirmed.select(X.key_text(F.col("index")).alias("_key")), "_key", "left_anti").drop("_key")
 
 
-def verdict_counts(predictions: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """Rows, rows updated, and confirmed keys without a row."""
+def verdict_counts(predictions: DataFrame, confirmed: DataFrame, suspected: DataFrame | None = None) -> DataFrame:
+    """Rows, rows updated, confirmed keys without a row, and (with ``suspected``) suspects removed."""
     p = predictions.select(X.key_text(F.col("index")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     c = confirmed.select(X.key_text(F.col("index")).alias("k")).distinct().withColumn("hit", F.lit(True))
-    return p.join(c, "k", "full").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("updated"), F.count_if(F.col("n").isNull()).alias("missing"))
+    both = p.join(c, "k", "full")
+    sums = [F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("updated"), F.count_if(F.col("n").isNull()).alias("missing")]
+    if suspected is not None:
+        both = both.join(suspected.select(X.key_text(F.col("index")).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("s")), "k", "full")
+        sums.append(F.coalesce(F.sum(F.when(F.col("hit"), F.col("s"))), F.lit(0)).alias("removed"))
+        sums[2] = F.count_if(F.col("hit") & F.col("n").isNull()).alias("missing")
+    return both.agg(*sums)

@@ -13,13 +13,16 @@ from gradeloom.sources.readers import last_per_key, require_columns, require_key
 def inference_inputs(df: DataFrame, hints: DataFrame | None = None, condition: str = "nohint", system: str | None = P.SYSTEM_PROMPT, hint_format: str = P.HINT_FORMAT, thinking: bool | None = None) -> DataFrame:
     """index, dataset, question, hint, label and input_text of each record.
 
-    Question and index are the first of their names that isn't null, the index else the row's position; the label is the
+    Question and index are the first of their names that isn't null, the index else the row's position (``_pos``, see readers.positioned); the label is the
     first of its names that is a column. A hint is looked up by the last row of its index, and is null without one.
     """
     cols = df.columns
     names = ["index", "id", "question_idx"]
     label = X.first_present(["answer", "final_answer", "label"], cols)
-    pos = F.col("_pos").cast("string") if "_pos" in cols else F.monotonically_increasing_id().cast("string")
+    if "_pos" in cols:
+        pos = F.col("_pos").cast("string")
+    else:
+        pos = F.raise_error(F.lit("a record has no index; read positions with the table")).cast("string")
     question = F.coalesce(X.first_value(["question", "instruction", "prompt"], cols), F.raise_error(F.lit("a record has no question")).cast("string"))
     dataset = X.to_text(F.col("dataset"), "unknown") if "dataset" in cols else F.lit("unknown")
     out = df.select(F.coalesce(X.first_value(names, cols), pos).alias("index"), F.coalesce(X.first_value(names, cols), F.lit("")).alias("_key"), dataset.alias("dataset"), question.alias("question"), (F.col(label) if label else F.lit(None)).cast("string").alias("label"))
@@ -39,7 +42,23 @@ def split_by_length(generations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return generations.where(~cut), generations.where(cut)
 
 
+def length_counts(generations: DataFrame) -> DataFrame:
+    """Rows, rows kept, and rows cut off by length."""
+    cut = F.col("finish_reason").eqNullSafe(F.lit("length"))
+    return generations.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~cut).alias("kept"), F.count_if(cut).alias("cut"))
+
+
+def assembled(inputs: DataFrame, outputs: DataFrame, run_id: str, key: str = "_pos") -> DataFrame:
+    """Output rows with their input's fields, by position: run_id, dataset, index, question, label, hint, model_output, output_token_length, finish_reason. An input without its output is an error."""
+    fields = [c for c in ("dataset", "index", "question", "label", "hint") if c in inputs.columns]
+    got = outputs.select(key, "model_output", "finish_reason", F.col("output_token_length") if "output_token_length" in outputs.columns else word_count(F.col("model_output")).alias("output_token_length"), F.lit(True).alias("_there"))
+    out = inputs.select(key, *fields).join(got, key, "left")
+    there = F.when(F.col("_there"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("no output at position "), F.col(key).cast("string"))).cast(inputs.schema[key].dataType))
+    return out.select(there.alias(key), F.lit(run_id).alias("run_id"), *fields, "model_output", "output_token_length", "finish_reason")
+
+
 def _dataset_key(df: DataFrame) -> DataFrame:
+    """A table can't tell a missing dataset from a null one, so that both are unknown."""
     return df.withColumns({"_ds": X.to_text(F.col("dataset"), "unknown") if "dataset" in df.columns else F.lit("unknown"), "_key": X.key_text(F.col("index"))})
 
 
@@ -87,8 +106,22 @@ def shuffled(df: DataFrame, seed: int, limit: int | None = None, key: str = "_po
 
 
 def pending(df: DataFrame, done: DataFrame, limit: int | None = None) -> DataFrame:
-    left = df.withColumn("_key", X.key_text(F.col("index"))).join(done.select(X.key_text(F.col("index")).alias("_key")), "_key", "left_anti").drop("_key")
-    return left if limit is None else left.limit(limit)
+    """Rows that aren't done; with a limit the first ones, by position, else by index."""
+    left = df.withColumn("_key", X.key_text(F.col("index"))).join(done.select(X.key_text(F.col("index")).alias("_key")), "_key", "left_anti")
+    if limit is not None:
+        left = left.orderBy("_pos" if "_pos" in df.columns else "_key").limit(limit)
+    return left.drop("_key")
+
+
+def preview(df: DataFrame, n: int = 20) -> DataFrame:
+    """The first rows by position."""
+    return df.orderBy("_pos").limit(n)
+
+
+def word_count(c):
+    """Words of a text as a stand-in for its tokens, where the tokenizer is a boundary; an empty text has none."""
+    t = X.clean_text(c)
+    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"(?U)\s+")))
 
 
 def token_stats(df: DataFrame, column: str = "n_tokens") -> DataFrame:

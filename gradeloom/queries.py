@@ -21,18 +21,18 @@ SQL: dict[str, str] = {}
 #: Adapter tables in SQL, by name.
 VIEWS = {
     "p": """p AS (SELECT d.doc_id AS pos, CAST(d.doc_id AS VARCHAR) AS idx, d.source AS dataset, l.quality AS is_correct, d.n_chars AS tokens,
-      CASE WHEN d.n_chars > 4000 THEN 'length' WHEN d.doc_id % 50 <> 0 THEN 'stop' END AS finish_reason,
+      CASE WHEN d.n_chars > 4000 THEN 'length' WHEN d.n_chars >= 150 THEN 'stop' END AS finish_reason,
       CASE WHEN d.doc_id % 3 = 1 THEN 'can_not_extract' ELSE 'no_match' END AS reason,
       CASE d.doc_id % 4 WHEN 0 THEN 'solution' WHEN 1 THEN 'thought' WHEN 2 THEN 'none' END AS last_box_source,
       CASE d.doc_id % 3 WHEN 0 THEN 'short_think' WHEN 1 THEN 'missing_think' ELSE 'reasoning_think' END AS think_type
       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)""",
-    "t": """t AS (SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN 'NaN'::DOUBLE ELSE CAST(200 + doc_id % 7 * 300 AS DOUBLE) END AS train FROM documents WHERE doc_id % 37 <> 0)""",
+    "t": """t AS (SELECT doc_id, CASE WHEN doc_id % 41 = 0 THEN 'NaN'::DOUBLE ELSE CAST(200 + doc_id % 7 * 300 AS DOUBLE) END AS train FROM documents WHERE lang <> 'es')""",
     "r": """r AS (SELECT p.*, t.train, CASE WHEN isnan(t.train) OR t.train > 0 THEN p.tokens / t.train END AS ratio FROM p LEFT JOIN t ON p.pos = t.doc_id)""",
     "g": """g AS (SELECT *, CASE WHEN ratio IS NULL THEN NULL WHEN isnan(ratio) THEN 1 WHEN ratio >= 2 THEN 7 WHEN ratio >= 1.5 THEN 6 WHEN ratio >= 1.2 THEN 5 WHEN ratio >= 1 THEN 4 WHEN ratio >= 0.8 THEN 3 WHEN ratio >= 0.5 THEN 2 ELSE 1 END AS grp FROM r)""",
-    "s": r"""s AS (SELECT doc_id AS pos, CAST(doc_id AS VARCHAR) AS idx, substr(text, 1, 80) AS question, substr(text, 1, 40) || repeat(' \boxed{1}', CAST(doc_id % 4 AS BIGINT)) || ' end' AS solution,
-      CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 30) END AS thought, CAST(n_chars AS VARCHAR) AS final_answer, n_chars AS total_token, source FROM documents)""",
-    "h": """h AS (SELECT CAST(doc_id AS VARCHAR) AS idx, CASE WHEN doc_id % 5 <> 0 THEN 'use ' || lang ELSE '' END AS hint FROM documents)""",
-    "o": r"""o AS (SELECT doc_id, CAST(n_chars AS VARCHAR) AS label, substr(text, 1, 200) AS t, length(trim(regexp_replace(substr(text, 1, 200), '[ \t\r\n]+', ' ', 'g'))) AS tl FROM documents)""",
+    "s": r"""s AS (SELECT doc_id AS pos, CAST(doc_id AS VARCHAR) AS idx, text AS question, text || repeat(' \boxed{1}', CAST(doc_id % 4 AS BIGINT)) || ' end' AS solution,
+      CASE WHEN doc_id % 3 = 0 THEN text END AS thought, CAST(n_chars AS VARCHAR) AS final_answer, n_chars AS total_token, source FROM documents)""",
+    "h": """h AS (SELECT CAST(doc_id AS VARCHAR) AS idx, CASE WHEN doc_id % 5 <> 0 THEN 'use ' || lang ELSE '' END AS hint, lang FROM documents)""",
+    "o": r"""o AS (SELECT doc_id, CAST(n_chars AS VARCHAR) AS label, text AS t, length(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'))) AS tl FROM documents)""",
 }
 WS = r"\x09-\x0D\x1C-\x20\x85\xA0"
 
@@ -73,7 +73,7 @@ def sample_exact_n(spark, sf):
 @query("SELECT x.idx AS \"index\", h.hint FROM (SELECT idx FROM s WHERE total_token <= 1950 ORDER BY md5('9:' || idx), idx LIMIT 100) x JOIN h ON x.idx = h.idx", "sh")
 def align_hints(spark, sf):
     chosen = curate.sample(curate.threshold(A.dataset(spark, sf), "total_token", 1950), 100, 9)
-    return curate.align(chosen, A.hints(spark, sf).drop("_pos")).select("index", F.col("detailed_method_hint").alias("hint"))
+    return curate.align(chosen, A.hints(spark, sf).drop("_pos", "lang")).select("index", F.col("detailed_method_hint").alias("hint"))
 
 
 @query("SELECT idx AS \"index\", final_answer FROM s WHERE idx NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 0)", "s")
@@ -95,11 +95,12 @@ def single_box_filter(spark, sf):
     return curate.single_box(A.dataset(spark, sf)).select("index")
 
 
-@query("""SELECT count(*) AS original, count(l.doc_id) AS invalid_matched, count(*) - count(l.doc_id) AS after_invalid,
-  count(*) FILTER (WHERE l.doc_id IS NULL AND pos % 4 > 1) AS multi_box, count(*) FILTER (WHERE l.doc_id IS NULL AND pos % 4 <= 1) AS after_multi_box
-  FROM s LEFT JOIN labels l ON s.pos = l.doc_id AND l.quality = 0""", "s")
+@query("""SELECT count(*) AS original, (SELECT count(DISTINCT doc_id) FROM labels WHERE quality = 0) AS invalid_in_file, count(l.doc_id) AS invalid_matched, count(*) - count(l.doc_id) AS after_invalid,
+  count(*) FILTER (WHERE l.doc_id IS NULL AND pos % 4 > 1) AS multi_box, count(*) FILTER (WHERE l.doc_id IS NULL AND pos % 4 <= 1) AS after_multi_box,
+  count(*) FILTER (WHERE l.doc_id IS NULL AND pos % 4 <= 1 AND s.idx IN (SELECT idx FROM h WHERE lang <> 'de')) AS hints
+  FROM s LEFT JOIN labels l ON s.pos = l.doc_id AND l.quality = 0""", "sh")
 def filter_funnel(spark, sf):
-    return curate.funnel(A.dataset(spark, sf), _invalid(spark, sf))
+    return curate.funnel(A.dataset(spark, sf), _invalid(spark, sf), hints=A.hints(spark, sf).where("lang <> 'de'"))
 
 
 @query("""SELECT coalesce(source, '<all>') AS split, count(*) AS rows, count(*) FILTER (WHERE pos % 4 > 1) AS multi_rows FROM s GROUP BY ROLLUP (source)""", "s")
@@ -113,9 +114,23 @@ def key_profile(spark, sf):
     return curate.key_profile(A.dataset(spark, sf).select(F.when(F.col("_pos") % 10 != 0, F.col("source")).alias("index")))
 
 
-@query("""SELECT source AS "index", count(*) AS n, min(doc_id) AS first_pos FROM documents GROUP BY source HAVING count(*) > 1 ORDER BY min(doc_id) LIMIT 10""")
+@query("""SELECT source AS "index", count(*) AS n, min(doc_id) AS first_pos, list_sort(list(doc_id))[2] AS second_pos FROM documents GROUP BY source HAVING count(*) > 1 ORDER BY second_pos LIMIT 10""")
 def duplicate_examples(spark, sf):
-    return curate.duplicate_examples(A.dataset(spark, sf).select("_pos", F.col("source").alias("index"))).withColumnRenamed("_pos", "first_pos")
+    return curate.duplicate_examples(A.dataset(spark, sf).select("_pos", F.col("source").alias("index")))
+
+
+@query("""SELECT * FROM (SELECT 'left' AS side, CAST(doc_id AS VARCHAR) AS "index" FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY 2 LIMIT 10)
+  UNION ALL SELECT * FROM (SELECT 'right' AS side, CAST(doc_id AS VARCHAR) AS "index" FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) ORDER BY 2 LIMIT 10)""")
+def overlap_examples(spark, sf):
+    right = A.table(spark, sf, "labels", "doc_id").select(F.col("doc_id").alias("index"))
+    return curate.overlap_examples(A.dataset(spark, sf), right)
+
+
+@query("""SELECT count(*) AS rows, CAST(0 AS BIGINT) AS low, count(*) - 1 AS high, count(*) AS positions FROM documents""")
+def row_positions(spark, sf):
+    """Positions of the rows of a file, from 0 without gaps."""
+    rows = readers.positioned(spark.read.parquet(f"{sf}/documents.parquet"))
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.min("_pos").alias("low"), F.max("_pos").alias("high"), F.count_distinct("_pos").alias("positions"))
 
 
 @query("""SELECT count(*) FILTER (WHERE l IS NOT NULL AND r IS NOT NULL) AS common, count(*) FILTER (WHERE r IS NULL) AS left_only, count(*) FILTER (WHERE l IS NULL) AS right_only,
@@ -128,7 +143,7 @@ def key_overlap(spark, sf):
 
 @query("""SELECT s.idx AS "index", s.question, s.final_answer, h.hint FROM s JOIN h ON s.idx = h.idx""", "sh")
 def review_records(spark, sf):
-    return curate.review_records(A.dataset(spark, sf), A.hints(spark, sf).drop("_pos")).drop("_pos")
+    return curate.review_records(A.dataset(spark, sf), A.hints(spark, sf).drop("_pos", "lang")).drop("_pos")
 
 
 @query("""SELECT doc_id, n, (n - 1) // 100 + 1 AS part, (SELECT (count(*) + 99) // 100 FROM documents) AS parts, (n - 1) // 100 * 100 + 1 AS row_from,
@@ -156,24 +171,43 @@ _Q = r"'Put the final answer inside \boxed{}. ' || question"
 
 @query(f"""SELECT s.idx AS "index", {_Q} || CASE WHEN hint = '' THEN '' ELSE chr(10) || chr(10) || 'Hint: ' || hint END AS prompt FROM s JOIN h ON s.idx = h.idx""", "sh")
 def prompt_render(spark, sf):
-    d = A.dataset(spark, sf).join(A.hints(spark, sf).drop("_pos"), "index")
+    d = A.dataset(spark, sf).join(A.hints(spark, sf).drop("_pos", "lang"), "index")
     return d.select("index", P.prompt_text(F.col("question"), F.col("detailed_method_hint")).alias("prompt"))
 
 
-@query(f"""SELECT s.idx AS "index", CASE WHEN s.pos % 3 <> 0 THEN hint END AS hint, '<|im_start|>user' || chr(10) || {_Q} || CASE WHEN s.pos % 3 = 0 OR hint = '' THEN '' ELSE chr(10) || chr(10) || 'Hint: ' || hint END
+@query(f"""SELECT s.idx AS "index", CASE WHEN lang <> 'de' THEN hint END AS hint, '<|im_start|>user' || chr(10) || {_Q} || CASE WHEN lang = 'de' OR hint = '' THEN '' ELSE chr(10) || chr(10) || 'Hint: ' || hint END
   || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS input_text FROM s JOIN h ON s.idx = h.idx""", "sh")
 def hint_left_join(spark, sf):
-    hints = A.hints(spark, sf).where("_pos % 3 <> 0")
+    hints = A.hints(spark, sf).where("lang <> 'de'").drop("lang")
     return prepare.inference_inputs(A.dataset(spark, sf).drop("source"), hints, "detailmethod", system=None).select("index", "hint", "input_text")
 
 
-@query("""SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, text) AS chat FROM conversations WHERE role IN ('system', 'user', 'assistant') GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, text) AS chat FROM conversations GROUP BY conv_id""")
 def chat_render(spark, sf):
-    c = A.table(spark, sf, "conversations", "conv_id", "turn", "role", "text").where(F.col("role").isin("system", "user", "assistant"))
+    c = A.table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     m = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"), F.lit(None).cast("string").alias("reasoning_content")))
     return c.groupBy("conv_id").agg(m.alias("m")).select("conv_id", P.chat_concise(F.col("m")).alias("chat"))
 
 
+#: Reasoning after the last question alone; a run of tool answers (turns 3 and 4 of a conversation, told by their text) shares a block.
+_TOOL_ROLE = "CASE WHEN role = 'user' AND turn IN (2, 3) THEN 'tool' ELSE role END"
+
+
+@query(f"""WITH c AS (SELECT conv_id, text, {_TOOL_ROLE} AS role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations),
+  q AS (SELECT *, coalesce(max(CASE WHEN role = 'user' THEN n END) OVER (PARTITION BY conv_id), total) AS last_user, lag(role) OVER (PARTITION BY conv_id ORDER BY n) AS before, lead(role) OVER (PARTITION BY conv_id ORDER BY n) AS after FROM c)
+  SELECT conv_id, CASE WHEN max(CASE WHEN n = 1 AND role = 'system' THEN 1 ELSE 0 END) = 1 THEN '<|im_start|>system' || chr(10) || max(CASE WHEN n = 1 AND role = 'system' THEN text END) || chr(10) || chr(10) ELSE '<|im_start|>system' || chr(10) END || ? || '<|im_end|>' || chr(10)
+    || string_agg(CASE
+      WHEN role = 'user' OR (role = 'system' AND n > 1) THEN '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)
+      WHEN role = 'assistant' THEN '<|im_start|>assistant' || chr(10) || CASE WHEN n > last_user THEN '<think>' || chr(10) || 'why' || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END || text || '<|im_end|>' || chr(10)
+      WHEN role = 'tool' THEN CASE WHEN n = 1 OR before <> 'tool' THEN '<|im_start|>user' ELSE '' END || chr(10) || '<tool_response>' || chr(10) || text || chr(10) || '</tool_response>' || CASE WHEN after IS NULL OR after <> 'tool' THEN '<|im_end|>' || chr(10) ELSE '' END
+      ELSE '' END, '' ORDER BY n) AS chat FROM q GROUP BY conv_id""".replace("?", "'" + (P.TOOLS_BEGIN + '\n{"name": "look"}' + P.TOOLS_END).replace("'", "''") + "'"))
+def chat_with_tools(spark, sf):
+    c = A.table(spark, sf, "conversations", "conv_id", "turn", "role", "text").withColumn("role", F.when((F.col("role") == "user") & F.col("turn").isin(2, 3), "tool").otherwise(F.col("role")))
+    calls = F.lit(None).cast("array<struct<name:string,arguments:string>>").alias("tool_calls")
+    m = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"), F.when(x["role"] == "assistant", F.lit("why")).alias("reasoning_content"), calls))
+    return c.groupBy("conv_id").agg(m.alias("m")).select("conv_id", P.chat_full(F.col("m"), tools=['{"name": "look"}']).alias("chat"))
+
+
 _CLEAN = rf"regexp_replace(%s, '^[{WS}]+|[{WS}]+$', '', 'g')"
 _TH = _CLEAN % "coalesce(thought, '')"
 _OUT = f"CASE WHEN {_TH} <> '' THEN '<think>' || chr(10) || {_TH} || chr(10) || '</think>' || chr(10) || {_CLEAN % 'solution'} ELSE {_CLEAN % 'solution'} END"
@@ -194,10 +228,10 @@ def sft_skipped(spark, sf):
     return prepare.skipped(A.dataset(spark, sf))
 
 
-@query("""SELECT doc_id, array_to_string(list_transform(generate_series(1, least(20, n_chars)), lambda x: CASE WHEN x <= 5 THEN -100 ELSE x END), ',') AS labels FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_transform(generate_series(1, least(2048, n_chars)), lambda x: CASE WHEN x <= 5 THEN -100 ELSE x END), ',') AS labels FROM documents""")
 def label_mask(spark, sf):
     d = A.table(spark, sf, "documents", "doc_id", "n_chars")
-    ids = X.truncated(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("n_chars"), F.lit(1))), 20)
+    ids = X.truncated(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("n_chars"), F.lit(1))), 2048)
     return d.select("doc_id", F.array_join(X.label_mask(ids, F.lit(5)).cast("array<string>"), ",").alias("labels"))
 
 
@@ -209,8 +243,8 @@ def seeded_shuffle(spark, sf):
 
 @query("""SELECT s.idx AS "index", k.n AS pos, s.final_answer FROM s JOIN (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS n FROM labels) k ON s.pos = k.doc_id""", "s")
 def ordered_lookup(spark, sf):
-    keys = A.table(spark, sf, "labels", "doc_id").withColumn("m", F.concat(F.md5(F.col("doc_id").cast("string")), F.lpad(F.col("doc_id").cast("string"), 20, "0")))
-    keys = writers.row_numbers(keys, "m", parts=1).select(F.col("doc_id").cast("string").alias("index"), F.col("_n").alias("_pos"))
+    keys = A.table(spark, sf, "labels", "doc_id").withColumn("m", F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long"))
+    keys = writers.row_numbers(keys, "m").select(F.col("doc_id").cast("string").alias("index"), F.col("_n").alias("_pos"))
     return prepare.in_key_order(A.dataset(spark, sf), keys).select("index", F.col("_pos").alias("pos"), "final_answer")
 
 
@@ -232,6 +266,20 @@ def retry_union(spark, sf):
     return prepare.retried(kept.select("index", F.lit("kept").alias("phase")), cut.select("index", F.lit("retry").alias("phase")))
 
 
+@query("""SELECT count(*) AS rows, count(*) FILTER (WHERE finish_reason IS NULL OR finish_reason <> 'length') AS kept, count(*) FILTER (WHERE finish_reason = 'length') AS cut FROM p""", "p")
+def length_counts(spark, sf):
+    return prepare.length_counts(A.predictions(spark, sf))
+
+
+@query("""SELECT pos, 'run' AS run_id, source AS dataset, idx AS "index", question, final_answer AS label, text AS model_output, CAST(len(list_filter(regexp_split_to_array(text, '[\\s]+'), lambda x: x <> '')) AS INTEGER) AS output_token_length, p.finish_reason
+  FROM s JOIN p USING (pos, idx) JOIN documents d ON d.doc_id = pos""".replace("source AS dataset", "s.source AS dataset").replace("'[\\s]+'", r"'[\s\x0B\x1C-\x1F\x85\xA0]+'"), "sp")
+def output_rows(spark, sf):
+    """Outputs with their inputs' fields and their words."""
+    ins = A.dataset(spark, sf).select("_pos", F.col("source").alias("dataset"), "index", "question", F.col("final_answer").alias("label"))
+    outs = A.predictions(spark, sf).select("_pos", "finish_reason").join(A.table(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("_pos"), F.col("text").alias("model_output")), "_pos")
+    return prepare.assembled(ins, outs, "run").withColumnRenamed("_pos", "pos")
+
+
 @query("""SELECT max(n) AS max_tokens, min(n) AS min_tokens, avg(n) AS mean_tokens, CAST(sum(n) AS BIGINT) AS sum_tokens FROM (SELECT n_chars AS n FROM documents)""")
 def token_stats(spark, sf):
     return prepare.token_stats(A.table(spark, sf, "documents", "n_chars"), "n_chars")
@@ -248,6 +296,16 @@ def grade_answers(spark, sf):
     return grade.grade(A.outputs(spark, sf)).select("index", "is_correct", "reason", "last_box_source", "think_type")
 
 
+def _answer_sql(column: int) -> str:
+    cases = " ".join("WHEN {} THEN '{}'".format(i, x[column].replace("'", "''")) for i, x in enumerate(A.ANSWERS))
+    return f"replace(CASE doc_id % {len(A.ANSWERS)} {cases} END, '{{n}}', CAST(n_chars AS VARCHAR))"
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS "index", {_answer_sql(2)} AS reason, CASE WHEN doc_id % {len(A.ANSWERS)} = 13 THEN CAST(n_chars AS VARCHAR) ELSE {_answer_sql(1)} END AS extracted_answer FROM documents""".replace("ELSE replace(", "ELSE trim(replace(", 1).replace("VARCHAR)) END AS extracted", "VARCHAR))) END AS extracted", 1))
+def grade_forms(spark, sf):
+    return grade.grade(A.answers(spark, sf)).select("index", "reason", F.trim("extracted_answer").alias("extracted_answer"))
+
+
 @query(r"""SELECT CASE WHEN doc_id % 6 = 1 THEN 'short_think' WHEN doc_id % 6 = 2 THEN 'unclosed_think' WHEN doc_id % 6 >= 4 THEN 'missing_think' WHEN tl < 50 THEN 'short_think' ELSE 'reasoning_think' END AS think_type, count(*) AS n FROM o GROUP BY 1""", "o")
 def think_type(spark, sf):
     return grade.grade(A.outputs(spark, sf)).groupBy("think_type").agg(F.count(F.lit(1)).alias("n"))
@@ -258,17 +316,17 @@ def last_box_source(spark, sf):
     return grade.grade(A.outputs(spark, sf)).groupBy("last_box_source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""SELECT coalesce(source, '<all>') AS dataset, count(*) AS total, count(*) FILTER (WHERE doc_id % 6 IN (0, 1, 4)) AS correct, count(*) FILTER (WHERE doc_id % 6 NOT IN (0, 1, 4)) AS incorrect,
-  100.0::DOUBLE * count(*) FILTER (WHERE doc_id % 6 IN (0, 1, 4)) / count(*) AS accuracy FROM documents GROUP BY ROLLUP (source)""")
+@query(r"""SELECT coalesce(source, '<all>') AS dataset, count(*) AS total, count(*) FILTER (WHERE ok) AS correct, count(*) FILTER (WHERE NOT ok) AS incorrect, 100.0::DOUBLE * count(*) FILTER (WHERE ok) / count(*) AS accuracy,
+  avg(n_chars) AS avg_tokens, avg(n_chars) FILTER (WHERE ok) AS avg_tokens_correct, avg(n_chars) FILTER (WHERE NOT ok) AS avg_tokens_incorrect
+  FROM (SELECT source, n_chars, doc_id % 6 IN (0, 1, 4) AS ok FROM documents) GROUP BY ROLLUP (source)""")
 def benchmark_by_dataset(spark, sf):
-    graded = grade.grade(A.outputs(spark, sf)).withColumn("output_token_length", F.length("model_output"))
-    return analyze.benchmark(graded).select("dataset", "total", "correct", "incorrect", "accuracy")
+    return analyze.benchmark(grade.grade(A.outputs(spark, sf)).withColumn("output_token_length", F.col("label")))
 
 
 @query(rf"""SELECT CAST(doc_id AS VARCHAR) AS "index", CASE WHEN doc_id % 3 = 1 THEN 'no slice' || '</think>' || t WHEN doc_id % 4 = 0 THEN {_CLEAN % 't'} WHEN doc_id % 4 = 1 THEN 'no slice' ELSE 'no slice' || '</think>' || t END AS model_output FROM o""", "o")
 def review_slice(spark, sf):
     d = A.table(spark, sf, "documents", "doc_id", "text")
-    out = F.concat(F.lit("no slice</think>"), F.substring("text", 1, 200))
+    out = F.concat(F.lit("no slice</think>"), F.col("text"))
     reason, source = A.pick(3, "no_match", "can_not_extract", "no_match"), A.pick(4, "solution", "thought", "none", None)
     return d.select(F.col("doc_id").cast("string").alias("index"), X.review_slice(reason, source, out).alias("model_output"))
 
@@ -307,10 +365,10 @@ def positive_ratio_hist(spark, sf):
     return analyze.ratio_histogram(rows)
 
 
-@query("""SELECT idx AS "index", (pos % 9 <> 0) AS has_generation, CAST(CASE WHEN pos % 9 <> 0 THEN tokens + 10 ELSE tokens END AS DOUBLE) AS output_token_length FROM p WHERE is_correct = 1""", "p")
+@query("""SELECT idx AS "index", pos IN (SELECT doc_id FROM labels WHERE toxic = 0) AS has_generation, CAST(CASE WHEN pos IN (SELECT doc_id FROM labels WHERE toxic = 0) THEN tokens + 10 ELSE tokens END AS DOUBLE) AS output_token_length FROM p WHERE is_correct = 1""", "p")
 def positive_join(spark, sf):
     p = A.predictions(spark, sf)
-    gens = p.where("_pos % 9 <> 0").select("index", (F.col("output_token_length") + 10).alias("output_token_length"))
+    gens = p.join(A.labelled(spark, sf, 0), "index").select("index", (F.col("output_token_length") + 10).alias("output_token_length"))
     return analyze.positives(p, gens, A.tokens(spark, sf)).select("index", "has_generation", "output_token_length")
 
 
@@ -325,28 +383,40 @@ def case_number(spark, sf):
     return analyze.case_numbers(A.predictions(spark, sf)).select("dataset", "index", "case_number")
 
 
-@query("""SELECT pos AS p_pos, CASE WHEN pos % 4 = 3 THEN NULL ELSE pos END AS g_pos FROM p""", "p")
+@query("""SELECT pos AS p_pos, CASE WHEN finish_reason = 'stop' THEN pos END AS g_pos FROM p""", "p")
 def occurrence_join(spark, sf):
     p = A.predictions(spark, sf)
-    return analyze.occurrence_join(p, p.where("_pos % 4 <> 3"))
+    return analyze.occurrence_join(p, p.where("finish_reason = 'stop'"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT doc_id % 500 AS k, doc_id AS pos, coalesce(source, '') AS ds, row_number() OVER (PARTITION BY doc_id % 500 ORDER BY doc_id) AS n FROM documents),
+  g AS (SELECT k, list(ds ORDER BY pos * 3 % 100003) AS ds, list(pos * 3 % 100003 ORDER BY pos * 3 % 100003) AS pos FROM p GROUP BY k),
+  f AS (SELECT k, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS p_pos, CAST(NULL AS BIGINT) AS g_pos, CAST(1 AS BIGINT) AS cur FROM g
+    UNION ALL SELECT k, n, p_pos, pos[CAST(least(hit, len(pos)) AS BIGINT)], CASE WHEN hit <= len(pos) THEN hit + 1 ELSE cur END
+    FROM (SELECT f.k, p.n, p.pos AS p_pos, g.pos, f.cur, f.cur + coalesce(nullif(list_position(list_slice(g.ds, f.cur, len(g.ds)), p.ds), 0) - 1, 0) AS hit FROM f JOIN p ON p.k = f.k AND p.n = f.n + 1 JOIN g ON g.k = f.k))
+  SELECT p_pos, g_pos FROM f WHERE n > 0""")
 def occurrence_join_repeated(spark, sf):
-    """Repeated keys: the cursor decides, which SQL can't express."""
+    """Repeated keys: the cursor decides."""
     p = A.predictions(spark, sf).withColumn("index", (F.col("_pos") % 500).cast("string"))
     g = p.select("index", "dataset", (F.col("_pos") * 3 % 100_003).alias("_pos"))
     return analyze.occurrence_join(p, g)
 
 
+@query("""SELECT finish_reason, reason, kind, value, count(*) AS n, min(pos) AS first_pos FROM (
+  SELECT coalesce(finish_reason, '<missing>') AS finish_reason, 'llm_judge' AS reason, unnest(['think_type', 'last_box_source']) AS kind, unnest([coalesce(think_type, '<missing>'), coalesce(last_box_source, '<missing>')]) AS value, pos FROM p WHERE is_correct = 0)
+  GROUP BY 1, 2, 3, 4""", "p")
+def other_reasons(spark, sf):
+    return analyze.other_reasons(A.predictions(spark, sf).withColumn("reason", F.lit("llm_judge")))
+
+
 # Judgement and curriculum
 
 
 def _confirmed(spark, sf):
-    return A.table(spark, sf, "labels", "doc_id").where("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("index"))
+    return A.labelled(spark, sf, 1)
 
 
-_CONF = "(SELECT doc_id FROM labels WHERE doc_id % 7 = 0)"
+_CONF = "(SELECT doc_id FROM labels WHERE toxic = 1)"
 
 
 @query(f"""SELECT idx AS "index", CASE WHEN pos IN {_CONF} THEN 1 ELSE is_correct END AS is_correct, CASE WHEN pos IN {_CONF} THEN 'llm_judge' ELSE reason END AS reason FROM p""", "p")
@@ -360,14 +430,17 @@ def suspects_minus_confirmed(spark, sf):
     return judge.without_confirmed(bad, _confirmed(spark, sf)).select("index")
 
 
-@query("""SELECT p.idx AS "index", substr(d.text, 1, 40) AS question, CAST(d.n_chars AS VARCHAR) AS label FROM p JOIN documents d ON p.pos = d.doc_id WHERE is_correct = 0""", "p")
+@query("""SELECT p.idx AS "index", d.text AS question, CAST(d.n_chars AS VARCHAR) AS label FROM p JOIN documents d ON p.pos = d.doc_id WHERE is_correct = 0""", "p")
 def suspect_records(spark, sf):
     return judge.suspects(A.predictions(spark, sf), A.outputs(spark, sf)).select("index", "question", "label")
 
 
-@query(f"""SELECT count(*) AS total, count(*) FILTER (WHERE pos IN {_CONF}) AS updated, CAST(0 AS BIGINT) AS missing FROM p""", "p")
+@query(f"""SELECT count(*) AS total, count(*) FILTER (WHERE pos IN {_CONF}) AS updated, (SELECT count(*) FROM labels WHERE toxic = 1 AND doc_id NOT IN (SELECT pos FROM p WHERE finish_reason = 'stop')) AS missing,
+  count(*) FILTER (WHERE is_correct = 0 AND pos IN {_CONF}) AS removed FROM p WHERE finish_reason = 'stop'""", "p")
 def verdict_counts(spark, sf):
-    return judge.verdict_counts(A.predictions(spark, sf), _confirmed(spark, sf)).select("total", "updated", "missing")
+    """Of the rows that stopped; the verdicts on others have no row."""
+    p = A.predictions(spark, sf).where("finish_reason = 'stop'")
+    return judge.verdict_counts(p, _confirmed(spark, sf), p.where("is_correct = 0"))
 
 
 _POOL = """k AS (SELECT *, CASE WHEN coalesce(is_correct, 0) <> 1 THEN 'incorrect' WHEN grp IS NULL THEN 'missing' WHEN grp <= 2 THEN 'group_1_2' ELSE 'group_' || grp END AS pool FROM g),
@@ -377,10 +450,10 @@ _POOL = """k AS (SELECT *, CASE WHEN coalesce(is_correct, 0) <> 1 THEN 'incorrec
 
 
 def _split(spark, sf):
-    p, t = A.predictions(spark, sf), A.tokens(spark, sf)
-    n = {r["pool"]: r["count"] for r in curriculum.ranked(curriculum.annotated(p, t), 9).groupBy("pool").count().collect()}
-    base = sum(n.get(k, 0) for k in ("incorrect", "group_5", "group_6", "group_7")) + n.get("group_4", 0) // 2 + n.get("group_3", 0) // 2
-    return curriculum.split(p, t, base + n.get("group_1_2", 0) // 2, 9), base + n.get("group_1_2", 0) // 2
+    rows = curriculum.ranked(curriculum.annotated(A.predictions(spark, sf), A.tokens(spark, sf)), 9)
+    n = curriculum.pool_sizes(rows)
+    target = curriculum.base_size(n) + n.get("group_1_2", 0) // 2
+    return curriculum.chosen(rows, n, target), target
 
 
 VIEWS["q"] = _POOL

@@ -6,12 +6,15 @@ import json
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import exprs as X
 
+#: Keys that may hold a document's rows (fixed values).
 WRAPPERS = ("data", "rows", "items", "records")
+#: File parts that :func:`positioned` broadcasts at most.
+MOST_PARTS = 1_000_000
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -26,16 +29,39 @@ def parquet(spark: SparkSession, path: str, columns: Iterable[str] | None = None
     return require_columns(df, *columns).select(*columns) if columns else df
 
 
+def _scanned(df: DataFrame) -> DataFrame:
+    """A file scan with its file, its place in the file, and an id that rises along each such part."""
+    return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+
+
+def _numbered(scan: DataFrame) -> DataFrame:
+    """``_pos`` from 0 in the order of the file names and the rows within, of a scan that may have been filtered. Rows of a part are read one after
+    another, so that their ids differ from their positions by one number for each part; rows are not shuffled."""
+    parts = scan.groupBy("__file", "__block").agg(F.min("__id").alias("low"), (F.max("__id") - F.min("__id") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = parts.select("__file", "__block", (before - F.col("low")).alias("__shift"))
+    if shift.count() <= MOST_PARTS:  # a row for each 128 MB of input
+        shift = F.broadcast(shift)
+    out = scan.join(shift, ["__file", "__block"]).withColumn("_pos", F.col("__id") + F.col("__shift"))
+    return out.drop("__file", "__block", "__id", "__shift")
+
+
 def positioned(df: DataFrame) -> DataFrame:
-    """Adds ``_pos``, a file's row order (rows of later files follow)."""
-    return df.withColumn("_pos", F.monotonically_increasing_id())
+    """Adds ``_pos``, from 0, to a table just read from files: its rows' order, files by name."""
+    return _numbered(_scanned(df))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that aren't blank, trimmed, with what :func:`_numbered` takes. The ids are made after blank lines are gone."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+    kept = text.withColumn("value", X.clean_text(F.regexp_replace("value", "^\ufeff", ""))).where("value <> ''")
+    return kept.withColumn("__id", F.monotonically_increasing_id())
 
 
 def json_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """``_pos`` and ``_v`` (variant) of each line that isn't blank. Strict: a line that isn't a JSON object fails the job, naming
+    """``_pos`` (from 0, blank lines left out) and ``_v`` (variant) of each line. Strict: a line that isn't a JSON object fails the job, naming
     path and position; lenient: it is left out. A byte order mark is accepted."""
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("_path"), F.monotonically_increasing_id().alias("_pos"))
-    lines = lines.withColumn("value", X.clean_text(F.regexp_replace("value", "^﻿", ""))).where("value <> ''")
+    lines = _numbered(_lines(spark, path).withColumn("_path", F.col("__file")))
     v = F.try_parse_json("value")
     good = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT")
     if not strict:
@@ -58,10 +84,14 @@ def field_or(v: Column, name: str, default: Column) -> Column:
     return F.when(has_field(v, name), field(v, name)).otherwise(default)
 
 
-def json_document(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON document: a list, a list under one of the wrapper keys, or one object."""
+def json_document(spark: SparkSession, path: str, wrapped: bool = True) -> DataFrame:
+    """Rows of a JSON document: a list, or (``wrapped``) a list under one of the wrapper keys, or one object. Without ``wrapped`` a document that is no list is an error."""
+    if not wrapped:
+        first = F.substring(X.clean_text(F.regexp_replace("value", "^\ufeff", "")), 1, 1)
+        if spark.read.text(path, wholetext=True).where(first != "[").take(1):
+            raise ValueError(f"{path} holds no JSON list")
     df = spark.read.json(path, multiLine=True)
-    for w in WRAPPERS:
+    for w in WRAPPERS if wrapped else ():
         if w in df.columns and df.schema[w].dataType.typeName() == "array":
             return df.select(F.explode(w).alias("_r")).select("_r.*")
     return df
@@ -73,7 +103,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     if kind == ".parquet":
         return positioned(spark.read.parquet(path))
     if kind in (".jsonl", ".json"):
-        return positioned(spark.read.json(path, multiLine=kind == ".json"))
+        return positioned(json_document(spark, path, wrapped=False) if kind == ".json" else spark.read.json(path))
     raise ValueError(f"unsupported file type {kind!r}: use .json, .jsonl or .parquet")
 
 
@@ -95,7 +125,7 @@ def key_set(spark: SparkSession, path: str, words_only: bool = False) -> DataFra
 
 def ordered_keys(spark: SparkSession, path: str) -> DataFrame:
     """index and ``_pos`` in file order; duplicates or an empty file are errors."""
-    keys = spark.read.text(path).select(X.clean_text(F.col("value")).alias("index"), F.monotonically_increasing_id().alias("_pos")).where("index <> ''")
+    keys = _numbered(_lines(spark, path)).select(F.col("value").alias("index"), "_pos")
     if not keys.take(1):
         raise ValueError(f"no keys in {path}")
     require_unique(keys, "index")
@@ -124,12 +154,26 @@ def last_per_key(df: DataFrame, key: str = "index", order: str = "_pos") -> Data
     return df.groupBy(key).agg(F.max(order).alias(order), best).select(key, order, *[F.col(f"_r.{c}") for c in rest]).select(df.columns)
 
 
-def train_tokens(df: DataFrame) -> DataFrame:
-    """index and train_token as double, null as NaN: a row that is there without a value differs from no row."""
+def train_tokens(df: DataFrame, checked: bool = True) -> DataFrame:
+    """index and train_token as double, null as NaN: a row that is there without a value differs from no row. An index may be there once."""
     got = require_columns(df, "index", "train_token")
+    if checked:
+        require_unique(got, "index")
     return got.select(X.key_text(F.col("index")).alias("index"), F.coalesce(F.col("train_token").cast("double"), F.lit(float("nan"))).alias("train_token"))
 
 
+def generations(df: DataFrame) -> DataFrame:
+    """``df``, whose index must not be null."""
+    index = F.coalesce(F.col("index").cast("string"), F.raise_error(F.lit("a generation has no index")).cast("string"))
+    return require_columns(df, "index").withColumn("index", index)
+
+
+def preference_triples(df: DataFrame, prompt: str = "prompt", chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
+    """prompt, chosen and rejected as text; rows that lack one go."""
+    got = require_columns(df, prompt, chosen, rejected)
+    return got.select(*[F.col(c).cast("string").alias(n) for c, n in ((prompt, "prompt"), (chosen, "chosen"), (rejected, "rejected"))]).na.drop()
+
+
 def selected_problems(df: DataFrame, idx: list | None = None, limit: int | None = None, column: str = "problem_idx") -> DataFrame:
     """Rows by a list of numbers (an empty list selects none), else the first ``limit``."""
     if idx is not None:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
+import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -58,32 +59,48 @@ def row_numbers(df: DataFrame, order: str, parts: int | None = None) -> DataFram
 
 
 def write_chunks(df: DataFrame, directory: str, stem: str, order: str = "_pos", size: int = 1000, clear: bool = True) -> list[str]:
-    """JSON arrays of ``size`` records in files that name part and rows; the driver streams one chunk at a time. No rows, no files."""
-    top = Path(directory)
-    top.mkdir(parents=True, exist_ok=True)
+    """JSON arrays of ``size`` records in files that name part and rows, each written where its rows are, under a name of its own and then renamed. No rows, no
+    files; ``clear`` removes earlier ones. Returns the names; columns whose names begin with an underscore are left out. File systems are those of ``pyarrow.fs``."""
+    where = directory if "://" in directory else Path(directory).absolute().as_uri()
+    fs, top = pafs.FileSystem.from_uri(where)
+    fs.create_dir(top, recursive=True)
     if clear:
-        for old in top.glob(f"{stem}_part*_of*_rows*.json"):
-            old.unlink()
-    rows = chunked(df, order, size).orderBy("_n")
+        pattern = re.compile(rf"{re.escape(stem)}_part\d+_of\d+_rows\d+-\d+\.json")
+        for old in fs.get_file_info(pafs.FileSelector(top)):
+            if pattern.fullmatch(old.base_name):
+                fs.delete_file(old.path)
+    rows = chunked(df, order, size)
     fields = [c for c in df.columns if not c.startswith("_")]
-    total, out, held = df.count(), [], []
-    wide = len(str(total))
-    parts = -(-total // size)
-
-    def flush() -> None:
-        a = len(out) * size + 1
-        name = top / f"{stem}_part{len(out) + 1:0{max(2, len(str(parts)))}d}_of{parts:02d}_rows{a:0{wide}d}-{a + len(held) - 1:0{wide}d}.json"
-        name.write_text(json.dumps(held, ensure_ascii=False, indent=2), encoding="utf-8")
-        out.append(str(name))
-        held.clear()
-
-    for r in rows.select(*fields).toLocalIterator(prefetchPartitions=True):
-        held.append(r.asDict(recursive=True))
-        if len(held) == size:
-            flush()
-    if held:
-        flush()
-    return out
+    total = df.count()
+    parts, wide = -(-total // size), len(str(total))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out_fs, out_top = pafs.FileSystem.from_uri(where)
+
+        def flush(part: int, first: int, held: list[dict]) -> pa.RecordBatch:
+            name = f"{stem}_part{part:0{max(2, len(str(parts)))}d}_of{parts:02d}_rows{first:0{wide}d}-{first + len(held) - 1:0{wide}d}.json"
+            temporary = f"{out_top}/.{name}.{uuid.uuid4().hex}"
+            with out_fs.open_output_stream(temporary) as out:
+                out.write(json.dumps(held, ensure_ascii=False, indent=2, default=str).encode())
+            out_fs.move(temporary, f"{out_top}/{name}")
+            return pa.RecordBatch.from_pydict({"part": [part], "name": [name]})
+
+        at, held = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                here = r.pop("part"), r.pop("row_from")
+                if held and here != at:
+                    yield flush(*at, held)
+                    held = []
+                at = here
+                r.pop("_n")
+                held.append(r)
+        if held:
+            yield flush(*at, held)
+
+    laid = rows.select("part", "row_from", "_n", *fields).repartition("part").sortWithinPartitions("part", "_n")
+    names = laid.mapInArrow(write, "part long, name string").collect()  # a row for each file
+    return [f"{directory}/{r['name']}" for r in sorted(names)]
 
 
 def write_json_lines(df: DataFrame, path: str, append: bool = False, drop: Iterable[str] = ("_pos",)) -> None:
@@ -91,8 +108,8 @@ def write_json_lines(df: DataFrame, path: str, append: bool = False, drop: Itera
 
 
 def write_keys(df: DataFrame, path: str, order: str = "_pos", key: str = "index") -> None:
-    """A key a line, in order."""
-    df.orderBy(order).select(F.col(key).cast("string")).coalesce(1).write.mode("overwrite").text(path)
+    """A key a line, in order over the files by name."""
+    df.orderBy(order).select(F.col(key).cast("string")).write.mode("overwrite").text(path)
 
 
 def write_stats(stats: object, path: str) -> None:
@@ -100,16 +117,21 @@ def write_stats(stats: object, path: str) -> None:
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Replaces a local Parquet directory that ``df`` may read: written beside it, then renamed."""
-    new, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    """Replaces a Parquet folder that ``df`` may read, on any of Hadoop's file systems: written beside it, then renamed."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    new, old = (f"{path.rstrip('/')}.{uuid.uuid4().hex}.{x}" for x in ("new", "old"))
     try:
         df.write.parquet(new)
-        if os.path.exists(path):
-            os.replace(path, old)
-        os.replace(new, path)
+        if fs.exists(where(path)):
+            fs.rename(where(path), where(old))
+        if not fs.rename(where(new), where(path)):
+            fs.rename(where(old), where(path))
+            raise OSError(f"cannot rename {new} to {path}")
     finally:
         for p in (new, old):
-            shutil.rmtree(p, ignore_errors=True)
+            fs.delete(where(p), True)
 
 
 def sft_json(instruction: Column, output: Column, index: Column) -> Column:
@@ -117,12 +139,32 @@ def sft_json(instruction: Column, output: Column, index: Column) -> Column:
     return F.to_json(F.struct(instruction.alias("instruction"), output.alias("output"), F.nullif(index.cast("string"), F.lit("")).alias("index")))
 
 
+def write_sft(df: DataFrame, path: str, order: str = "_pos") -> None:
+    """Training records as one pretty JSON array, streamed; an empty index is left out."""
+    rows = df.orderBy(order).select(sft_json(F.col("instruction"), F.col("output"), F.col("index"))).toLocalIterator(prefetchPartitions=True)
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("[")
+        for i, r in enumerate(rows):
+            out.write(("," if i else "") + "\n" + json.dumps(json.loads(r[0]), ensure_ascii=False, indent=2))
+        out.write("\n]\n")
+
+
 def batch_request(key: Column, body: Column, url: str = "/v1/responses") -> Column:
     return F.to_json(F.struct(key.cast("string").alias("custom_id"), F.lit("POST").alias("method"), F.lit(url).alias("url"), body.alias("body")))
 
 
+def batch_requests(df: DataFrame, body: Column, size: int = 1000, key: str = "index", order: str = "_pos") -> DataFrame:
+    """chunk (from 0) and request of each row, ``size`` rows a chunk in order."""
+    return chunked(df, order, size).select((F.col("part") - 1).alias("chunk"), batch_request(F.col(key), body).alias("request"))
+
+
+#: Fields of a row of the metric history (fixed values).
+HISTORY = ("step", "epoch", "loss", "train_loss", "mean_token_accuracy", "learning_rate", "grad_norm", "num_tokens")
+
+
 def write_history(df: DataFrame, path: str) -> None:
-    """Appends metric rows as JSON lines and as CSV with a header."""
+    """Appends metric rows as JSON lines and as CSV with a header, with the fields of HISTORY; what a row lacks is null, what it has besides is left out."""
+    df = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in HISTORY])
     df.write.mode("append").json(f"{path}/jsonl")
     df.write.mode("append").option("header", True).csv(f"{path}/csv")
 

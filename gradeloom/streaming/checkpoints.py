@@ -21,14 +21,16 @@ def latest(log: DataFrame) -> DataFrame:
     return last_per_key(log.where(succeeded()))
 
 
-def parse_results(lines: DataFrame) -> DataFrame:
-    """Checkpoint rows of batch results (``_v`` variants): hints as JSON texts, or an error with its reason."""
-    v = lambda p, t="string": F.try_variant_get("_v", f"$.{p}", t)
-    body = F.try_variant_get("_v", "$.response.body", "variant")
-    text = X.output_text(F.try_variant_get(body, "$.output_text", "string"), F.from_json(F.to_json(F.try_variant_get(body, "$.output", "variant")), X.OUTPUT_SCHEMA))
-    hint = F.try_parse_json(X.unfenced(text))
-    items = lambda name: X.hint_items(F.coalesce(F.try_variant_get(hint, f"$.{name}", "array<string>"), X.hint_lines(F.try_variant_get(hint, f"$.{name}", "string"))))
-    out = lines.select(v("custom_id").alias("index"), v("error", "variant").alias("_e"), v("response.status_code", "int").alias("_code"), X.clean_text(F.try_variant_get(hint, "$.concise_hint", "string")).alias("_c"), items("detailed_method_hint").alias("_m"), items("detailed_scaffold_hint").alias("_s"), X.usage(body).alias("usage"), hint.isNotNull().alias("_json"))
+def parse_results(lines: DataFrame, *keep: str) -> DataFrame:
+    """Checkpoint rows of batch results (``_v`` variants): hints as JSON texts, or an error with its reason; ``keep`` are further columns to keep. Each value is
+    read from the variant once."""
+    get = lambda c, p, t="string": F.try_variant_get(c, f"$.{p}", t)
+    rows = lines.select(*keep, get("_v", "custom_id").alias("index"), get("_v", "error", "variant").alias("_e"), get("_v", "response.status_code", "int").alias("_code"), get("_v", "response.body", "variant").alias("_body"))
+    text = X.output_text(get("_body", "output_text"), get("_body", "output", X.OUTPUT_SCHEMA))
+    rows = rows.select(*keep, "index", "_e", "_code", X.usage(F.col("_body")).alias("usage"), X.unfenced(text).alias("_t"))
+    rows = rows.select(*keep, "index", "_e", "_code", "usage", F.try_parse_json("_t").alias("_h"))
+    items = lambda name: X.hint_items(F.coalesce(get("_h", name, "array<string>"), X.hint_lines(get("_h", name))))
+    out = rows.select(*keep, "index", "_e", "_code", "usage", F.col("_h").isNotNull().alias("_json"), X.clean_text(get("_h", "concise_hint")).alias("_c"), items("detailed_method_hint").alias("_m"), items("detailed_scaffold_hint").alias("_s"))
     error = (
         F.when(F.col("_e").isNotNull() & ~F.is_variant_null("_e"), F.to_json("_e"))
         .when(F.coalesce("_code", F.lit(0)) != 200, F.concat(F.lit("status_code="), F.coalesce(F.col("_code").cast("string"), F.lit("None"))))
@@ -39,7 +41,20 @@ def parse_results(lines: DataFrame) -> DataFrame:
     )
     out = out.withColumn("error", error)
     ok = F.col("error").isNull()
-    return out.select("index", F.when(ok, "ok").otherwise("error").alias("status"), "error", F.when(ok, F.col("_c")).alias(FIELDS[0]), F.when(ok, F.to_json("_m")).alias(FIELDS[1]), F.when(ok, F.to_json("_s")).alias(FIELDS[2]), "usage.*")
+    return out.select(*keep, "index", F.when(ok, "ok").otherwise("error").alias("status"), "error", F.when(ok, F.col("_c")).alias(FIELDS[0]), F.when(ok, F.to_json("_m")).alias(FIELDS[1]), F.when(ok, F.to_json("_s")).alias(FIELDS[2]), "usage.*")
+
+
+def parse_errors(lines: DataFrame, *keep: str) -> DataFrame:
+    """Checkpoint rows of a batch's error file: each is an error, with its reason or else the whole line."""
+    told = [F.to_json(F.try_variant_get("_v", f"$.{p}", "variant")) for p in ("error", "response.body.error")]
+    reason = F.coalesce(*[F.nullif(x, F.lit("null")) for x in told], F.to_json("_v"))
+    usage = [F.lit(None).cast("bigint").alias(c) for c in ("input_tokens", "cached_input_tokens", "output_tokens", "total_tokens")]
+    return lines.select(*keep, F.try_variant_get("_v", "$.custom_id", "string").alias("index"), F.lit("error").alias("status"), reason.alias("error"), *[F.lit(None).cast("string").alias(c) for c in FIELDS], *usage)
+
+
+def table(log: DataFrame, optional: tuple[str, ...] = ("model", "batch_id", "input_tokens", "cached_input_tokens", "output_tokens", "total_tokens")) -> DataFrame:
+    """The latest success of each index as a table: its hints, and those of the optional columns that the log has."""
+    return latest(log).select("index", *FIELDS, *[c for c in optional if c in log.columns])
 
 
 def usage_totals(df: DataFrame) -> DataFrame:
