@@ -160,7 +160,7 @@ def _plans(patterns: DataFrame, sources: DataFrame, passes: int) -> DataFrame:
     return C.saved(flows.unionByName(alone))
 
 
-def mix(docs: DataFrame, size: Column, members: Column, weights=None, quotas: dict | None = None, passes: int = 3, seed: int = 9, cut: bool = True, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, size: Column, members: Column, weights=None, quotas: dict | None = None, passes: int = 3, seed: int = 9, cut: bool = True, id_col: str = "doc_id", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Chooses what of each row a mix takes.
 
     ``size`` is a row's words (null or negative: 0), ``members`` an array of its sources (a null
@@ -170,7 +170,7 @@ def mix(docs: DataFrame, size: Column, members: Column, weights=None, quotas: di
 
     Returns the ``keep`` columns (default: id) and size, source_size and target (of the row's first
     source), taken (words, repeats counted, at most ``passes`` times the size), copies (whole copies)
-    and taken_by (source, words). With ``cut`` a pattern's last row may be taken in part, so that
+    and taken_by (source, words), their names after ``prefix``. With ``cut`` a pattern's last row may be taken in part, so that
     quotas are met to the word; without it rows are taken whole, by whether their middle lies within.
     Rows that repeat are rows of their own; ties of the seeded order fall by id and size. An empty table gives no rows.
 
@@ -210,7 +210,8 @@ def mix(docs: DataFrame, size: Column, members: Column, weights=None, quotas: di
     by = F.transform("_spans", lambda x: F.struct(x["s"].alias("source"), F.aggregate(turns, zero, lambda acc, k: acc + part(x, k)).alias("words")))
     df = df.withColumn("_by", F.filter(by, lambda x: x["words"] > 0)).withColumn("taken", F.aggregate("_by", zero, lambda acc, x: acc + x["words"]))
     copies = F.when(F.col("_size") > 0, F.floor(F.col("taken") / F.col("_size"))).otherwise(F.lit(0)).cast("long")
-    return df.select(*[F.col(f"k_{c}").alias(c) for c in keep], F.col("_size").alias("size"), "source_size", "target", "taken", copies.alias("copies"), F.col("_by").alias("taken_by"))
+    found = {"size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("taken"), "copies": copies, "taken_by": F.col("_by")}
+    return df.select(*[F.col(f"k_{c}").alias(c) for c in keep], *[v.alias(f"{prefix}{c}") for c, v in found.items()])
 
 
 def cycle_521(rank: Column) -> Column:
