@@ -1,8 +1,12 @@
 """The corpus pipeline: quality rules, near-duplicate removal, passage removal, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
-docs. All but the last return the columns of ``documents``; the last returns the packed pieces. A null in
-any column, empty texts, repeated rows and an empty table are handled as the operators of each stage say.
+docs. All but the last return the columns of ``documents``; the last returns the packed pieces.
+
+Rows without words (null, empty or blank texts) fail the base rules and go in the first stage. A null language or source is one of its own; a row with a
+null id stays, is nobody's copy and loses no words; rows that repeat are judged each in the first stage, and one of them stays in the
+second, that of the least id; ties of the seeded orders fall by id and text. Long texts are handled whole. Columns that the stages don't use are carried on, whatever
+their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as many times as the mix takes it, whole."""
-    taken = mixing.mix(docs, mixing.n_words(F.col("text")), F.array(F.col("source")), mixing.cycle_521, cut=False, keep=docs.columns)
-    return taken.where("copies > 0").withColumn("__gl_again", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)
+    taken = mixing.mix(docs, mixing.n_words(F.col("text")), F.array(F.col("source")), mixing.cycle_521, cut=False, keep=docs.columns, prefix="__gl_")
+    return taken.where("__gl_copies > 0").withColumn("__gl_again", F.explode(F.array_repeat(F.lit(0), F.col("__gl_copies").cast("int")))).select(docs.columns)
 
 
 #: Chunks that the packing stage remembers: a third of the usual, as executors that ran the other stages have less memory left.
