@@ -133,3 +133,8 @@ def encoder(path: str, cached: int = CACHED) -> Encoder:
         _encoders[path] = Encoder(path)
     _encoders[path].cached = cached
     return _encoders[path]
+
+
+def forget(path: str) -> None:
+    """Gives up the encoder of a file with all that it remembers."""
+    _encoders.pop(path, None)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .encoding import CACHED, encoder
+from .encoding import CACHED, encoder, forget
 from .ranges import running_sum
 
 WINDOW = 2048
@@ -29,7 +29,7 @@ WINDOW = 2048
 SEGMENT, LEAST_SEGMENT = 512, 64
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str, source_col: str, cached: int = CACHED) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str, source_col: str, cached: int = CACHED, keep: bool = True) -> DataFrame:
     """_id, _src, _th, n and the compressed ids of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,6 +42,10 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, te
                     _id=pa.array(keys[a : a + 500], pa.int64()), _src=pa.array(sources[a : a + 500], pa.string()), _th=pa.array(hashes[a : a + 500], pa.int64()),
                     n=pa.array([len(b) // enc.dtype.itemsize for b in got], pa.int64()), z=pa.array([squeeze.compress(b) for b in got], pa.binary()),
                 )
+        if not keep:
+            del enc
+            forget(tokenizer)
+            C.release()
 
     cols = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("_src"), F.xxhash64(F.col(text_col)).alias("_th"), F.col(text_col).alias("t"))
     return cols.mapInArrow(run, "_id long, _src string, _th long, n long, z binary")
@@ -57,7 +61,7 @@ def _quanta(stats: DataFrame, window: int, shares: dict) -> DataFrame:
     return joined.withColumn("_q", F.greatest(F.coalesce("share", F.lit(left) * F.col("t") / F.lit(free)) * window, F.lit(1e-6)))
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int = WINDOW, shares: dict | None = None, segment: int = SEGMENT, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cached: int = CACHED) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int = WINDOW, shares: dict | None = None, segment: int = SEGMENT, seed: int = 9, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cached: int = CACHED, keep: bool = True) -> DataFrame:
     """Packs every row into windows of ``window`` ids; returns a row for each piece.
 
     Columns: doc_id, start (ids of the row before the piece), length, ids_crc32, doc_tokens, sequence_id, offset,
@@ -65,14 +69,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int =
     all queues end together); a source without one shares what is left by its ids; one with a share of 0 comes after all that have one. A null text is empty
     and has its end id alone, a null source is a queue of its own, rows that repeat are packed each, an
     empty table gives no rows, other columns are ignored. Windows are numbered from 0 and full but for the last.
-    ``cached`` bounds what a worker remembers of the tokenizer's results; it trades memory for time and changes no row.
+    ``cached`` bounds what a worker remembers of the tokenizer's results, and without ``keep`` it forgets them at the end of each task; both trade memory for time and change no row.
 
     Ids are made once and stored, compressed; orders and cuts are found on narrow rows; the cuts are then joined to the ids.
     Sums run over buckets of a source (square roots of the counts) and over ranges of the stream, never over a whole source or stream in one task. Sources are a table, of any number.
     """
     spark = docs.sparkSession
     C.text_batches(spark)
-    coded = C.saved(encoded(docs, tokenizer, end_id, id_col, text_col, source_col, cached).withColumns({"_row": F.monotonically_increasing_id(), "_queue": F.xxhash64("_src")}), "none")
+    coded = C.saved(encoded(docs, tokenizer, end_id, id_col, text_col, source_col, cached, keep).withColumns({"_row": F.monotonically_increasing_id(), "_queue": F.xxhash64("_src")}), "none")
     stats = C.saved(coded.groupBy("_queue").agg(F.first("_src").alias("s"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")))
     queues = _quanta(stats, window, shares or {})
     whole = F.ceil(F.col("_q") / F.ceil(F.col("_q") / segment))  # a quantum over ``segment`` is cut evenly
@@ -90,7 +94,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int =
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, expand = encoder(tokenizer, cached), zstandard.ZstdDecompressor()
+        expand = zstandard.ZstdDecompressor()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -114,7 +118,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int =
             held, raw = -1, b""
             for i, (r, a, c) in enumerate(zip(row.tolist(), (4 * start).tolist(), (4 * (start + length)).tolist(), strict=True)):
                 if r != held:
-                    held, raw = r, memoryview(np.frombuffer(expand.decompress(zs[r].as_py()), enc.dtype).astype("<u4").tobytes())
+                    ids = expand.decompress(zs[r].as_py())
+                    held, raw = r, memoryview(np.frombuffer(ids, f"<u{len(ids) // n[r]}").astype("<u4").tobytes())
                 crcs[i] = zlib.crc32(raw[a:c])
             where = pa.array(row)
             yield C.batch(**dict(zip(names, (keys.take(where), pa.array(start), pa.array(length), pa.array(crcs), ns.take(where), pa.array(begin // window), pa.array(begin % window)), strict=True)), source=sources.take(where))
