@@ -42,12 +42,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.where("__gl_copies > 0").withColumn("__gl_again", F.explode(F.array_repeat(F.lit(0), F.col("__gl_copies").cast("int")))).select(docs.columns)
 
 
-#: Chunks that the packing stage remembers: a third of the usual, as executors that ran the other stages have less memory left.
+#: Chunks that the packing stage remembers in a task: a quarter of the usual, as executors that ran the other stages have less memory left.
 CACHED = 400_000
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=CACHED)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cached=CACHED, keep=False)
 
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("mixture", mixture), ("packing", packed)]
