@@ -3,7 +3,9 @@
 A byte-level tokenizer cuts a text before every single space that follows a character other than white
 space or precedes one, so the chunks between such spaces can be encoded apart. Texts where that does
 not hold (runs of mixed white space, added tokens in the text, other kinds of tokenizer) are encoded
-whole. The ids are the library's either way.
+whole. A chunk of letters with marks after them, or two such on two lines, is cut as the tokenizer
+cuts it and its parts go straight to the library's merge model; other chunks go through the whole
+library. The ids are the library's either way.
 """
 
 from __future__ import annotations
@@ -15,14 +17,41 @@ from array import array
 
 import numpy as np
 
-_PUNCTUATION = "!#$%&*,.:;?|"
 _UNSAFE = re.compile(r"\s \s|\s \Z")
+#: In every unsafe text, and sooner looked for.
+_SUSPECT = re.compile(r" (?:\s|\Z)")
+#: Ranges without gaps of code points that are letters in every version of Unicode, and ASCII marks other than those of contractions.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u4e00-\u9fa5]+"
+_MARKS = "[!#$%&*,.:;?|]*"
+_PLAIN = re.compile(f"({_LETTERS})({_MARKS})(?:\n({_LETTERS})({_MARKS}))?")
 
 
 #: Chunks that a worker remembers, about 240 bytes each, in two halves: those asked for since the last turn, and those of the turn before.
 CACHED = 1_600_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter of a byte-level vocabulary for each byte: itself if it is printable Latin-1, else the next one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Chunks(dict):
+    """Ids of chunks after a space; those that are lacking come over from ``old``, or are made."""
+
+    def __init__(self, make, old: dict[str, bytes]):
+        super().__init__()
+        self.make, self.old = make, old
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.make(chunk)
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str, cached: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -31,92 +60,63 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.added = [str(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         kind = str(self.tok.pre_tokenizer)
         self.chunked = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind and self.tok.normalizer is None
-        self.spaced = np.zeros(self.size, bool)
-        self.spaced[[i for t, i in self.tok.get_vocab(with_added_tokens=True).items() if t[:1] == "\u0120"]] = True
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # the cache before; what is asked for again comes over
-        self.tails: dict[str, bytes] = {}
+        self.merge = self.tok.model.tokenize
+        self.letters = _byte_letters()
+        self.space, self.line = self.letters[0x20], self.letters[0x0A]
+        self.marks: dict[str, bytes] = {"": b""}
+        self.cache = _Chunks(self._made, {})
         self.cached = cached
         self.run = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        return [array(code, e.ids).tobytes() for e in self.run(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        self.cache.update(zip(chunks, self._encoded([" " + c for c in chunks]), strict=True))
-
-    def _learn_together(self, chunks: list[str]) -> None:
-        """Encodes chunks without white space as one text, and cuts the ids where a token starts with the space."""
-        ids = np.frombuffer(self._encoded([" " + " ".join(chunks)])[0], self.dtype)
-        cuts = np.flatnonzero(self.spaced[ids])
-        if len(cuts) == len(chunks) and cuts[0] == 0:
-            raw, n = ids.tobytes(), self.dtype.itemsize
-            edges = [*(cuts * n).tolist(), len(raw)]
-            self.cache.update(zip(chunks, map(raw.__getitem__, map(slice, edges, edges[1:])), strict=True))
-
-    def _fill(self, new: list[str]) -> None:
-        """Encodes chunks that the cache lacks. Letters and the punctuation after them are apart to the tokenizer, so such a chunk is put together."""
-        cache, tails, plain, other, made = self.cache, self.tails, {}, [], []
-        for c in new:
-            core = c.rstrip(_PUNCTUATION)
-            if core.isalpha():
-                if core not in cache:
-                    plain[core] = None
-                if len(core) < len(c):
-                    made.append((c, core, c[len(core) :]))
-            elif c.split() == [c]:
-                plain[c] = None
-            else:
-                other.append(c)
-        learn = list(plain)
-        for a in range(0, len(learn), 2_000):
-            self._learn_together(learn[a : a + 2_000])
-        self._learn(other + [c for c in learn if c not in cache])
-        for c, core, tail in made:
-            if tail not in tails:
-                if len(tails) > 10_000:
-                    tails.clear()
-                tails[tail] = self._encoded([tail])[0]
-            cache[c] = cache[core] + tails[tail]
+        return [array(self.code, e.ids).tobytes() for e in self.run(texts, add_special_tokens=False)]
+
+    def _merged(self, before: str, part: str) -> bytes:
+        """Ids of one part that the tokenizer does not cut; ``before`` is in the vocabulary's letters."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.merge(before + part)]).tobytes()
+
+    def _marked(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            if len(self.marks) > 10_000:
+                self.marks = {"": b""}
+            ids = self.marks[marks] = self._merged("", marks)
+        return ids
+
+    def _made(self, chunk: str) -> bytes:
+        """Ids of a chunk after a space."""
+        m = _PLAIN.fullmatch(chunk)
+        if m is None:
+            return self._encoded([" " + chunk])[0]
+        word, marks, below, more = m.groups()
+        if len(word) == len(chunk):
+            return self._merged(self.space, word)
+        ids = self.cache[word] + self._marked(marks)
+        return ids if below is None else ids + self._merged(self.line, "") + self._merged("", below) + self._marked(more)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (null: none), without added special tokens."""
         texts = [t or "" for t in texts]
         out: list[np.ndarray | None] = [None] * len(texts)
         if 2 * len(self.cache) > self.cached:
-            self.old, self.cache = self.cache, {}
-        cache, get, older, parts, heads, whole, missing = self.cache, self.cache.get, self.old.get, {}, [], [], {}
+            self.cache = _Chunks(self._made, self.cache)
+            self.cache.old.old = {}  # its elder goes
+        known, parts, heads, whole = self.cache.__getitem__, {}, [], []
         for i, t in enumerate(texts):
-            if not self.chunked or _UNSAFE.search(t) or any(a in t for a in self.added):
+            if not self.chunked or (_SUSPECT.search(t) and _UNSAFE.search(t)) or any(a in t for a in self.added):
                 whole.append(i)
                 continue
             first, *rest = t.split(" ")
             heads.append(first)
-            known = list(map(get, rest))
-            parts[i] = known
-            j = -1
-            try:
-                while True:
-                    j = known.index(None, j + 1)
-                    c = rest[j]
-                    v = older(c)
-                    if v is None:
-                        missing.setdefault(c, []).append((known, j))
-                    else:
-                        known[j] = cache[c] = v
-            except ValueError:  # no more
-                pass
-        self._fill(list(missing))
-        for c, places in missing.items():
-            v = cache[c]
-            for known, j in places:
-                known[j] = v
-        for (i, known), head in zip(parts.items(), self._encoded(heads), strict=True):
-            out[i] = np.frombuffer(head + b"".join(known), self.dtype)
+            parts[i] = b"".join(map(known, rest))
+        for (i, ids), head in zip(parts.items(), self._encoded(heads), strict=True):
+            out[i] = np.frombuffer(head + ids, self.dtype)
         if whole:
             for i, b in zip(whole, self._encoded([texts[i] for i in whole]), strict=True):
                 out[i] = np.frombuffer(b, self.dtype)
@@ -137,4 +137,6 @@ def encoder(path: str, cached: int = CACHED) -> Encoder:
 
 def forget(path: str) -> None:
     """Gives up the encoder of a file with all that it remembers."""
-    _encoders.pop(path, None)
+    gone = _encoders.pop(path, None)
+    if gone:
+        gone.cache = None  # it knows its encoder, which the collector alone would find out
