@@ -27,7 +27,7 @@ _PLAIN = re.compile(f"({_LETTERS})({_MARKS})(?:\n({_LETTERS})({_MARKS}))?")
 
 
 #: Chunks that a worker remembers, about 240 bytes each, in two halves: those asked for since the last turn, and those of the turn before.
-CACHED = 1_600_000
+CACHED = 1_200_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -47,7 +47,7 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         ids = self.old.get(chunk)
         if ids is None:
-            ids = self.make(chunk)
+            return self.make(chunk)
         self[chunk] = ids
         return ids
 
@@ -90,15 +90,17 @@ class Encoder:
         return ids
 
     def _made(self, chunk: str) -> bytes:
-        """Ids of a chunk after a space."""
+        """Ids of a chunk after a space. All are remembered but those of two plain words on two lines, as such pairs seldom come again."""
         m = _PLAIN.fullmatch(chunk)
         if m is None:
-            return self._encoded([" " + chunk])[0]
-        word, marks, below, more = m.groups()
-        if len(word) == len(chunk):
-            return self._merged(self.space, word)
-        ids = self.cache[word] + self._marked(marks)
-        return ids if below is None else ids + self._merged(self.line, "") + self._merged("", below) + self._marked(more)
+            ids = self._encoded([" " + chunk])[0]
+        else:
+            word, marks, below, more = m.groups()
+            ids = self.cache[word] + self._marked(marks) if len(word) < len(chunk) else self._merged(self.space, word)
+            if below is not None:
+                return ids + self._merged(self.line, "") + self._merged("", below) + self._marked(more)
+        self.cache[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (null: none), without added special tokens."""
