@@ -177,6 +177,34 @@ def test_encoder_equals_the_library():
         assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_cuts_words_marks_and_lines_as_the_library():
+    import regex
+
+    letters = re.compile(encoding._LETTERS)
+    assert all(regex.fullmatch(r"\p{L}", c) for c in map(chr, range(0x110000)) if letters.fullmatch(c))
+    e, rnd = encoding.Encoder(BYTES, cached=500), random.Random(2)
+    parts = ["th", "The", "é", "ß", "ж", "中", "αω", "İ", "ǆ", "×", "²", "ª", "\u0301", "\u02bc", " ", " ", " ", "\n", "\n\n", ".", ",", "!?", "'t", "-", "12", "(", "😀", "x" * 300]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20))) for _ in range(10000)]
+    for a in range(0, len(texts), 100):  # the cache is turned many times
+        some = texts[a : a + 100]
+        assert [x.tolist() for x in e.encode(some)] == [x.ids for x in e.tok.encode_batch(some, add_special_tokens=False)]
+    assert len(e.cache.old) and not e.cache.old.old
+
+
+def test_forgotten_encoder_is_freed_without_the_collector():
+    import gc
+    import weakref
+
+    one = encoding.encoder(BYTES, 1000)
+    one.encode(["some words, and\nmore"])
+    gone = weakref.ref(one)
+    del one
+    encoding.forget(BYTES)
+    free = gone() is None
+    gc.enable()
+    assert free
+
+
 def test_piece_counts_equal_the_library():
     import sentencepiece
 
