@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprints import op7_fingerprints
 from .html_pages import op8_html_pages
 from .lm_scoring import op4_lm_scoring
+from .merkle import op13_merkle
 from .mixing import op1_mixing
 from .near_join import op5_near_join
 from .packing import op6_packing
+from .private_data import op11_private_data
 from .quality import op9_quality
+from .spelling import op12_spelling
 from .substrings import op10_substrings
 from .token_counts import op3_token_counts
 from .token_files import op2_token_files
 
-OPERATORS = (op1_mixing, op2_token_files, op3_token_counts, op4_lm_scoring, op5_near_join, op6_packing, op7_fingerprints, op8_html_pages, op9_quality, op10_substrings)
+OPERATORS = (op1_mixing, op2_token_files, op3_token_counts, op4_lm_scoring, op5_near_join, op6_packing, op7_fingerprints, op8_html_pages, op9_quality, op10_substrings, op11_private_data, op12_spelling, op13_merkle)
 
 
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_substrings": OP10_SQL, "quality_base": BASE_SQL, "edited_texts": EDITED_SQL}
+    return {"op10_substrings": OP10_SQL, "op12_spelling": OP12_SQL, "op13_merkle": OP13_SQL, "quality_base": BASE_SQL, "edited_texts": EDITED_SQL}
 
 
 BASE_SQL = r"""
@@ -68,3 +71,74 @@ k AS (SELECT d.doc_id, d.w, c.gone FROM d LEFT JOIN c ON d.doc_id = c.doc_id),
 v AS (SELECT doc_id, w, gone, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(generate_series(1, len(w)), lambda x: NOT list_contains(gone, x)), lambda x: w[x]) END AS kept FROM k)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM v
 """
+
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of a text, bit by bit."""
+    each = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substring(hex(encode({text})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {each}), lambda c, b: {step}))"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Near words by their shared deletions at the same place, or as one another's deletion.
+OP12_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents),
+d AS (SELECT r, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r AS k, count(*) AS m FROM t WHERE length(r) >= 7 GROUP BY doc_id, r),
+h AS (SELECT r, m, {_crc32("k")} AS c FROM d),
+p AS (SELECT CASE WHEN c % 31 = 0 THEN substring(r, 1, c % length(r)) || substring(r, c % length(r) + 2) ELSE r END AS word, m FROM h),
+w AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM p WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+i AS (SELECT word, n, unnest(generate_series(1, length(word))) AS pos FROM w),
+x AS (SELECT word, n, pos, substring(word, 1, pos - 1) || substring(word, pos + 1) AS cut FROM i),
+pairs AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.cut = b.cut AND a.pos = b.pos WHERE a.word <> b.word
+  UNION SELECT DISTINCT x.word, x.n, w.word, w.n FROM x JOIN w ON x.cut = w.word UNION SELECT DISTINCT w.word, w.n, x.word, x.n FROM x JOIN w ON x.cut = w.word),
+g AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM pairs),
+f AS (SELECT word, n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM g WHERE place = 1),
+l AS (SELECT word, form AS root, 1 AS steps FROM f WHERE form IS NOT NULL UNION ALL SELECT l.word, f.form, l.steps + 1 FROM l JOIN f ON l.root = f.word WHERE f.form IS NOT NULL),
+e AS (SELECT word, arg_max(root, steps) AS root FROM l GROUP BY word)
+SELECT w.word, f.form, coalesce(e.root, w.word) AS root, w.n, CAST(coalesce(f.n_near, 0) AS BIGINT) AS n_near, f.form_n FROM w LEFT JOIN f ON w.word = f.word LEFT JOIN e ON w.word = e.word
+"""
+
+
+def _leaf(text: str) -> str:
+    fields = [f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+def _levels(name: str, depth: int) -> list[str]:
+    """Tables name0 (g, i, c, h) to its deepest; a group of one node at a level is carried on as it is."""
+    out = []
+    for k in range(depth):
+        one = f"c <= {16**k}"
+        out.append(f"{name}{k + 1} AS (SELECT g, i // 16 AS i, c, CASE WHEN {one} THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}{k} GROUP BY g, i // 16, c)")
+        # what stands left and right of each node among its parent's children
+        side = "coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i {} a.i), '')"
+        out.append(f"{name}s{k} AS (SELECT a.g, a.i, {side.format('<')} AS l, {side.format('>')} AS r FROM {name}{k} a JOIN {name}{k} b ON a.g = b.g AND a.i // 16 = b.i // 16 WHERE a.c > {16**k} GROUP BY a.g, a.i)")
+    return out
+
+
+def _merkle_sql(depth: int) -> str:
+    """For tables of up to 16**depth rows a source, and as many sources."""
+    fold, proof, joins = "coalesce(q.tampered, q.h)", [], []
+    for name, i in (("n", "q.i"), ("m", "m0.i")):
+        for k in range(depth):
+            s = f"{name}s{k}"
+            joins.append(f"LEFT JOIN {s} ON {s}.g = {'q.g' if name == 'n' else 'm0.g'} AND {s}.i = {i} // {16**k}")
+            proof.append(f"coalesce({s}.l || {s}.r, '')")
+    steps = [f"{name}s{k}" for name in ("n", "m") for k in range(depth)]
+    selects = [f"z0 AS (SELECT q.doc_id, q.h AS leaf, n{depth}.h AS subroot, m{depth}.h AS root, sha256({' || '.join(proof)}) AS proof_sha256, {fold} AS f0, {', '.join(f'{s}.l AS {s}_l, {s}.r AS {s}_r' for s in steps)} FROM n0 q JOIN n{depth} ON n{depth}.g = q.g JOIN m0 ON m0.of = q.g CROSS JOIN m{depth} {' '.join(joins)})"]
+    selects += [f"z{j + 1} AS (SELECT *, CASE WHEN {s}_l IS NULL THEN f{j} ELSE sha256({s}_l || f{j} || {s}_r) END AS f{j + 1} FROM z{j})" for j, s in enumerate(steps)]
+    lowered = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    return f"""
+WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS g, {_leaf("text")} AS h, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_leaf(lowered)} END AS tampered FROM documents),
+n0 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS c FROM d),
+{", ".join(_levels("n", depth))},
+m0 AS (SELECT '' AS g, g AS of, h, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS c FROM n{depth}),
+{", ".join(_levels("m", depth))},
+{", ".join(selects)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, f{len(steps)} AS folded_root, f{len(steps)} = root AS verified FROM z{len(steps)}
+"""
+
+
+OP13_SQL = _merkle_sql(6)
