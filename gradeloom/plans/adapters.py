@@ -76,6 +76,15 @@ ANSWERS = (
     (r"bb-{n}=(b-1)(b+{n})", r"(b-1)(b+{n})", "literal_match"),
     (r"f(x)={n}x", r"{n}x", "literal_match"),
     (r"2a+{n}b", r"{n}b+2a", "symbolic_match"),
+    (r"\frac{a^2-{n}^2}{a-{n}}", r"a+{n}", "symbolic_match"),
+    (r"\sqrt{{n}}+\sqrt{{n}}", r"2\sqrt{{n}}", "symbolic_match"),
+    (r"\sqrt{{n}+1}", r"\sqrt{{n}+2}", "no_match"),
+    (r"y={n}x+1", r"0=2-2y+{n}x+{n}x", "symbolic_match"),
+    (r"2^{{n}+1}", r"(2^{{n}})(2)", "symbolic_match"),
+    (r"\sin^2(x+{n})+\cos^2(x+{n})", r"1", "symbolic_match"),
+    (r"{n}\times10^{1000000000000}", r"{n}\times10^{999999999999}", "no_match"),
+    (r"{n}", "{" * 600 + "{n}" + "}" * 600, "symbolic_match"),
+    ("{" * 5000 + "{n}" + "}" * 5000, r"{n}", "no_match"),
 )
 
 
