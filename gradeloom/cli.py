@@ -16,6 +16,7 @@ from gradeloom import runs
 from gradeloom.functions import exprs as X
 from gradeloom.operators import analyze, curate, curriculum, grade, judge, prepare, reports
 from gradeloom.sources import readers, writers
+from gradeloom.sources.one_file import write_one_file
 from gradeloom.streaming import checkpoints
 
 COMMANDS: dict[str, tuple[Callable, list[tuple[str, dict]]]] = {}
@@ -154,8 +155,7 @@ def metrics(spark: SparkSession, a: argparse.Namespace) -> None:
         rows = analyze.enriched(rows, readers.generations(readers.records(spark, a.generations)))
     _write(reports.metrics(rows), a.metrics_output)
     if a.incorrect_output:
-        with open(a.incorrect_output, "w", encoding="utf-8") as out:
-            out.writelines(f"{line}\n" for line in reports.incorrect_cases(rows))
+        write_one_file(reports.incorrect_cases(rows), a.incorrect_output, begin=reports.CASES, empty="\nNone.")
 
 
 def _write(text: str, path: str | None) -> None:

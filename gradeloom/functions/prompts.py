@@ -65,8 +65,9 @@ def with_thought(thought: Column, solution: Column) -> Column:
 
 
 def _strip(c: Column, left: bool = True, right: bool = True) -> Column:
-    pattern = "|".join(x for x, on in ((r"^\n+", left), (r"\n+$", right)) if on)
-    return F.regexp_replace(c, pattern, "")
+    """Without line ends at its sides."""
+    trim = F.btrim if left and right else F.ltrim if left else F.rtrim
+    return trim(c, F.lit("\n"))
 
 
 def split_reasoning(message: Column) -> tuple[Column, Column]:

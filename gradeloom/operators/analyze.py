@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.functions import exprs as X
 
+from .cursor import occurrence_join
 from .ranks import ranked
 
 OK = "_ok"
@@ -107,37 +106,6 @@ def case_numbers(df: DataFrame) -> DataFrame:
     return ranked(rows, "dataset", F.floor((F.col("_pos") - low) / width), [F.col("_pos")], "case_number")
 
 
-def occurrence_join(predictions: DataFrame, generations: DataFrame) -> DataFrame:
-    """The generation of each prediction by a cursor over its index: the next one of the same dataset, else the one at the cursor, else the last.
-
-    Where the index has just one generation or none, the cursor can't matter and an ordinary join does; only the other indexes go to Python, a group each.
-    The cursor finds the next place of a dataset by bisection, so that a group takes time in proportion to its rows.
-    """
-    p = predictions.select(X.key_text(F.col("index")).alias("_key"), F.col("_pos").alias("p_pos"), X.to_text(F.col("dataset")).alias("ds"))
-    g = generations.select(X.key_text(F.col("index")).alias("_key"), F.col("_pos").alias("g_pos"), X.to_text(F.col("dataset")).alias("ds"))
-    single = g.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.min("g_pos").alias("g_pos"))
-    easy = p.join(single.where("n = 1"), "_key").select("p_pos", "g_pos")  # one candidate: every rule ends at it
-    none = p.join(single, "_key", "left_anti").select("p_pos", F.lit(None).cast("long").alias("g_pos"))
-    many = single.where("n > 1").select("_key")
-
-    def follow(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("p_pos"), right.sort_values("g_pos")
-        where: dict[str, list[int]] = {}
-        for i, ds in enumerate(right["ds"].tolist()):
-            where.setdefault(ds, []).append(i)
-        at, last, out = 0, len(right) - 1, []
-        for want in left["ds"].tolist():
-            places = where.get(want, []) if want else []
-            i = bisect_left(places, at)
-            hit = places[i] if i < len(places) else at
-            out.append(min(hit, last))
-            at = hit + 1 if hit <= last else at
-        return pd.DataFrame({"p_pos": left["p_pos"].to_numpy(), "g_pos": right["g_pos"].to_numpy()[out]})
-
-    hard = p.join(many, "_key", "left_semi").groupBy("_key").cogroup(g.join(many, "_key", "left_semi").groupBy("_key")).applyInPandas(follow, "p_pos long, g_pos long")
-    return easy.unionByName(hard).unionByName(none)
-
-
 def enriched(predictions: DataFrame, generations: DataFrame) -> DataFrame:
     """Predictions with dataset, question and output filled from their generation (an empty text is a value), predict and ``_is_correct``."""
     links = occurrence_join(predictions, generations)

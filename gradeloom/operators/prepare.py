@@ -83,8 +83,9 @@ def sft_records(df: DataFrame) -> DataFrame:
     require_columns(df, "question", "solution")
     thought = X.clean_text(F.col("thought")) if "thought" in df.columns else F.lit("")
     index = X.clean_text(F.col("index")) if "index" in df.columns else F.lit(None).cast("string")
-    out = df.withColumns({"_q": X.clean_text(F.col("question")), "_s": X.clean_text(F.col("solution"))}).where("_q <> '' and _s <> ''")
-    return out.select(*[c for c in ("_pos",) if c in df.columns], F.col("_q").alias("instruction"), P.with_thought(thought, F.col("_s")).alias("output"), F.nullif(index, F.lit("")).alias("index"))
+    rows = df.select(*[c for c in ("_pos",) if c in df.columns], X.clean_text(F.col("question")).alias("_q"), X.clean_text(F.col("solution")).alias("_s"), thought.alias("_t"), index.alias("_i"))
+    out = rows.where((F.length("_q") > 0) & (F.length("_s") > 0))
+    return out.select(*[c for c in ("_pos",) if c in df.columns], F.col("_q").alias("instruction"), P.with_thought(F.col("_t"), F.col("_s")).alias("output"), F.nullif(F.col("_i"), F.lit("")).alias("index"))
 
 
 def skipped(df: DataFrame) -> DataFrame:

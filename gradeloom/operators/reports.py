@@ -81,19 +81,18 @@ def positive(predictions: DataFrame, generations: DataFrame, tokens: DataFrame,
     return "\n".join(lines) + "\n"
 
 
-def incorrect_cases(df: DataFrame) -> Iterator[str]:
-    """Every incorrect row in full, by dataset, streamed."""
-    fields = ("index", "label", "predict", "output_token_length", "finish_reason", "last_box_source", "think_type", "question", "model_output")
-    rows = df.withColumn("dataset", X.to_text(F.col("dataset"), "unknown"))
-    rows = analyze.case_numbers(rows).orderBy("dataset", "case_number")
-    yield "# Incorrect cases"
-    at = None
-    for r in rows.select("dataset", "case_number", *[X.to_text(F.col(c)).alias(c) if c in df.columns else F.lit("").alias(c) for c in fields]).toLocalIterator():
-        if r["dataset"] != at:
-            at = r["dataset"]
-            yield f"\n## {at}"
-        yield f"\n### {r['case_number']}: {r['index']}\n"
-        yield from (f"- {c}: {r[c]}" for c in fields[1:7])
-        yield from (f"\n{c}:\n```text\n{r[c]}\n```" for c in fields[7:])
-    if at is None:
-        yield "\nNone."
+CASES = "# Incorrect cases\n"
+
+
+def incorrect_cases(df: DataFrame) -> DataFrame:
+    """Every incorrect row in full as ``text``, in order: by dataset, a heading before its first. For :func:`gradeloom.sources.one_file.write_one_file`, which heads it with CASES."""
+    lines, blocks = ("label", "predict", "output_token_length", "finish_reason", "last_box_source", "think_type"), ("question", "model_output")
+    value = lambda c: X.to_text(F.col(c)) if c in df.columns else F.lit("")
+    rows = analyze.case_numbers(df.withColumn("dataset", X.to_text(F.col("dataset"), "unknown"))).orderBy("dataset", "case_number")
+    head = F.when(F.col("case_number") == 1, F.concat(F.lit("\n## "), F.col("dataset"), F.lit("\n"))).otherwise(F.lit(""))
+    parts = [head, F.lit("\n### "), F.col("case_number").cast("string"), F.lit(": "), value("index"), F.lit("\n")]
+    for c in lines:
+        parts += [F.lit(f"\n- {c}: "), value(c)]
+    for c in blocks:
+        parts += [F.lit(f"\n\n{c}:\n```text\n"), value(c), F.lit("\n```")]
+    return rows.select(F.concat(*parts).alias("text"))

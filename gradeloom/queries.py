@@ -126,11 +126,10 @@ def overlap_examples(spark, sf):
     return curate.overlap_examples(A.dataset(spark, sf), right)
 
 
-@query("""SELECT count(*) AS rows, CAST(0 AS BIGINT) AS low, count(*) - 1 AS high, count(*) AS positions FROM documents""")
+@query("""SELECT doc_id, row_number() OVER () - 1 AS position FROM documents""")
 def row_positions(spark, sf):
-    """Positions of the rows of a file, from 0 without gaps."""
-    rows = readers.positioned(spark.read.parquet(f"{sf}/documents.parquet"))
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.min("_pos").alias("low"), F.max("_pos").alias("high"), F.count_distinct("_pos").alias("positions"))
+    """Each row's position in its file."""
+    return readers.positioned(A.table(spark, sf, "documents", "doc_id")).select("doc_id", F.col("_pos").alias("position"))
 
 
 @query("""SELECT count(*) FILTER (WHERE l IS NOT NULL AND r IS NOT NULL) AS common, count(*) FILTER (WHERE r IS NULL) AS left_only, count(*) FILTER (WHERE l IS NULL) AS right_only,
@@ -244,7 +243,7 @@ def seeded_shuffle(spark, sf):
 @query("""SELECT s.idx AS "index", k.n AS pos, s.final_answer FROM s JOIN (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS n FROM labels) k ON s.pos = k.doc_id""", "s")
 def ordered_lookup(spark, sf):
     keys = A.table(spark, sf, "labels", "doc_id").withColumn("m", F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long"))
-    keys = writers.row_numbers(keys, "m").select(F.col("doc_id").cast("string").alias("index"), F.col("_n").alias("_pos"))
+    keys = writers.numbered(keys, ["m"]).select(F.col("doc_id").cast("string").alias("index"), F.col("_n").alias("_pos"))
     return prepare.in_key_order(A.dataset(spark, sf), keys).select("index", F.col("_pos").alias("pos"), "final_answer")
 
 
@@ -390,7 +389,7 @@ def occurrence_join(spark, sf):
 
 
 @query("""WITH RECURSIVE p AS (SELECT doc_id % 500 AS k, doc_id AS pos, coalesce(source, '') AS ds, row_number() OVER (PARTITION BY doc_id % 500 ORDER BY doc_id) AS n FROM documents),
-  g AS (SELECT k, list(ds ORDER BY pos * 3 % 100003) AS ds, list(pos * 3 % 100003 ORDER BY pos * 3 % 100003) AS pos FROM p GROUP BY k),
+  g AS (SELECT k, list(ds ORDER BY pos * 48271 % 2147483647) AS ds, list(pos * 48271 % 2147483647 ORDER BY pos * 48271 % 2147483647) AS pos FROM p GROUP BY k),
   f AS (SELECT k, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS p_pos, CAST(NULL AS BIGINT) AS g_pos, CAST(1 AS BIGINT) AS cur FROM g
     UNION ALL SELECT k, n, p_pos, pos[CAST(least(hit, len(pos)) AS BIGINT)], CASE WHEN hit <= len(pos) THEN hit + 1 ELSE cur END
     FROM (SELECT f.k, p.n, p.pos AS p_pos, g.pos, f.cur, f.cur + coalesce(nullif(list_position(list_slice(g.ds, f.cur, len(g.ds)), p.ds), 0) - 1, 0) AS hit FROM f JOIN p ON p.k = f.k AND p.n = f.n + 1 JOIN g ON g.k = f.k))
@@ -398,7 +397,7 @@ def occurrence_join(spark, sf):
 def occurrence_join_repeated(spark, sf):
     """Repeated keys: the cursor decides."""
     p = A.predictions(spark, sf).withColumn("index", (F.col("_pos") % 500).cast("string"))
-    g = p.select("index", "dataset", (F.col("_pos") * 3 % 100_003).alias("_pos"))
+    g = p.select("index", "dataset", (F.col("_pos") * 48_271 % 2_147_483_647).alias("_pos"))
     return analyze.occurrence_join(p, g)
 
 

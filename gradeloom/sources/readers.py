@@ -29,26 +29,48 @@ def parquet(spark: SparkSession, path: str, columns: Iterable[str] | None = None
     return require_columns(df, *columns).select(*columns) if columns else df
 
 
-def _scanned(df: DataFrame) -> DataFrame:
+def _places(df: DataFrame) -> DataFrame:
     """A file scan with its file, its place in the file, and an id that rises along each such part."""
     return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
 
 
+def _few_parts(df: DataFrame) -> bool:
+    """Whether a table of the parts of these files can be broadcast: by their number and, if they can be split, their size. Nothing is read."""
+    spark = df.sparkSession
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return len(df.inputFiles()) + size // split <= MOST_PARTS
+
+
 def _numbered(scan: DataFrame) -> DataFrame:
     """``_pos`` from 0 in the order of the file names and the rows within, of a scan that may have been filtered. Rows of a part are read one after
     another, so that their ids differ from their positions by one number for each part; rows are not shuffled."""
     parts = scan.groupBy("__file", "__block").agg(F.min("__id").alias("low"), (F.max("__id") - F.min("__id") + 1).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = parts.select("__file", "__block", (before - F.col("low")).alias("__shift"))
-    if shift.count() <= MOST_PARTS:  # a row for each 128 MB of input
+    if _few_parts(scan):
         shift = F.broadcast(shift)
     out = scan.join(shift, ["__file", "__block"]).withColumn("_pos", F.col("__id") + F.col("__shift"))
     return out.drop("__file", "__block", "__id", "__shift")
 
 
 def positioned(df: DataFrame) -> DataFrame:
-    """Adds ``_pos``, from 0, to a table just read from files: its rows' order, files by name."""
-    return _numbered(_scanned(df))
+    """Adds ``_pos``, from 0, to a table just read from files: its rows' order, files by name.
+
+    Parquet knows each row's place in its file, so that only the files' row counts are added up; these come from a scan without columns, which reads footers. The data are read once.
+    Other formats are read once for counts and once for rows.
+    """
+    files = df.inputFiles()
+    if not files or not all(f.endswith(".parquet") for f in files):
+        return _numbered(_places(df))
+    place = F.col("_metadata.row_index")
+    rows = df.select("*", F.col("_metadata.file_path").alias("__file"), place.alias("__row"))
+    counts = df.select(F.col("_metadata.file_path").alias("__file"), place.alias("__row")).groupBy("__file").agg((F.max("__row") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = counts.select("__file", before.alias("__shift"))
+    if len(files) <= MOST_PARTS:
+        shift = F.broadcast(shift)
+    return rows.join(shift, "__file").withColumn("_pos", F.col("__row") + F.col("__shift")).drop("__file", "__row", "__shift")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -175,10 +197,10 @@ def preference_triples(df: DataFrame, prompt: str = "prompt", chosen: str = "cho
 
 
 def selected_problems(df: DataFrame, idx: list | None = None, limit: int | None = None, column: str = "problem_idx") -> DataFrame:
-    """Rows by a list of numbers (an empty list selects none), else the first ``limit``."""
+    """Rows by a list of numbers (an empty list selects none), else the first ``limit`` by position, or by number where rows have none."""
     if idx is not None:
         return df.where(F.col(column).isin(idx)) if idx else df.limit(0)
-    return df if limit is None else df.limit(limit)
+    return df if limit is None else df.orderBy("_pos" if "_pos" in df.columns else column).limit(limit)
 
 
 def config(path: str) -> dict:

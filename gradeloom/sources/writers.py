@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from gradeloom.operators.ranks import numbered
+from gradeloom.sources.one_file import write_one_file
 
 
 def size_label(n: int) -> str:
@@ -26,36 +28,16 @@ def subset_name(path: str, n: int, seed: int, column: str | None = None, most: f
     return str(p.with_name(f"{p.stem}{bound}_sub{size_label(n)}_seed{seed}{p.suffix}"))
 
 
-def chunked(df: DataFrame, order: str, size: int) -> DataFrame:
-    """Adds part, parts, row_from and row_to (from 1) of each row's chunk in ``order``.
-
-    Row numbers come from counts of sorted ranges, so no task sees more than its range.
-    """
+def _in_chunks(df: DataFrame, order: str, size: int) -> DataFrame:
     if size <= 0:
         raise ValueError("chunk size must be positive")
-    numbered = row_numbers(df, order)
-    total = F.lit(df.count())
-    part = F.floor((F.col("_n") - 1) / size).cast("long") + 1
-    return numbered.withColumns({"part": part, "parts": F.ceil(total / size).cast("long"), "row_from": (part - 1) * size + 1, "row_to": F.least(part * size, total)})
+    part, total = F.expr(f"(_n - 1) div {size}") + 1, F.col("_of")
+    return numbered(df, [order]).withColumns({"part": part, "parts": F.ceil(total / size).cast("long"), "row_from": (part - 1) * size + 1, "row_to": F.least(part * size, total)})
 
 
-def row_numbers(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:
-    """Adds ``_n`` from 1 in ``order``, by ranges whose row counts are added up; ``order`` must be unique."""
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
-    cuts = sorted(set(cuts or []))
-    if not cuts:
-        return df.withColumn("_n", F.row_number().over(Window.orderBy(order)).cast("long"))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order)))
-    ranged = df.withColumn("_b", bucket)
-    counts = {r["_b"]: r["count"] for r in ranged.groupBy("_b").count().collect()}  # one row for each range
-    starts, at = [], 0
-    for b in range(len(cuts) + 1):
-        starts.append((b, at))
-        at += counts.get(b, 0)
-    offset = F.broadcast(spark.createDataFrame(starts, "_b int, _o long"))
-    return ranged.join(offset, "_b").withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy(order)) + F.col("_o")).drop("_b", "_o")
+def chunked(df: DataFrame, order: str, size: int) -> DataFrame:
+    """Adds ``_n``, part, parts, row_from and row_to (from 1) of each row's chunk in ``order``; ties fall in any order, but a row is in one chunk alone."""
+    return _in_chunks(df, order, size).drop("_of")
 
 
 def write_chunks(df: DataFrame, directory: str, stem: str, order: str = "_pos", size: int = 1000, clear: bool = True) -> list[str]:
@@ -69,15 +51,13 @@ def write_chunks(df: DataFrame, directory: str, stem: str, order: str = "_pos",
         for old in fs.get_file_info(pafs.FileSelector(top)):
             if pattern.fullmatch(old.base_name):
                 fs.delete_file(old.path)
-    rows = chunked(df, order, size)
+    rows = _in_chunks(df, order, size).withColumn("wide", F.length(F.col("_of").cast("string")))
     fields = [c for c in df.columns if not c.startswith("_")]
-    total = df.count()
-    parts, wide = -(-total // size), len(str(total))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_fs, out_top = pafs.FileSystem.from_uri(where)
 
-        def flush(part: int, first: int, held: list[dict]) -> pa.RecordBatch:
+        def flush(part: int, first: int, parts: int, wide: int, held: list[dict]) -> pa.RecordBatch:
             name = f"{stem}_part{part:0{max(2, len(str(parts)))}d}_of{parts:02d}_rows{first:0{wide}d}-{first + len(held) - 1:0{wide}d}.json"
             temporary = f"{out_top}/.{name}.{uuid.uuid4().hex}"
             with out_fs.open_output_stream(temporary) as out:
@@ -88,7 +68,7 @@ def write_chunks(df: DataFrame, directory: str, stem: str, order: str = "_pos",
         at, held = None, []
         for b in batches:
             for r in b.to_pylist():
-                here = r.pop("part"), r.pop("row_from")
+                here = r.pop("part"), r.pop("row_from"), r.pop("parts"), r.pop("wide")
                 if held and here != at:
                     yield flush(*at, held)
                     held = []
@@ -98,7 +78,7 @@ def write_chunks(df: DataFrame, directory: str, stem: str, order: str = "_pos",
         if held:
             yield flush(*at, held)
 
-    laid = rows.select("part", "row_from", "_n", *fields).repartition("part").sortWithinPartitions("part", "_n")
+    laid = rows.select("part", "row_from", "parts", "wide", "_n", *fields).repartition("part").sortWithinPartitions("part", "_n")
     names = laid.mapInArrow(write, "part long, name string").collect()  # a row for each file
     return [f"{directory}/{r['name']}" for r in sorted(names)]
 
@@ -140,13 +120,10 @@ def sft_json(instruction: Column, output: Column, index: Column) -> Column:
 
 
 def write_sft(df: DataFrame, path: str, order: str = "_pos") -> None:
-    """Training records as one pretty JSON array, streamed; an empty index is left out."""
-    rows = df.orderBy(order).select(sft_json(F.col("instruction"), F.col("output"), F.col("index"))).toLocalIterator(prefetchPartitions=True)
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("[")
-        for i, r in enumerate(rows):
-            out.write(("," if i else "") + "\n" + json.dumps(json.loads(r[0]), ensure_ascii=False, indent=2))
-        out.write("\n]\n")
+    """Training records as one pretty JSON array, written by tasks; an empty index is left out."""
+    record = F.struct(F.col("instruction"), F.col("output"), F.nullif(F.col("index").cast("string"), F.lit("")).alias("index"))
+    texts = df.orderBy(order).select(F.concat(F.lit("  "), F.replace(F.to_json(record, {"pretty": "true"}), F.lit("\n"), F.lit("\n  "))).alias("text"))
+    write_one_file(texts, path, begin="[\n", between=",\n", end="\n]\n")
 
 
 def batch_request(key: Column, body: Column, url: str = "/v1/responses") -> Column:

@@ -10,6 +10,7 @@ from gradeloom.functions import exprs as X
 from gradeloom.functions import prompts as P
 from gradeloom.operators import analyze, curate, grade, prepare, reports
 from gradeloom.sources import readers, writers
+from gradeloom.sources.one_file import write_one_file
 from gradeloom.streaming import checkpoints
 
 
@@ -116,9 +117,10 @@ def test_reports(spark):
     tokens = spark.createDataFrame([(str(i), 50.0) for i in range(50)], "index string, train_token double")
     text = reports.positive(graded, rows(spark).where("_pos <> 7"), tokens)
     assert "| >=2.0 |" in text and "lack a generation or a train token, such as 7, 51," in text
-    cases = list(reports.incorrect_cases(graded))
-    assert cases[0] == "# Incorrect cases" and sum("\n### " in c for c in cases) == graded.where("is_correct = 0").count()
-    assert list(reports.incorrect_cases(graded.limit(0))) == ["# Incorrect cases", "\nNone."]
+    cases = [r["text"] for r in reports.incorrect_cases(graded).collect()]
+    assert len(cases) == graded.where("is_correct = 0").count() and all("\n### " in c for c in cases)
+    assert [c.split("\n")[1] for c in cases if "\n## " in c] == ["## ds", "## unknown"] and cases[0].startswith("\n## ds\n\n### 1: ")
+    assert reports.incorrect_cases(graded.limit(0)).count() == 0
     full = analyze.enriched(graded.drop("model_output", "question"), rows(spark))
     assert full.where("_is_correct and model_output = '' or predict is null").count() == 0
 
@@ -151,6 +153,41 @@ def test_writers(spark, tmp_path):
     assert sorted({r["chunk"] for r in requests}) == [0, 1, 2] and json.loads(requests[0]["request"])["method"] == "POST"
 
 
+def test_one_file_of_many_tasks(spark, tmp_path):
+    path = tmp_path / "sub" / "all.txt"
+    texts = spark.range(1000).repartition(7).orderBy("id").select(F.concat(F.lit("é"), F.col("id").cast("string")).alias("text"))
+    for _ in range(2):
+        write_one_file(texts, str(path), begin="[", between=",", end="]")
+        assert path.read_text() == "[" + ",".join(f"é{i}" for i in range(1000)) + "]"
+    write_one_file(texts.limit(0), str(path), begin="[", end="]", empty="none")
+    assert path.read_text() == "[none]"
+    broken = spark.range(0, 1000, 1, 4).select(F.when(F.col("id") == 777, F.raise_error(F.lit("broken"))).otherwise(F.col("id").cast("string")).alias("text"))
+    with pytest.raises(Exception, match="broken"):
+        write_one_file(broken, str(path))
+    assert path.read_text() == "[none]" and [p.name for p in path.parent.iterdir()] == ["all.txt"]
+
+
+def test_positions_read_the_data_once(spark, tmp_path):
+    """Row groups, splits and filters don't move positions; the plan has one scan of the columns, the other reads none."""
+    spark.range(0, 30_000, 1, 3).withColumn("pad", F.md5(F.col("id").cast("string"))).write.option("parquet.block.size", 65536).parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        df = readers.positioned(spark.read.parquet(str(tmp_path / "t")))
+        assert df.rdd.getNumPartitions() > 3
+        assert df.where("_pos <> id").count() == 0 and df.where("id % 7 = 0").count() == 4286
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ReadSchema: struct<id:bigint,pad:string>") == 1 and plan.count("ReadSchema: struct<>") == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_chunks_of_ties(spark, tmp_path):
+    rows = spark.range(0, 95, 1, 4).withColumn("tie", F.lit(1)).withColumn("_x", F.lit(0))
+    names = writers.write_chunks(rows, str(tmp_path), "c", order="tie", size=10)
+    ids = [r["id"] for n in names for r in json.load(open(n))]
+    assert len(names) == 10 and sorted(ids) == list(range(95)) and names[-1].endswith("c_part10_of10_rows91-95.json")
+
+
 def test_command_lines(spark, tmp_path, capsys):
     at = lambda x: str(tmp_path / x)
     run = lambda *argv: cli.main(list(map(str, argv)), spark)
