@@ -175,8 +175,9 @@ def test_positions_read_the_data_once(spark, tmp_path):
         df = readers.positioned(spark.read.parquet(str(tmp_path / "t")))
         assert df.rdd.getNumPartitions() > 3
         assert df.where("_pos <> id").count() == 0 and df.where("id % 7 = 0").count() == 4286
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("ReadSchema: struct<id:bigint,pad:string>") == 1 and plan.count("ReadSchema: struct<>") == 1
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("ReadSchema: struct<id:bigint,pad:string,_tmp_metadata_row_index:bigint>") == 1
+        assert plan.count("ReadSchema: struct<_tmp_metadata_row_index:bigint>") == 1 and plan.count("ReadSchema") == 2
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
