@@ -491,8 +491,12 @@ def usage_totals(spark, sf):
     return checkpoints.usage_totals(e.select(X.usage(body).alias("u")).select("u.*"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN doc_id % 3 = 0 THEN 'status_code=500' END AS error, CASE WHEN doc_id % 3 <> 0 THEN lang END AS concise_hint,
-  CASE WHEN doc_id % 3 <> 0 THEN '["a","b"]' END AS detailed_method_hint FROM documents""")
+_HINT = r"""'{"concise_hint":" ' || lang || '","detailed_method_hint":"a\n\n b ","detailed_scaffold_hint":["x ",""]}'"""
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN doc_id % 3 = 0 THEN '{{"body":{{"output":[{{"content":[{{"text":' || CAST(to_json(CASE WHEN doc_id % 2 = 0 THEN '```json' || chr(10) || {_HINT} || chr(10) || '```' ELSE {_HINT} END) AS VARCHAR) || ',"type":"output_text"}}]}}]}},"status_code":500}}' END AS error,
+  CASE WHEN doc_id % 3 <> 0 THEN lang END AS concise_hint, CASE WHEN doc_id % 3 <> 0 THEN '["a","b"]' END AS detailed_method_hint FROM documents""")
 def batch_results(spark, sf):
     d = A.table(spark, sf, "documents", "doc_id", "lang")
     hint = F.to_json(F.struct(F.concat(F.lit(" "), "lang").alias("concise_hint"), F.lit("a\n\n b ").alias("detailed_method_hint"), F.array(F.lit("x "), F.lit("")).alias("detailed_scaffold_hint")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions import exprs as X
@@ -22,18 +22,18 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def parse_results(lines: DataFrame, *keep: str) -> DataFrame:
-    """Checkpoint rows of batch results (``_v`` variants): hints as JSON texts, or an error with its reason; ``keep`` are further columns to keep. Each value is
+    """Checkpoint rows of batch results (``_v`` variants): hints as JSON texts, or an error with its reason (of a status other than 200, the whole response); ``keep`` are further columns to keep. Each value is
     read from the variant once."""
     get = lambda c, p, t="string": F.try_variant_get(c, f"$.{p}", t)
-    rows = lines.select(*keep, get("_v", "custom_id").alias("index"), get("_v", "error", "variant").alias("_e"), get("_v", "response.status_code", "int").alias("_code"), get("_v", "response.body", "variant").alias("_body"))
+    rows = lines.select(*keep, get("_v", "custom_id").alias("index"), get("_v", "error", "variant").alias("_e"), get("_v", "response.status_code", "int").alias("_code"), get("_v", "response.body", "variant").alias("_body"), F.when(F.coalesce(get("_v", "response.status_code", "int"), F.lit(0)) != 200, F.coalesce(F.to_json(get("_v", "response", "variant")), F.lit("{}"))).alias("_r"))
     text = X.output_text(get("_body", "output_text"), get("_body", "output", X.OUTPUT_SCHEMA))
-    rows = rows.select(*keep, "index", "_e", "_code", X.usage(F.col("_body")).alias("usage"), X.unfenced(text).alias("_t"))
-    rows = rows.select(*keep, "index", "_e", "_code", "usage", F.try_parse_json("_t").alias("_h"))
+    rows = rows.select(*keep, "index", "_e", "_r", X.usage(F.col("_body")).alias("usage"), X.unfenced(text).alias("_t"))
+    rows = rows.select(*keep, "index", "_e", "_r", "usage", F.try_parse_json("_t").alias("_h"))
     items = lambda name: X.hint_items(F.coalesce(get("_h", name, "array<string>"), X.hint_lines(get("_h", name))))
-    out = rows.select(*keep, "index", "_e", "_code", "usage", F.col("_h").isNotNull().alias("_json"), X.clean_text(get("_h", "concise_hint")).alias("_c"), items("detailed_method_hint").alias("_m"), items("detailed_scaffold_hint").alias("_s"))
+    out = rows.select(*keep, "index", "_e", "_r", "usage", F.col("_h").isNotNull().alias("_json"), X.clean_text(get("_h", "concise_hint")).alias("_c"), items("detailed_method_hint").alias("_m"), items("detailed_scaffold_hint").alias("_s"))
     error = (
         F.when(F.col("_e").isNotNull() & ~F.is_variant_null("_e"), F.to_json("_e"))
-        .when(F.coalesce("_code", F.lit(0)) != 200, F.concat(F.lit("status_code="), F.coalesce(F.col("_code").cast("string"), F.lit("None"))))
+        .when(F.col("_r").isNotNull(), F.col("_r"))
         .when(~F.col("_json"), F.lit("Output is not JSON."))
         .when(F.col("_c") == "", F.lit("Missing concise_hint."))
         .when(F.coalesce(F.size("_m"), F.lit(0)) < 1, F.lit("Empty detailed_method_hint."))
@@ -64,17 +64,6 @@ def usage_totals(df: DataFrame) -> DataFrame:
     return out.withColumn("cache_ratio", F.when(F.col("input_tokens") > 0, F.col("cached_input_tokens") / F.col("input_tokens")).otherwise(F.lit(0.0)))
 
 
-def follow(spark: SparkSession, directory: str, table: str, checkpoint: str, files_per_trigger: int = 4):
-    """A query that appends the results landing in ``directory`` to a Parquet log; each micro-batch takes a bounded number of files, and a restart goes on
-    where the checkpoint ends. A batch that runs twice overwrites its own folder."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(directory).select(F.try_parse_json("value").alias("_v")).where("_v is not null")
-
-    def append(batch: DataFrame, number: int) -> None:
-        parse_results(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
-
-    return lines.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def verdict_fold(passes: Column, max_pass: int = 5, max_fail: int = 10, most: int = 30) -> Column:
     """State of a solve-and-verify loop after ordered verdicts: correct starts at 1, a pass adds one and clears errors, a fail
     clears correct and adds an error; it ends at max_pass, max_fail or ``most`` verdicts."""

@@ -7,7 +7,7 @@ from gradeloom.functions import exprs as X
 from gradeloom.functions import prompts as P
 from gradeloom.operators import analyze, curate, curriculum, grade, judge, prepare
 from gradeloom.sources import readers, writers
-from gradeloom.streaming import checkpoints
+from gradeloom.streaming import checkpoints, followed
 
 
 def one(df):
@@ -164,9 +164,9 @@ def test_stream_appends_and_restarts(spark, tmp_path):
         (tmp_path / "land" / name).write_text("".join(json.dumps({"custom_id": i, "response": {"status_code": 200, "body": body}}) + "\n" for i in ids) + "broken\n")
 
     put("1.jsonl", "a", "b")
-    checkpoints.follow(spark, land, table, marks).awaitTermination()
+    followed.follow(spark, land, table, marks).awaitTermination()
     put("2.jsonl", "c")
-    checkpoints.follow(spark, land, table, marks).awaitTermination()
+    followed.follow(spark, land, table, marks).awaitTermination()
     log = spark.read.parquet(table)
     assert sorted(r["index"] for r in log.collect()) == ["a", "b", "c"]
     assert checkpoints.latest(log.withColumn("_pos", F.lit(1))).count() == 3
