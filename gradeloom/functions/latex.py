@@ -26,9 +26,9 @@ _JOINS = TEXTS | ANGLES | {"^", "_", r"\begin", r"\end"}
 
 
 def remembered(f: Callable[[str], T]) -> Callable[[str], T]:
-    """``f`` with its results for short texts kept."""
-    kept = lru_cache(maxsize=20_000)(f)
-    return lambda text: kept(text) if len(text) <= REMEMBERED else f(text)
+    """``f`` with its results for short texts kept, and those for the last few longer ones, which one answer asks for several times."""
+    short, long = lru_cache(maxsize=20_000)(f), lru_cache(maxsize=16)(f)
+    return lambda text: short(text) if len(text) <= REMEMBERED else long(text) if len(text) <= 64 * REMEMBERED else f(text)
 
 
 class Pieces(NamedTuple):

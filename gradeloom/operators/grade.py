@@ -1,47 +1,38 @@
-"""Grading of outputs. One Arrow call per row that has a box; all other rows are graded natively."""
+"""Grading of outputs. Boxes and thoughts are found natively; the matcher sees a row's label and box alone."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from gradeloom.functions import boxes as B
 from gradeloom.functions import exprs as X
 from gradeloom.functions import matcher as M
 
-FIELDS = "is_correct int, reason string, extracted_answer string, last_box_source string, think_type string"
-
 
-def _graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("is_correct", "reason", "extracted_answer", "last_box_source", "think_type")
-    for b in batches:
-        labels, outputs = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("label", "model_output"))
-        rows = []
-        for label, output in zip(labels, outputs, strict=True):
-            m, text = M.match_answer(label, output), M.text_of(output)
-            rows.append((int(m.matched), m.reason, m.extracted, M.box_source(text), M.think_type(text)))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        new = [pa.array(cols[0], pa.int32()), *(pa.array(c, pa.string()) for c in cols[1:])]
-        yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
+@F.pandas_udf(StringType())
+def _reason(label: pd.Series, box: pd.Series) -> pd.Series:
+    return pd.Series([None if b is None else M.match_box(a, b) for a, b in zip(label, box, strict=True)], dtype=object)
 
 
 def grade(df: DataFrame) -> DataFrame:
     """Adds is_correct, reason, extracted_answer, last_box_source and think_type to rows with label and model_output.
 
-    An output that never opens a box can't be extracted; it goes past Python unless it closes a thought that must be measured.
+    An output without a balanced box can't be extracted. Each of the columns costs nothing where it isn't asked for; only is_correct and reason need the matcher.
     """
     text = X.to_text(F.col("model_output"))
-    base = df.withColumn("label", X.to_text(F.col("label")))
-    boxed = text.contains(M.BOX)
-    kind = F.when(text.contains("</think>"), F.lit("closed")).when(text.contains("<think>"), F.lit("unclosed_think")).otherwise(F.lit("missing_think"))
-    thought = F.element_at(F.split(F.substring_index(text, "</think>", 1), "<think>"), -1)
-    length = F.length(X.clean_text(F.regexp_replace(thought, "[ \t\r\n]+", " ")))
-    kind = F.when(kind == "closed", F.when(length < M.SHORT_THOUGHT, F.lit("short_think")).otherwise(F.lit("reasoning_think"))).otherwise(kind)
-    plain = base.where(~boxed).withColumns({"is_correct": F.lit(0), "reason": F.lit("can_not_extract"), "extracted_answer": X.clean_text(F.col("model_output")), "last_box_source": F.lit("none"), "think_type": kind})
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    return base.where(boxed).mapInArrow(_graded, f"{fields}, {FIELDS}").unionByName(plain)
+    rows = df.withColumn("label", X.to_text(F.col("label"))).withColumn("__box", B.last_box(text))
+    box = F.col("__box.content")
+    # the optimizer would put the folds into the call's arguments, where a Python function can't have them; it leaves a column alone that depends on a row's number
+    rows = rows.withColumn("__content", F.when(F.monotonically_increasing_id() >= 0, box))
+    rows = rows.withColumn("reason", F.coalesce(_reason(F.col("label"), F.col("__content")), F.lit("can_not_extract")))
+    added = {
+        "is_correct": (~F.col("reason").isin("no_match", "can_not_extract")).cast("int"), "reason": F.col("reason"), "extracted_answer": F.when(F.col("__box").isNull(), X.clean_text(text)).otherwise(box),
+        "last_box_source": B.box_source(text, F.col("__box.start")), "think_type": B.think_type(text),
+    }
+    return rows.select(*[F.col(c) for c in df.columns if c not in added], *[v.alias(k) for k, v in added.items()])
 
 
 PREDICTION = ("run_id", "dataset", "index", "question", "model_output", "label", "extracted_answer", "is_correct", "reason", "output_token_length", "finish_reason", "last_box_source", "think_type")

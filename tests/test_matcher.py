@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 from gradeloom.functions import latex as L
 from gradeloom.functions import matcher as M
 from gradeloom.functions import symbolic as S
+from gradeloom.operators import grade
 
 GOLDEN = [
     ("5", r"\boxed{5}", True, "literal_match", "5"),
@@ -135,12 +137,13 @@ def test_the_same_is_the_same_at_any_length():
             assert M.match_answer(text, rf"\boxed{{{text}}}").reason == "literal_match"
 
 
-def test_remembered_texts_are_short():
+def test_remembered_texts_are_bounded():
     seen = []
     f = L.remembered(lambda t: seen.append(t) or len(t))
-    for text in ("a", "a", "b" * L.REMEMBERED, "b" * L.REMEMBERED, "c" * (L.REMEMBERED + 1), "c" * (L.REMEMBERED + 1)):
+    huge = 64 * L.REMEMBERED + 1
+    for text in ("a", "a", "b" * L.REMEMBERED, "b" * L.REMEMBERED, "c" * huge, "c" * huge, *(str(i) * L.REMEMBERED for i in range(10, 40)), "10" * L.REMEMBERED):
         assert f(text) == len(text)
-    assert len(seen) == 4
+    assert len(seen) == 35
 
 
 LONG = "a" * 60
@@ -166,3 +169,21 @@ def test_nested_box_leaves_a_brace():
 def test_reflexive(text):
     if M.candidates(text):
         assert M.match_answer(text, rf"\boxed{{{text}}}").matched
+
+
+def test_native_boxes_equal_the_matcher(spark):
+    """Boxes, their places and thoughts as columns, on random texts of braces, boxes and tags, among them nested and open ones."""
+    rnd = random.Random(7)
+    bits = [M.BOX, M.BOX, "{", "}", "}", "a", " ", "\n\t", "words of some length ", "<think>", "</think>", "\\boxed", "é", "\x1c", "\u3000"]
+    texts = [None, "", r"a\boxed{\boxed{3}}b", M.BOX * 300 + "x" + "}" * 300, "{" * 2000 + M.BOX + "}" * 2000] + ["".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 45))) for _ in range(4000)]
+    texts += ["<think>" + "".join(rnd.choice(bits[:9]) for _ in range(40)) + "</think>" + M.BOX + "1}" for _ in range(2000)]
+    df = spark.createDataFrame([(i, "1", t) for i, t in enumerate(texts)], "i int, label string, model_output string")
+    out = grade.grade(df)
+    for r in out.collect():
+        text = M.text_of(texts[r["i"]])
+        m = M.match_answer("1", text)
+        assert (r["is_correct"], r["reason"], r["extracted_answer"], r["last_box_source"], r["think_type"]) == (int(m.matched), m.reason, m.extracted, M.box_source(text), M.think_type(text)), text
+    for column in ("think_type", "last_box_source", "extracted_answer"):
+        plan = out.groupBy(column).count()._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "ArrowEval" not in plan
+    assert "ArrowEvalPython" in out.groupBy("reason").count()._jdf.queryExecution().executedPlan().toString()
