@@ -40,6 +40,8 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 GONE = frozenset("head script style noscript template iframe nav footer aside form button select textarea input object embed svg canvas dialog title noembed noframes menu".split())
+#: What no reader sees, whether or not it recurs.
+UNSEEN = frozenset("head script style noscript template title iframe object embed noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 #: What may be a template; paragraphs, headings and the like never are by themselves.
 CONTAINERS = frozenset("address article aside center details dialog div dl fieldset figure footer form header hgroup menu nav ol section table ul".split())
@@ -257,13 +259,13 @@ def template_candidates(text: str | None) -> set[tuple[int, int]]:
     return {(d, (upto[-1] - upto[page.ends[i]] + upto[i]) & 0xFFFFFFFFFFFFFFFF) for i, (d, t) in enumerate(zip(ds, page.tags, strict=True)) if d and t in CONTAINERS}
 
 
-def _blocks(page: Page, ds: list[int], cut: frozenset | set, own: set[int]) -> tuple[list[str], int]:
-    """Blocks of what is left, and how many subtrees went as templates."""
+def _blocks(page: Page, ds: list[int], cut: frozenset | set, own: set[int]) -> tuple[list[str], int, int]:
+    """Blocks of what is left, how many subtrees went as templates, and how many parts with text the rules took from what templates had left."""
     tags, attrs, ends = page.tags, page.attrs, page.ends
     blocks: list[str] = []
     line: list[str] = []
     closing: list[int] = []  # where the open blocks end
-    i, n, inside_to, gone = 1, len(tags), 0, 0
+    i, n, inside_to, gone, ruled = 1, len(tags), 0, 0, 0
 
     def end() -> None:
         if t := " ".join("".join(line).split()):
@@ -276,11 +278,13 @@ def _blocks(page: Page, ds: list[int], cut: frozenset | set, own: set[int]) -> t
             end()
         if i >= n:
             end()
-            return blocks, gone
+            return blocks, gone, ruled
         tag, inside = tags[i], i < inside_to
         if not tag:
             if inside or not own:
                 line.append(html.unescape(attrs[i]))
+            elif not attrs[i].isspace():
+                ruled += 1
         elif tag == "br":
             line.append(" ")
         elif i in own:
@@ -292,6 +296,7 @@ def _blocks(page: Page, ds: list[int], cut: frozenset | set, own: set[int]) -> t
             i = ends[i]
             continue
         elif unwanted(tag, attrs[i], inside):
+            ruled += bool(ds and ds[i] and tag not in UNSEEN)
             i = ends[i]
             continue
         elif tag in BLOCK:
@@ -300,17 +305,18 @@ def _blocks(page: Page, ds: list[int], cut: frozenset | set, own: set[int]) -> t
         i += 1
 
 
-def extracted(text: str | None, templates: set[int] | frozenset = frozenset()) -> tuple[str, int]:
-    """The text of a page (blocks in page order, joined by blank lines; white space in a block is one space), and the number of subtrees that
-    went as templates. A page of which templates leave nothing keeps what it says."""
+def extracted(text: str | None, templates: set[int] | frozenset = frozenset()) -> tuple[str, int, str]:
+    """The text of a page (blocks in page order, joined by blank lines; white space in a block is one space), the number of subtrees that went as templates, and what
+    decided: ``templates`` where these were all that had to go, so that the text is what they leave of the page, with no use of the article mark, tags or classes; ``both`` where
+    rules took more; ``rules`` where no template went. A page of which templates leave nothing keeps what it says."""
     if not text:
-        return "", 0
+        return "", 0, "rules"
     page = Page(text)
     ds, own = digests(page) if templates else [], set(articles(page))
-    blocks, gone = _blocks(page, ds, templates, own)
+    blocks, gone, ruled = _blocks(page, ds, templates, own)
     if gone and not blocks:
-        blocks, gone = _blocks(page, ds, frozenset(), own)
-    return "\n\n".join(blocks), gone
+        blocks, gone, ruled = _blocks(page, ds, frozenset(), own)
+    return "\n\n".join(blocks), gone, "rules" if not gone else "both" if ruled else "templates"
 
 
 def main_text(text: str | None, templates: set[int] | frozenset = frozenset()) -> str:
@@ -318,7 +324,7 @@ def main_text(text: str | None, templates: set[int] | frozenset = frozenset()) -
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars and n_templates (subtrees deleted as templates) of each row. A null or empty page has an empty text; a null url is
+    """page_id, url, text, n_chars, n_templates (subtrees deleted as templates) and decided (see :func:`extracted`) of each row. A null or empty page has an empty text; a null url is
     a host of its own; rows that repeat count once for templates; an empty table gives no rows; other columns are ignored.
 
     Subtrees are counted per host with partial sums. Templates meet the subtrees by host and hash, and what a page has of them
@@ -349,9 +355,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, urls, hosts, raw, ds in C.rows_of(batches, "k", "u", "host", "t", "ds"):
             out = [extracted(t, frozenset(keyed(x, v & 0xFFFFFFFFFFFFFFFF) for v in d or ())) for x, t, d in zip(hosts, raw, ds, strict=True)]
-            yield C.batch(page_id=pa.array(keys, pa.int64()), url=pa.array(urls, pa.string()), text=pa.array([t for t, _ in out], pa.string()), n_chars=pa.array([len(t) for t, _ in out], pa.int64()), n_templates=pa.array([n for _, n in out], pa.int64()))
+            yield C.batch(page_id=pa.array(keys, pa.int64()), url=pa.array(urls, pa.string()), text=pa.array([x[0] for x in out], pa.string()), n_chars=pa.array([len(x[0]) for x in out], pa.int64()), n_templates=pa.array([x[1] for x in out], pa.int64()), decided=pa.array([x[2] for x in out], pa.string()))
 
-    return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long, n_templates long")
+    return joined.mapInArrow(texts, "page_id long, url string, text string, n_chars long, n_templates long, decided string")
 
 
 def op8_html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

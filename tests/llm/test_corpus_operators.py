@@ -656,6 +656,14 @@ def test_site_templates(spark):
     assert out[3] == "story 3 text" and out[99] == "Hot offers all day"
 
 
+def test_pages_say_what_decided(spark):
+    nav, foot = "<nav><ul><li>Menu</li></ul></nav>", "<footer>End</footer>"
+    page = lambda i, more="": f"<html><head><title>T {i}</title><style>p{{}}</style></head><body>{nav}{more}<article><p>Story {i}.</p></article>{foot}</body></html>"
+    rows = [(i, f"http://h.example/{i}", page(i, f"<aside>own {i}</aside>" if i > 7 else "")) for i in range(10)] + [(50, "http://small.example/", page(50)), (51, "http://small.example/2", None)]
+    out = {r["page_id"]: (r["text"], r["decided"], r["n_templates"]) for r in html_pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: ("" if i == 51 else f"Story {i}.", "templates" if i < 8 else "both" if i < 10 else "rules", 2 if i < 10 else 0) for i in (*range(10), 50, 51)}
+
+
 def test_templates_within_articles(spark):
     box = "<div><p>More from us</p><ul><li>All stories</li></ul></div>"
     rows = [(i, f"http://h.example/{i}", f"<body><article><h1>Story</h1><p>Same words.</p><p>Text {i}.</p>{box}</article></body>") for i in range(20)]
