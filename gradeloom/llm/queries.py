@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import common as C
 from .fingerprints import op7_fingerprints
 from .html_pages import op8_html_pages
 from .lm_scoring import op4_lm_scoring
@@ -14,7 +15,7 @@ from .mixing import op1_mixing
 from .near_join import op5_near_join
 from .packing import op6_packing
 from .private_data import op11_private_data
-from .quality import op9_quality
+from .quality import base_rules, op9_quality
 from .spelling import op12_spelling
 from .substrings import op10_substrings
 from .token_counts import op3_token_counts
@@ -24,8 +25,8 @@ OPERATORS = (op1_mixing, op2_token_files, op3_token_counts, op4_lm_scoring, op5_
 
 
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns of op9 that SQL can express."""
-    return op9_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    """The base rules alone, which SQL can express."""
+    return base_rules(C.documents(spark, sf_dir))
 
 
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
