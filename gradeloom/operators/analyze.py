@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import exprs as X
 
 from .cursor import occurrence_join
-from .ranks import ranked
+from .ranks import numbered, ranked
 
 OK = "_ok"
 
@@ -26,12 +26,36 @@ def counter(df: DataFrame, column: str, order: str = "_pos") -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first_pos")).cast("long"))
 
 
-def quantiles(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """Exact quartiles by linear interpolation, and mean, of the values that are numbers."""
-    v = X.numeric_value(F.col(column))
-    p = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    aggs = [F.count(v).alias("n"), p[0].alias("q1"), p[1].alias("q2"), p[2].alias("q3"), F.avg(v).alias("mean")]
-    return (df.groupBy(*by) if by else df.groupBy()).agg(*aggs)
+#: Values of a group up to which one task finds its quartiles.
+WHOLE = 1_000_000
+
+
+def quantiles(df: DataFrame, column: str, by: list[str] | None = None, whole: int = WHOLE) -> DataFrame:
+    """Exact quartiles by linear interpolation, and mean, of the values that are numbers (NaN is the greatest).
+
+    A task finds the quartiles of groups of up to ``whole`` values. Beyond that values are numbered along their groups by a distributed sort, and only
+    those next to a quartile are looked at, so that no task holds a group; the results are the same.
+    """
+    by = by or []
+    rows = df.select(*by, X.numeric_value(F.col(column)).alias("__v"))
+    sums = [F.count("__v").alias("n"), F.avg("__v").alias("mean")]
+    if (rows.groupBy(*by).agg(sums[0]).agg(F.max("n")).first()[0] or 0) <= whole:
+        p = F.percentile("__v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        return rows.groupBy(*by).agg(sums[0], p[0].alias("q1"), p[1].alias("q2"), p[2].alias("q3"), sums[1])
+    placed = numbered(rows.where("__v is not null"), ["__v"], by, "__n", "__of")
+    aggs = []
+    for k, share in enumerate((0.25, 0.5, 0.75), 1):
+        at, place = (F.col("__of") - 1) * share, F.col("__n") - 1
+        aggs += [F.max(F.when(place == F.floor(at), F.col("__v"))).alias(f"low{k}"), F.max(F.when(place == F.ceil(at), F.col("__v"))).alias(f"high{k}"), F.max(at - F.floor(at)).alias(f"part{k}")]
+    found = placed.groupBy(*[F.col(c).alias(f"__g{k}") for k, c in enumerate(by)]).agg(*aggs)
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"__g{k}"))
+    quartiles = []
+    for k in (1, 2, 3):
+        low, high, part = F.col(f"low{k}"), F.col(f"high{k}"), F.col(f"part{k}")
+        quartiles.append(F.when(low == high, low).otherwise(low * (1 - part) + high * part).alias(f"q{k}"))
+    return rows.groupBy(*by).agg(*sums).join(found, same, "left").select(*by, "n", *quartiles, "mean")
 
 
 def breakdown(df: DataFrame) -> DataFrame:
