@@ -12,6 +12,7 @@ from gradeloom.functions import prompts as P
 from gradeloom.operators import analyze, curate, curriculum, grade, judge, prepare
 from gradeloom.plans import adapters as A
 from gradeloom.sources import readers, writers
+from gradeloom.sources.saved import shared_folder
 from gradeloom.streaming import checkpoints
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,9 +243,12 @@ def seeded_shuffle(spark, sf):
 
 @query("""SELECT s.idx AS "index", k.n AS pos, s.final_answer FROM s JOIN (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS n FROM labels) k ON s.pos = k.doc_id""", "s")
 def ordered_lookup(spark, sf):
-    keys = A.table(spark, sf, "labels", "doc_id").withColumn("m", F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long"))
-    keys = writers.numbered(keys, ["m"]).select(F.col("doc_id").cast("string").alias("index"), F.col("_n").alias("_pos"))
-    return prepare.in_key_order(A.dataset(spark, sf), keys).select("index", F.col("_pos").alias("pos"), "final_answer")
+    """Keys written to a file in an order, read in that order, and looked up."""
+    keys = A.table(spark, sf, "labels", "doc_id").select(F.col("doc_id").alias("index"), F.md5(F.col("doc_id").cast("string")).alias("_pos"))
+    path = shared_folder(spark)
+    writers.write_keys(keys, path)
+    found = prepare.in_key_order(A.dataset(spark, sf), readers.ordered_keys(spark, path))
+    return found.select("index", (F.col("_pos") + 1).alias("pos"), "final_answer")
 
 
 @query("""SELECT idx AS "index" FROM s WHERE pos NOT IN (SELECT doc_id FROM labels WHERE quality = 1)""", "s")
@@ -253,6 +257,20 @@ def pending(spark, sf):
     return prepare.pending(A.dataset(spark, sf), done).select("index")
 
 
+@query("""SELECT idx AS "index" FROM s WHERE pos NOT IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY pos LIMIT 100""", "s")
+def pending_first(spark, sf):
+    """The first hundred rows that aren't done."""
+    done = A.table(spark, sf, "labels", "doc_id", "quality").where("quality = 1").select(F.col("doc_id").alias("index"))
+    return prepare.pending(A.dataset(spark, sf), done, 100).select("index")
+
+
+@query("""SELECT event_id AS problem_idx, event_type FROM events ORDER BY event_id LIMIT 50""")
+def first_problems(spark, sf):
+    """The first fifty problems of a set, by number."""
+    e = A.table(spark, sf, "events", "event_id", "event_type").withColumnRenamed("event_id", "problem_idx")
+    return readers.selected_problems(e, limit=50)
+
+
 @query("""SELECT s.source AS dataset, s.idx AS "index", s.final_answer AS label, s.question FROM s JOIN p ON s.pos = p.pos WHERE p.finish_reason = 'length'""", "sp")
 def retry_semi(spark, sf):
     _, cut = prepare.split_by_length(A.predictions(spark, sf))

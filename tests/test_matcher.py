@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import pytest
@@ -149,19 +150,51 @@ def test_remembered_texts_are_bounded():
 LONG = "a" * 60
 
 
-@pytest.mark.parametrize(
-    "output, think, source",
-    [
-        (r"answer \boxed{1}", "missing_think", "solution"), (r"<think>abc \boxed{1}", "unclosed_think", "thought"), (r"\boxed{1} <think>abc", "unclosed_think", "solution"),
-        (r"<think>short</think>\boxed{1}", "short_think", "solution"), (rf"<think>{LONG} \boxed{{1}}</think> done", "reasoning_think", "thought"), ("", "missing_think", "none"),
-    ],
-)
-def test_classifiers(output, think, source):
-    assert (M.think_type(output), M.box_source(output)) == (think, source)
+def plain_boxes(text):
+    """(start, end) of every balanced box, by counting braces from each opening."""
+    out = []
+    for m in re.finditer(re.escape(M.BOX), text):
+        depth = 1
+        for i in range(m.end(), len(text)):
+            depth += {"{": 1, "}": -1}.get(text[i], 0)
+            if not depth:
+                out.append((m.start(), i + 1))
+                break
+    return out
+
+
+def plain_think(text):
+    if "</think>" not in text:
+        return "unclosed_think" if "<think>" in text else "missing_think"
+    thought = text[: text.index("</think>")].split("<think>")[-1]
+    kept, at = "", 0
+    for start, end in plain_boxes(thought):
+        kept, at = kept + thought[at:start], end
+    kept = re.sub(r"[ \t\r\n]+", " ", kept + thought[at:]).strip()
+    return "reasoning_think" if len(kept) >= 50 else "short_think"
+
+
+def plain_source(text):
+    found = plain_boxes(text)
+    if not found:
+        return "none"
+    before = text[: found[-1][0]]
+    if "</think>" in text:
+        return "solution" if "</think>" in before else "thought"
+    return "thought" if "<think>" in before and "<think>" not in text[found[-1][0] :] else "solution"
+
+
+CLASSES = [
+    (r"answer \boxed{1}", "missing_think", "solution"), (r"<think>abc \boxed{1}", "unclosed_think", "thought"), (r"\boxed{1} <think>abc", "unclosed_think", "solution"), (r"<think>short</think>\boxed{1}", "short_think", "solution"),
+    (rf"<think>{LONG} \boxed{{1}}</think> done", "reasoning_think", "thought"), ("", "missing_think", "none"), (rf"<think>{LONG[:48]}\boxed{{\boxed{{3}}}}b</think>", "reasoning_think", "thought"), (rf"<think>{LONG[:47]}\boxed{{\boxed{{3}}}}b</think>", "short_think", "thought"),
+]
 
 
-def test_nested_box_leaves_a_brace():
-    assert M.without_boxes(r"a\boxed{\boxed{3}}b") == "a}b"
+def test_classifiers(spark):
+    """A nested box leaves a brace, which counts."""
+    out = grade.grade(spark.createDataFrame([("1", text) for text, _, _ in CLASSES], "label string, model_output string")).collect()
+    assert [(r["model_output"], r["think_type"], r["last_box_source"]) for r in out] == CLASSES
+    assert [(t, plain_think(t), plain_source(t)) for t, _, _ in CLASSES] == CLASSES
 
 
 @given(st.text(alphabet="0123456789xyz+-.,()^ ", max_size=12))
@@ -175,14 +208,14 @@ def test_native_boxes_equal_the_matcher(spark):
     """Boxes, their places and thoughts as columns, on random texts of braces, boxes and tags, among them nested and open ones."""
     rnd = random.Random(7)
     bits = [M.BOX, M.BOX, "{", "}", "}", "a", " ", "\n\t", "words of some length ", "<think>", "</think>", "\\boxed", "é", "\x1c", "\u3000"]
-    texts = [None, "", r"a\boxed{\boxed{3}}b", M.BOX * 300 + "x" + "}" * 300, "{" * 2000 + M.BOX + "}" * 2000] + ["".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 45))) for _ in range(4000)]
+    texts = [None, "", r"a\boxed{\boxed{3}}b", M.BOX * 100 + "x" + "}" * 100, "{" * 500 + M.BOX + "}" * 500] + ["".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 45))) for _ in range(4000)]
     texts += ["<think>" + "".join(rnd.choice(bits[:9]) for _ in range(40)) + "</think>" + M.BOX + "1}" for _ in range(2000)]
     df = spark.createDataFrame([(i, "1", t) for i, t in enumerate(texts)], "i int, label string, model_output string")
     out = grade.grade(df)
     for r in out.collect():
         text = M.text_of(texts[r["i"]])
         m = M.match_answer("1", text)
-        assert (r["is_correct"], r["reason"], r["extracted_answer"], r["last_box_source"], r["think_type"]) == (int(m.matched), m.reason, m.extracted, M.box_source(text), M.think_type(text)), text
+        assert (r["is_correct"], r["reason"], r["extracted_answer"], r["last_box_source"], r["think_type"]) == (int(m.matched), m.reason, m.extracted, plain_source(text), plain_think(text)), text
     for column in ("think_type", "last_box_source", "extracted_answer"):
         plan = out.groupBy(column).count()._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "ArrowEval" not in plan
