@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A row's next is the one before it by id, and the first row's that with the greatest. Null ids
     come last; a null text is empty; rows that share an id follow each other by the md5 of their text; a single row is its own next; an
-    empty table gives no rows. Fingerprints are hexadecimal, and empty for a text without words.
+    empty table gives no rows; other columns are ignored. Fingerprints are hexadecimal, and empty for a text without words.
 
     One shuffle: each text, compressed, goes to the partition of its range of ids, and the first row of every
     range also to the range before, whose last row it follows. Ranges hold about PART_TEXT_BYTES (more beyond 65,536 ranges), also if a third of all

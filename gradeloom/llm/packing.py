@@ -67,7 +67,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 1, window: int =
     Columns: doc_id, start (ids of the row before the piece), length, ids_crc32, doc_tokens, sequence_id, offset,
     source. ``shares`` are target proportions by source (default: by the ids that a source has, so that
     all queues end together); a source without one shares what is left by its ids; one with a share of 0 comes after all that have one. A null text is empty
-    and has its end id alone, a null source is a queue of its own, rows that repeat are packed each, an
+    and has its end id alone, a null source is a queue of its own, ids may be null, rows that repeat are packed each, an
     empty table gives no rows, other columns are ignored. Windows are numbered from 0 and full but for the last.
     ``cached`` bounds what a worker remembers of the tokenizer's results, and without ``keep`` it forgets them at the end of each task; both trade memory for time and change no row.
 

@@ -109,7 +109,10 @@ _counters: dict[str, PieceCounter] = {}
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of each row; a null text is empty and has no tokens. One narrow stage: no shuffle, each text on its own."""
+    """doc_id, n_bytes, n_tokens, over_limit of each row; a null text is empty and has no tokens. One narrow stage: no shuffle, each text on its own, whole.
+
+    Ids may be null or repeat: rows are counted each. An empty table gives no rows; other columns are ignored, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model not in _counters:
