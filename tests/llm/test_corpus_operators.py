@@ -407,11 +407,14 @@ def test_lm_score(docs, monkeypatch):
         assert abs(got[i] - plain) < 1e-3 * max(1, abs(plain) / 10), i
 
 
-def test_lm_learns_more_than_counts(spark):
+@pytest.mark.parametrize(("shard", "gain"), [(lm_scoring.SHARD, 0.2), (100_000, 0.1)])
+def test_lm_learns_more_than_counts(spark, monkeypatch, shard, gain):
+    """In one task, and in four whose models are averaged."""
+    monkeypatch.setattr(lm_scoring, "SHARD", shard)
     docs = C.documents(spark, "/root/testdata/sf0.01")
     per = lambda e: lm_scoring.lm_score(docs, epochs=e).where("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
     (untrained, base), (trained, _) = per(0), per(2)
-    assert base < untrained and trained > untrained + 0.2
+    assert base < untrained and trained > untrained + gain
 
 
 def test_outcomes_hold_every_word_once():
