@@ -86,13 +86,15 @@ def test_curriculum_is_a_partition(spark):
 
 
 def test_grading_paths_agree(spark):
+    from test_matcher import plain_source, plain_think
+
     from gradeloom.functions import matcher as M
 
     texts = ["no box", "<think>" + "word " * 30 + "</think> none", "<think>a</think>", r"<think>x \boxed{4}", None, r"\boxed{4}", "a</think><think>b</think>"]
     df = spark.createDataFrame([(i, "4", t) for i, t in enumerate(texts)], "id int, label string, model_output string")
     for r in grade.grade(df).collect():
         t = texts[r["id"]] or ""
-        assert (r["think_type"], r["last_box_source"], bool(r["is_correct"])) == (M.think_type(t), M.box_source(t), M.match_answer("4", t).matched), t
+        assert (r["think_type"], r["last_box_source"], bool(r["is_correct"])) == (plain_think(t), plain_source(t), M.match_answer("4", t).matched), t
 
 
 def test_judgement(spark):
