@@ -832,6 +832,27 @@ def test_small_languages_have_words_of_their_own(spark):
     assert all(r["low"] is not None for r in quality.quality(df, vocabulary=50).collect())
 
 
+def test_languages_beyond_the_largest_share_a_model(spark):
+    rnd, names = np.random.default_rng(11), ["aa", "bb", "cc", None, "dd", "ee"]
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rnd.choice(words, 30 + i % 17)), names[min(int(rnd.geometric(0.4)) - 1, 5)]) for i in range(600)]
+    tokens = {g or "": sum(len(t.split()) for _, t, x in rows if x == g) for g in names}
+    own = sorted(tokens, key=lambda g: (-tokens[g], g))[:2]
+    plain = [(i, t, g if (g or "") in own else "zz") for i, t, g in rows]
+    fields = ("doc_id", "kept", "log_perplexity", "low", "high")
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 40, languages=2).collect()}
+    for r in quality.quality(spark.createDataFrame(plain, "doc_id long, text string, lang string"), 40).collect():
+        assert [got[r["doc_id"]][f] for f in fields] == pytest.approx([r[f] for f in fields])
+    assert {r["_lang"] for r in got.values()} == set(tokens)  # rows keep their own language
+
+
+def test_a_language_for_each_row(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 40}" for k in range(1, 40)), f"x{i}") for i in range(400)], "doc_id long, text string, lang string")
+    v = quality.fit(df, vocabulary=50).vocabulary
+    assert len(v.langs) == quality.LANGUAGES + 1 and quality.OTHERS in v.langs
+    assert quality.keep_good(df, vocabulary=50).count() == sum(r["kept"] for r in quality.quality(df, vocabulary=50).collect())
+
+
 def test_bands_reject_junk_and_keep_clean(spark):
     rnd = random.Random(8)
     clean = [f"w{int(rnd.paretovariate(0.5)) % 3000}" for _ in range(400 * 150)]
