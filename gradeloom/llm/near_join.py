@@ -9,6 +9,10 @@ What is left is verified exactly on the shingle sets.
 Pairs are never stored. A band's bucket is split into blocks by count and size; a task compares two blocks (or one with itself) in numpy and says which members
 have survivors; a second task gets the sets of just these members, finds the survivors again and verifies them. It gives each member's number of links and a
 spanning forest of the links, from which components are found in rounds. A member so travels once for each block of its bucket.
+
+Most pairs of a large group of near copies share an early band. A bucket of several blocks is therefore cut by that first: for each of the first EARLIER
+bands below its own, the value that half of its members or more have is found, and members that have the same such values make a part with blocks of its own. Parts
+that have one of these values in common need no task, as their pairs share an earlier band. What is left of a bucket is a small share of its pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ HASHES, ROWS, STEP = 96, 3, 16
 THRESHOLD, TOLERANCE = 0.8, 1e-7
 #: Members of a block at most, and bytes of their sets.
 BLOCK, BLOCK_BYTES = 4096, 32 << 20
+#: Bands by whose frequent values a bucket of several blocks is cut, so at most 2 ** EARLIER parts.
+EARLIER = 4
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -91,6 +97,23 @@ def survivors(values: np.ndarray, lanes: np.ndarray, sizes: np.ndarray, side: np
             yield i, j
 
 
+def part_of(lanes: np.ndarray, heavy: list[tuple[int, int]] | None) -> int:
+    """Which of the frequent values (band, value) of its bucket a member has, as bits."""
+    return sum(1 << e for e, lane in heavy or () if lanes[e] == lane)
+
+
+def blocks_of(part: int, r: int, plan: list[tuple[int, int]]) -> tuple[int, list[int]]:
+    """The block of a member of a bucket's part, and all blocks that it meets; ``plan`` has the parts and their numbers of blocks."""
+    own, met, first = -1, [], 0
+    for other, blocks in plan:
+        if other == part:
+            own = first + r % blocks
+        if not other & part:
+            met += range(first, first + blocks)
+        first += blocks
+    return own, met
+
+
 def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
     """Which of the pairs (i rises) have an exact Jaccard similarity that reaches the threshold. The distinct first members' shingles make a table,
     a column for each; a second member's rows of it add up to what it has in common with all of them."""
@@ -149,10 +172,36 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
             lanes = bands_of(sigs)[1]
             yield C.batch(kb=pa.array(C.mix(C.mix(lanes) + width).ravel().view(np.int64)), r=pa.array(np.repeat(np.array(rs, np.int64), lanes.shape[1])), n=pa.array(np.repeat(np.array(ns, np.int32), lanes.shape[1])), band=pa.array(np.tile(np.arange(lanes.shape[1], dtype=np.int8), len(rs))))
 
-    banded = reps.select("r", "n", "sig").mapInArrow(bands, "kb long, r long, n int, band byte").repartition("kb")
-    shared = banded.groupBy("kb").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("all")).where("c > 1")
-    blocks = F.greatest(F.ceil(F.col("c") / block), F.ceil(8 * F.col("all") / BLOCK_BYTES)).cast("int")
-    seats = banded.join(shared, "kb").groupBy("r").agg(F.collect_list(F.struct("kb", "band", blocks.alias("nb"))).alias("seats"))  # one for each band at most
+    banded = reps.select("r", "n", "sig").mapInArrow(bands, "kb long, r long, n int, band byte")
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("nb")
+    # counted apart and joined, so that a bucket of very many members is combined in tasks and split as a skewed key
+    shared = banded.groupBy("kb").agg(F.count(F.lit(1)).alias("c"), count).where("c > 1").drop("c")
+    found = C.saved(banded.join(shared, "kb").select("r", "kb", "band", "nb"))
+    seats = found.where("nb = 1 or band = 0").groupBy("r").agg(F.collect_list(F.struct("kb", "band", "nb")).alias("seats"))  # one for each band at most
+
+    def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kbs, band, sigs in C.rows_of(batches, "kb", "band", "sig"):
+            below = np.minimum(np.array(band, np.int64), EARLIER)
+            on = np.arange(EARLIER)[None, :] < below[:, None]
+            yield C.batch(kb=pa.array(np.repeat(np.array(kbs, np.int64), below)), e=pa.array(np.nonzero(on)[1]), lane=pa.array(bands_of(sigs)[1][:, :EARLIER][on].view(np.int64)))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kbs, band, rs, ns, sigs, heavy in C.rows_of(batches, "kb", "band", "r", "n", "sig", "heavy"):
+            lanes = bands_of(sigs)[1][:, :EARLIER].view(np.int64).tolist()
+            ps = [part_of(x, h and [(v["e"], v["lane"]) for v in h]) for x, h in zip(lanes, heavy, strict=True)]
+            yield C.batch(kb=pa.array(kbs, pa.int64()), band=pa.array(band, pa.int32()), r=pa.array(rs, pa.int64()), n=pa.array(ns, pa.int32()), p=pa.array(ps, pa.int32()))
+
+    large = found.where("nb > 1 and band > 0").select("r", "kb", F.col("band").cast("int").alias("band")).join(reps.select("r", "n", "sig"), "r")
+    often = large.select("kb", "band", "sig").mapInArrow(early, "kb long, e long, lane long").groupBy("kb", "e", "lane").agg(F.count(F.lit(1)).alias("m"))
+    often = often.groupBy("kb", "e").agg(F.max(F.struct("m", "lane")).alias("top"), F.sum("m").alias("c")).where("2 * top.m >= c")
+    often = C.saved(often.groupBy("kb").agg(F.collect_list(F.struct("e", F.col("top.lane").alias("lane"))).alias("heavy")))
+    parts = C.saved(large.join(C.small(often), "kb", "left").mapInArrow(part, "kb long, band int, r long, n int, p int"))
+    plan = C.saved(parts.groupBy("kb", "p").agg(count).groupBy("kb").agg(F.sort_array(F.collect_list(F.struct("p", "nb"))).alias("plan")))  # 2 ** EARLIER at most
+
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [()] * 7
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return C.batch(**{c: pa.array(v, kind) for c, v, kind in zip(("t", "r", "band", "own", "other", "n", "sig"), cols, kinds, strict=True)})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rs, ns, sigs, seated in C.rows_of(batches, "r", "n", "sig", "seats"):
@@ -163,11 +212,21 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float =
                         nb = s["nb"]
                         own = r % nb
                         out += [(f"{s['kb']}/{min(own, o)}/{max(own, o)}", r, s["band"], own, o if o != own else -1, n, sig) for o in range(nb)]
-                cols = list(zip(*out, strict=True)) or [()] * 7
-                kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield C.batch(**{c: pa.array(v, kind) for c, v, kind in zip(("t", "r", "band", "own", "other", "n", "sig"), cols, kinds, strict=True)})
+                yield told(out)
 
-    dealt = reps.select("r", "n", "sig").join(seats, "r").mapInArrow(deal, "t string, r long, band int, own int, other int, n int, sig binary").repartition("t").sortWithinPartitions("t", "r")
+    def deal_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kbs, band, rs, ns, ps, plans, sigs in C.rows_of(batches, "kb", "band", "r", "n", "p", "plan", "sig"):
+            for a in range(0, len(rs), 200):
+                out: list[tuple] = []
+                for kb, bd, r, n, p, pl, sig in zip(*(x[a : a + 200] for x in (kbs, band, rs, ns, ps, plans, sigs)), strict=True):
+                    own, met = blocks_of(p, r, [(x["p"], x["nb"]) for x in pl])
+                    out += [(f"{kb}/{min(own, o)}/{max(own, o)}", r, bd, own, o if o != own else -1, n, sig) for o in met]
+                yield told(out)
+
+    seated = "t string, r long, band int, own int, other int, n int, sig binary"
+    dealt = reps.select("r", "n", "sig").join(seats, "r").mapInArrow(deal, seated)
+    dealt = dealt.union(parts.join(C.small(plan), "kb").join(reps.select("r", "sig"), "r").mapInArrow(deal_parts, seated))
+    dealt = dealt.repartition("t").sortWithinPartitions("t", "r")
     need = least_matches(threshold, tolerance)
 
     def pairs(sigs: list[bytes], ns: list[int], own: list[int], other: list[int], band: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -464,6 +464,44 @@ def test_near_join_of_a_large_group(spark):
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == brute_links(rows)
 
 
+def test_parts_that_share_an_earlier_value_do_not_meet():
+    rnd = random.Random(4)
+    heavy = [(0, 7), (1, -3), (3, 9)]
+    lanes = [[rnd.choice((7, 5)), rnd.choice((-3, 2)), 1, rnd.choice((9, 8))] for _ in range(300)]
+    parts = [near_join.part_of(x, heavy) for x in lanes]
+    assert near_join.part_of(lanes[0], None) == 0
+    plan = [(p, -(-c // 16)) for p, c in sorted(Counter(parts).items())]
+    own, met = zip(*(near_join.blocks_of(p, r, plan) for r, p in enumerate(parts)), strict=True)
+    assert sorted(set(own)) == list(range(sum(b for _, b in plan)))
+    for i in range(300):
+        for j in range(i):
+            apart = not any(lanes[i][e] == v == lanes[j][e] for e, v in heavy)
+            assert (own[j] in met[i]) == (own[i] in met[j]) == apart
+
+
+def test_a_large_group_is_dealt_few_times(spark, monkeypatch):
+    """1500 near copies in blocks of 50: members whose pairs an earlier band has seen aren't dealt again."""
+    rnd = random.Random(6)
+    rows = []
+    for i in range(1500):
+        ws = [f"w{k}" for k in range(120)]
+        for _ in range(rnd.randint(0, 2)):
+            ws[rnd.randrange(120)] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(ws)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    stored = []
+    saved = C.saved
+    monkeypatch.setattr(C, "saved", lambda d, *a: (stored.append(saved(d, *a)), stored[-1])[1])
+    out = near_join.near_join(df, block=50).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in out) == brute_links(rows)
+    found, parts, plan = (next(x for x in stored if x.columns == c).collect() for c in (["r", "kb", "band", "nb"], ["kb", "band", "r", "n", "p"], ["kb", "plan"]))
+    plans = {x["kb"]: [(y["p"], y["nb"]) for y in x["plan"]] for x in plan}
+    cut = sum(len(near_join.blocks_of(x["p"], x["r"], plans[x["kb"]])[1]) for x in parts)
+    whole = sum(x["nb"] for x in found if x["nb"] > 1 and x["band"] > 0)
+    assert len(parts) == sum(x["nb"] > 1 and x["band"] > 0 for x in found) and 4 * cut < whole, (cut, whole)
+
+
 def test_near_copies_store_no_pairs(spark, monkeypatch):
     """A group of 3000: the links of brute force, and rows stored in proportion to the members."""
     rnd = random.Random(2)
