@@ -132,7 +132,7 @@ def near_pairs(words: DataFrame, long: int = LONG) -> DataFrame:
     length = F.length("word")
     k = words.where(length <= long).select(F.explode(keys(F.col("word"))).alias("key"), "word", "n")
     a, b = k, k.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    short = a.join(b, "key").where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1)).drop("key")
+    short = a.join(b.hint("merge"), "key").where((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1)).drop("key")
     if not words.where(length > long).limit(1).count():
         return short
     # a pair with a word beyond the limit; its other word may have just that length
@@ -148,16 +148,19 @@ def forms(words: DataFrame, times: int = TIMES, long: int = LONG) -> DataFrame:
     """word, n, n_near, form, form_n of each row of a saved table of word and n; a form is at least ``times`` as frequent as its word."""
     best = F.min(F.struct((-F.col("near_n")).alias("m"), F.col("near").alias("form"))).alias("best")
     found = near_pairs(words, long).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best)
-    rows = words.join(found, "word", "left")
+    rows = words.join(found.hint("merge"), "word", "left")
     good = F.coalesce(-F.col("best.m") >= times * F.col("n"), F.lit(False))
     return rows.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(good, F.col("best.form")).alias("form"), F.when(good, -F.col("best.m")).alias("form_n"))
 
 
 def roots(links: DataFrame) -> DataFrame:
-    """word, root of a saved table of word and form (each word once, no cycles): forms followed to the last. Every round doubles the reach."""
+    """word, root of a saved table of word and form (each word once, no cycles): forms followed to the last. Every round doubles the reach.
+
+    Links grow with the corpus, and a few MB of files are many times that as a hash table in the driver, so they are never broadcast.
+    """
     now = C.saved(links.select("word", F.col("form").alias("root")))
     while True:
-        ahead = C.small(now.select(F.col("word").alias("root"), F.col("root").alias("further")))
+        ahead = now.select(F.col("word").alias("root"), F.col("root").alias("further")).hint("merge")
         step = C.saved(now.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
         now = step.select("word", "root")
         if not step.where("moved").limit(1).count():
@@ -167,7 +170,7 @@ def roots(links: DataFrame) -> DataFrame:
 def variants(words: DataFrame, times: int = TIMES, long: int = LONG) -> DataFrame:
     """word, form, root, n, n_near, form_n of each row of a table of distinct words and n. Ties of the largest n fall to the smallest word in code-point order; an empty table gives no rows."""
     rows = C.saved(forms(C.saved(words), times, long))
-    ends = C.small(roots(rows.where("form is not null")))
+    ends = roots(rows.where("form is not null")).hint("merge")
     return rows.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

@@ -231,6 +231,18 @@ def test_roots_follow_chains(spark):
     assert got == {w: "end" if w == "lone" else "w13" for w, _ in links}
 
 
+def test_links_are_never_broadcast(spark, monkeypatch):
+    """Words and links grow with the corpus, so no join of them goes through the driver, however small their files are."""
+    plans, saved = [], C.saved
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(C, "saved", lambda df, *a: (seen(df), saved(df, *a))[1])
+    n = {"abcdefgh": 900, "abcdefg": 80, "abcdef": 7, "other": 3}
+    out = spelling.variants(spark.createDataFrame(list(n.items()), "word string, n long"))
+    seen(out)
+    assert as_tuples(out.collect()) == plain_variants(n)
+    assert sum("Join" in p for p in plans) >= 3 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_keys_meet_where_words_do():
     rnd = random.Random(1)
     for _ in range(300):
