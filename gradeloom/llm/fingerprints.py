@@ -8,6 +8,7 @@ in ``b`` bits with chance 2**-b, which the estimate of the likeness takes off.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -25,23 +26,27 @@ PART_TEXT_BYTES = 24 << 20
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+@functools.lru_cache(4096)
+def _turn(turn: int, bins: int) -> np.ndarray:
+    """The bin that each empty bin looks at in a turn."""
+    return (C.mix(np.arange(bins, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn)) % np.uint64(bins)).astype(np.int64)
+
+
 def sketch(hashes: np.ndarray, bins: int = BINS) -> np.ndarray | None:
-    """A value for each bin from sorted distinct hashes; None without any."""
+    """A value for each bin from hashes in any order, repeated or not; None without any."""
     if not len(hashes):
         return None
-    shift = np.uint64(64 - (bins - 1).bit_length())
-    at = (hashes >> shift).astype(np.int64) % bins
-    order = np.argsort(at, kind="stable") if bins & (bins - 1) else slice(None)
-    at, hashes = at[order], hashes[order]
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    out = np.full(bins, _EMPTY)
-    out[at[first]] = C.mix(hashes[first])
-    full = np.zeros(bins, bool)
-    full[at[first]] = True
+    at = (hashes >> np.uint64(64 - (bins - 1).bit_length())).astype(np.int64)
+    if bins & (bins - 1):
+        at %= bins
+    out, full = np.full(bins, _EMPTY), np.zeros(bins, bool)
+    np.minimum.at(out, at, hashes)
+    full[at] = True
+    out = C.mix(out)
     empty, turn = np.flatnonzero(~full), 0
     while len(empty):
         turn += 1
-        to = (C.mix(empty.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn)) % np.uint64(bins)).astype(np.int64)
+        to = _turn(turn, bins)[empty]
         hit = full[to]
         out[empty[hit]] = out[to[hit]]
         empty = empty[~hit]
@@ -57,8 +62,14 @@ def packed(values: np.ndarray | None, bits: int = BITS) -> bytes:
     return np.packbits(b.ravel(), bitorder="little").tobytes()
 
 
+def _windows(ws: list[bytes], n: int = C.SHINGLE) -> np.ndarray:
+    """The hashes of :func:`common.shingles_of`, neither sorted nor distinct."""
+    h = C.word_hashes(ws)
+    return C.window_hashes(h, min(n, len(h))) + np.uint64(min(n, len(h))) if len(h) else h
+
+
 def fingerprint(text: str | None, bins: int = BINS, bits: int = BITS) -> bytes:
-    return packed(sketch(C.shingles(text), bins), bits)
+    return packed(sketch(_windows(C.words(text)), bins), bits)
 
 
 def likeness(a: bytes, b: bytes, bins: int = BINS, bits: int = BITS) -> float:
@@ -76,8 +87,9 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, bits: int = BITS) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, bits: int = BITS, sketched: bool = True) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row; the first three alone if not ``sketched``, as
+    most of the time goes into the sketches.
 
     A row's next is the one before it by id, and the first row's that with the greatest. Null ids
     come last; a null text is empty; rows that share an id follow each other by the md5 of their text; a single row is its own next; an
@@ -130,16 +142,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         held[k, h] = [r, k, h, 1, raw]
                 out: list[tuple] = []
                 for r, k, h, n, raw in held.values():
-                    z, f = squeeze.compress(raw), packed(sketch(C.shingles_of(raw.split()), bins), bits)
+                    z, f = squeeze.compress(raw), packed(sketch(_windows(raw.split()), bins), bits) if sketched else b""
                     out.append((r, 0, k, h, n, z, f))
                     if (k, h) == first.value[r][:2] and r not in led:  # a candidate for the row that follows the range before
                         led.add(r)
                         out.append((first.value[r][2], 1, k, h, 1, z, f))
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
-                yield C.batch(**{c: pa.array(v, kind) for c, v, kind in zip(("r", "guest", "k", "h", "n", "z", "f"), zip(*out, strict=True), kinds, strict=True)})
+                sent_kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+                yield C.batch(**{c: pa.array(v, kind) for c, v, kind in zip(("r", "guest", "k", "h", "n", "z", "f"), zip(*out, strict=True), sent_kinds, strict=True)})
         C.release()
 
-    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string()}
+    schema = "doc_id long, n_chars long, edited_sha256 string"
+    if sketched:
+        kinds |= {"fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
+        schema += ", fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
@@ -150,14 +166,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def pair(row: tuple, following: tuple) -> tuple:
             k, t, f = row
             e = edited_text(t, following[1])
+            digest = hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest()
+            if not sketched:
+                return (k, len(t), digest)
             fe = fingerprint(e, bins, bits)
-            return (k, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), f.hex(), fe.hex(), likeness(f, fe, bins, bits), likeness(f, following[2], bins, bits))
+            return (k, len(t), digest, f.hex(), fe.hex(), likeness(f, fe, bins, bits), likeness(f, following[2], bins, bits))
 
         def made() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True))
             out.clear()
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            return C.batch(**{n: pa.array(c, kind) for n, c, kind in zip(names, cols, kinds, strict=True)})
+            return C.batch(**{n: pa.array(c, kind) for (n, kind), c in zip(kinds.items(), cols, strict=True)})
 
         for rs, guests, ks, ns, zs, fs in C.rows_of(batches, "r", "guest", "k", "n", "z", "f"):
             for r, guest, k, n, z, f in zip(rs, guests, ks, ns, zs, fs, strict=True):
@@ -182,7 +200,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     sent = base.mapInArrow(send, "r int, guest int, k long, h binary, n long, z binary, f binary")
     laid = sent.repartitionById(plan.value.size, F.col("r")).sortWithinPartitions("r", "guest", F.col("k").desc_nulls_last(), "h")
-    return laid.mapInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return laid.mapInArrow(walk, schema)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

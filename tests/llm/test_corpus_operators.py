@@ -598,6 +598,15 @@ def test_fingerprints_over_many_ranges(real, monkeypatch):
     assert {r["doc_id"]: r["edited_sha256"] for r in fingerprints.fingerprints(real).collect()} == whole
 
 
+def test_edited_texts_make_no_sketch(docs):
+    """The columns that need none, with the same rows as the whole operator's."""
+    names = ("doc_id", "n_chars", "edited_sha256")
+    whole = Counter(tuple(r) for r in fingerprints.fingerprints(docs).select(*names).collect())
+    # a sketch of no bins is an error
+    out = fingerprints.fingerprints(docs, bins=0, sketched=False)
+    assert tuple(out.columns) == names and Counter(map(tuple, out.collect())) == whole
+
+
 def test_likeness_is_unbiased():
     rnd, errors = random.Random(4), []
     for share in (0.0, 0.2, 0.5, 0.8, 1.0):
