@@ -4,7 +4,7 @@ The outcomes that the model predicts are words: the most frequent ones, WORDS_RO
 of a text; and for all rarer words buckets by their first two bytes. Outcomes fall into classes of equal width, by rank. From the two outcomes before
 comes a predicted vector (their vectors, each through a matrix of its place, added up); its product with a class's vector, plus a bias, is the class's score,
 and its product with an outcome's vector, plus a bias, the outcome's score within its class. Both levels are trained in numpy by noise-contrastive
-estimation, on a fixed share of all training places (SHARE; of small corpora EXAMPLES_ROOT times the cube root of the tokens), drawn from all training texts by hash.
+estimation, on every place of every training text. Rows of a step are sorted by outcome, so that those of a class share its noise.
 Shards of the places are trained on in tasks whose models are averaged round by round. Scores are normalised
 exactly, by batched matrix products: over the classes, and over the outcomes of the token's class.
 
@@ -32,14 +32,18 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LEAST_WORDS, WORDS_ROOT = 16_384, 32
-#: Training places: this share of all, but no fewer than so many times the cube root of the tokens.
-SHARE, EXAMPLES_ROOT, EPOCHS = 1 / 40, 6_000, 2
-#: Places that a task trains on at least, tasks at most, and rounds of an epoch after which their models are averaged. Fewer places than two tasks' have one task, and no averaging.
-SHARD, SHARDS, ROUNDS = 4_000_000, 256, 4
+#: Passes over all places where one task trains, and where models are averaged.
+EPOCHS, SHARED_EPOCHS = 2, 1
+#: Places that a task trains on at least, in corpora of over four times as many a number that grows with the cube root of the tokens, as the models do; and rounds of an
+#: epoch after which the tasks' models are averaged. Fewer places than two tasks' have one task, and no averaging.
+SHARD, ROUNDS = 4_000_000, 4
+#: Outcomes of a stored run of places: at least (but for a task's last), and at most.
+RUN, LONGEST_RUN = 1 << 14, 1 << 15
 #: Numbers of a slice of the parameters, as tasks pass it on.
 SLICE = 1 << 16
 HEAD = 250_000
-DIMENSIONS, ROWS, CLASS_NOISE, NOISE = 24, 4096, 64, 5
+#: Rows of a step where one task trains, and where models are averaged; noise of a step, and of each of its classes.
+DIMENSIONS, ROWS, SHARED_ROWS, CLASS_NOISE, NOISE = 24, 4096, 8192, 64, 32
 END = 0
 _LN10 = float(np.log(10))
 _SPACE = b" "  # no word, so it stands for the end
@@ -70,16 +74,28 @@ class Outcomes:
         return self.tail + zlib.crc32(word[:2]) % self.buckets
 
 
+def _order(at: np.ndarray) -> np.ndarray:
+    """As argsort; numbers of 16 bits are sorted by their digits."""
+    return np.argsort(at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at, kind="stable")
+
+
+def _firsts(at: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+
+
 def _sums(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct places, and for each the sum of its rows."""
-    order = np.argsort(at, kind="stable")
+    order = _order(at)
     at = at[order]
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    return at[first], np.add.reduceat(values[order], first, axis=0)
+    first = _firsts(at)
+    return at[first], np.add.reduceat(values.take(order, axis=0), first, axis=0)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In the place of ``x``."""
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class LogBilinear:
@@ -119,45 +135,61 @@ class LogBilinear:
                 at += held[n].size
 
     def train(self, parts: Iterable[np.ndarray], step: int, steps: int, seed: int, rows: int = ROWS, rate: float = 0.1) -> None:
-        """NCE on rows of (outcome, one before, two before), part by part; ``step`` of ``steps`` are done. Noise is drawn from the outcomes' own shares, for the
-        outcomes within the row's class. Steps are Adagrad's, seeded."""
+        """NCE on rows of (outcome, one before, two before), part by part; ``step`` of ``steps`` are done. Noise is drawn from the outcomes' own shares: classes once
+        a step, and within each class that occurs in it. Steps are Adagrad's, seeded."""
         o, g, seen = self.outcomes, np.random.default_rng(seed), self.seen
         upto, upto_class = np.cumsum(self.share), np.cumsum(self.share_class)
         below = upto_class - self.share_class
         q, q_class = self.noise, self.noise_class
+        dot = lambda x, y: np.einsum("ij,ij->i", x, y)
         for part in parts:
             part = part[g.permutation(len(part))]
             for a in range(0, len(part), rows):
-                w, c = part[a : a + rows, 0], part[a : a + rows, 1:]
-                slow, step = rate * max(0.02, 1 - step / steps), step + 1
-                n = len(w)
-                r = [self.read[c[:, i]] for i in (0, 1)]
+                own = part[a : a + rows]
+                own = own[_order(own[:, 0])]
+                w, c = own[:, 0], own[:, 1:]
+                slow, step = np.float32(rate * max(0.02, 1 - step / steps)), step + 1
+                n = np.float32(len(w))
+                r = [self.read.take(c[:, i], axis=0) for i in (0, 1)]
                 h = r[0] @ self.place[0] + r[1] @ self.place[1]
                 k = w // o.width
+                first = _firsts(k)
+                kinds, edges = k[first], [*first.tolist(), len(w)]
                 nk = np.minimum(np.searchsorted(upto_class, g.random(CLASS_NOISE)), o.classes - 1)
-                extra = np.float32(math.log(CLASS_NOISE))
-                up = (_sigmoid((h * self.say_class[k]).sum(1) + self.bias_class[k] - q_class[k] - extra) - 1) / n
-                down = _sigmoid(h @ self.say_class[nk].T + self.bias_class[nk] - q_class[nk] - extra) / n
-                dh = up[:, None] * self.say_class[k] + down @ self.say_class[nk]
-                changes = {"say_class": _sums(np.concatenate((k, nk)), np.concatenate((up[:, None] * h, down.T @ h))), "bias_class": _sums(np.concatenate((k, nk)), np.concatenate((up, down.sum(0))))}
-                # outcomes drawn by their shares within the row's class
-                draw = below[k][:, None] + g.random((n, NOISE)) * self.share_class[k][:, None]
-                nw = np.clip(np.searchsorted(upto, draw.ravel()).reshape(n, NOISE), (k * o.width)[:, None], (k * o.width + o.width - 1)[:, None])
+                less = self.bias_class - q_class - np.float32(math.log(CLASS_NOISE))
+                said, of = self.say_class[k], self.say_class[nk]
+                up = (_sigmoid(dot(h, said) + less[k]) - 1) / n
+                down = _sigmoid(h @ of.T + less[nk]) / n
+                dh = up[:, None] * said + down @ of
+                at = np.concatenate((kinds, nk))
+                changes = {
+                    "say_class": _sums(at, np.concatenate((np.add.reduceat(up[:, None] * h, first), down.T @ h))),
+                    "bias_class": _sums(at, np.concatenate((np.add.reduceat(up, first), down.sum(0)))),
+                }
+                # outcomes drawn by their shares within each class, for all its rows
+                draw = below[kinds][:, None] + g.random((len(kinds), NOISE)) * self.share_class[kinds][:, None]
+                nw = np.clip(np.searchsorted(upto, draw.ravel()).reshape(-1, NOISE), (kinds * o.width)[:, None], (kinds * o.width + o.width - 1)[:, None])
                 extra = np.float32(math.log(NOISE))
-                up = (_sigmoid((h * self.say[w]).sum(1) + self.bias[w] - q[w] - extra) - 1) / n
-                of = self.say[nw]
-                down = _sigmoid(np.matmul(of, h[:, :, None])[:, :, 0] + self.bias[nw] - q[nw] - extra) / n
-                dh += up[:, None] * self.say[w] + np.matmul(down[:, None, :], of)[:, 0]
-                at = np.concatenate((w, nw.ravel()))
-                pushes = np.concatenate((up, down.ravel()))
-                rows_of = np.concatenate((np.arange(n), np.repeat(np.arange(n), NOISE)))
-                changes["say"] = _sums(at, pushes[:, None] * h[rows_of])
-                changes["bias"] = _sums(at, pushes)
+                said, of = self.say[w], self.say[nw]
+                up = (_sigmoid(dot(h, said) + (self.bias[w] - q[w] - extra)) - 1) / n
+                dh += up[:, None] * said
+                less = self.bias[nw] - q[nw] - extra
+                pushes, pushed = np.empty_like(less), np.empty_like(of)
+                for i, (b, e) in enumerate(zip(edges, edges[1:], strict=False)):
+                    down = _sigmoid(h[b:e] @ of[i].T + less[i]) / n
+                    dh[b:e] += down @ of[i]
+                    down.sum(0, out=pushes[i])
+                    np.matmul(down.T, h[b:e], out=pushed[i])
+                first = _firsts(w)
+                at = np.concatenate((w[first], nw.ravel()))
+                changes["say"] = _sums(at, np.concatenate((np.add.reduceat(up[:, None] * h, first), pushed.reshape(len(nw) * NOISE, -1))))
+                changes["bias"] = _sums(at, np.concatenate((np.add.reduceat(up, first), pushes.ravel())))
                 changes["read"] = _sums(c.T.ravel(), np.concatenate([dh @ self.place[i].T for i in (0, 1)]))
                 changes["place"] = (slice(None), np.stack([r[i].T @ dh for i in (0, 1)]))
                 for x, (places, d) in changes.items():
-                    seen[x][places] += d * d
-                    getattr(self, x)[places] -= (slow * d / np.sqrt(seen[x][places])).astype(np.float32)
+                    squares = seen[x][places] + d * d
+                    seen[x][places] = squares
+                    getattr(self, x)[places] -= slow * d / np.sqrt(squares)
 
     def ready(self) -> "LogBilinear":
         """With the context vectors of each place multiplied out, and the biases as one more dimension."""
@@ -232,7 +264,7 @@ def _by_partition(found: Counter, held: Counter) -> Iterator[pa.RecordBatch]:
         yield C.batch(w=pa.array(part, pa.binary()), c=pa.array([found[w] for w in part], pa.int64()), o=pa.array([held[w] for w in part], pa.int64()))
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, epochs: int = EPOCHS, least_words: int = LEAST_WORDS) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, epochs: int | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row (log10 probabilities of the whole text with its end).
 
     Rows learn and are held out by crc32 of the id as text. A null text is empty and has its end alone; a null id counts
@@ -291,7 +323,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     counts[1 : len(single) + 1] = [top[w] for w in single]
     counts[outcomes.tail :] = mass
     model = LogBilinear(outcomes, counts)
-    if epochs and n_train:
+    if epochs != 0 and n_train:
         _trained(model, base, numbers, n_train, epochs)
     shared = spark.sparkContext.broadcast((top, place, discount, mass, unknown, model))
     floor = n_train + 0.1 * (known + 1)
@@ -374,58 +406,68 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     )
 
 
-def _trained(model: LogBilinear, base: DataFrame, numbers, n_train: int, epochs: int) -> None:
-    """Trains on places of all training texts, each drawn with the same chance by a hash of text, id and place; their number grows with the tokens.
+def _places(v: np.ndarray) -> np.ndarray:
+    """Rows of (outcome, one before, two before) of a run, whose first two outcomes only come before. An end ends its text, so behind it stand ends."""
+    one = v[1:-1]
+    return np.stack((v[2:], one, np.where(one == END, END, v[:-2])), axis=1)
+
 
-    Tasks train on shards of the places, each from the same model, and after every round their models are averaged, slice by slice in Spark; the driver holds one model.
+def _trained(model: LogBilinear, base: DataFrame, numbers, n_train: int, epochs: int | None = None) -> None:
+    """Trains on all places of all training texts. Their outcomes are stored in runs, which are dealt to shards and rounds by hash.
+
+    Tasks train on shards of the runs, each from the same model, and after every round their models are averaged, slice by slice in Spark; the driver holds one model.
     """
-    rate = min(1.0, max(SHARE, EXAMPLES_ROOT * n_train ** (1 / 3) / n_train))
-    shards = max(1, min(SHARDS, int(rate * n_train) // SHARD))
-    least = np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
+    shards = max(1, int(n_train / (SHARD * max(1.0, n_train / (4 * SHARD)) ** (1 / 3))))
+    rounds, rows, usual = (ROUNDS, SHARED_ROWS, SHARED_EPOCHS) if shards > 1 else (1, ROWS, EPOCHS)
+    epochs = usual if epochs is None else epochs
+    kind = np.dtype("<u2" if model.outcomes.size <= 1 << 16 else "<u4")
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, o = numbers.value
-        held: list[tuple[int, int, int]] = []
+        number, cache, flat = place | {_SPACE: END}, {}, []
 
-        def told() -> pa.RecordBatch:
-            raw = np.array(held, "<i4").tobytes()
-            held.clear()
-            return C.batch(x=pa.array([raw], pa.binary()), h=pa.array([xxhash.xxh3_64_intdigest(raw) >> 1], pa.int64()), n=pa.array([len(raw) // 12], pa.int64()))
+        def told() -> Iterator[pa.RecordBatch]:
+            at = np.fromiter(map(number.get, flat, [-1] * len(flat)), np.int64, len(flat))
+            rest = np.flatnonzero(at < 0)
+            far = [flat[i] for i in rest.tolist()]
+            at[rest] = [cache[w[:2]] if w[:2] in cache else cache.setdefault(w[:2], o.bucket(w)) for w in far]
+            flat.clear()
+            v = np.concatenate(([END, END], at)).astype(kind)
+            for a in range(0, len(at), LONGEST_RUN):
+                raw = v[a : a + LONGEST_RUN + 2].tobytes()
+                yield C.batch(x=pa.array([raw], pa.binary()), h=pa.array([xxhash.xxh3_64_intdigest(raw) >> 1], pa.int64()), n=pa.array([len(raw) // kind.itemsize - 2], pa.int64()))
 
-        number = lambda w: place.get(w) or o.bucket(w)
         for keys, texts in C.rows_of(batches, "k", "t"):
             for k, t in zip(keys, texts, strict=True):
                 if held_out(k):
                     continue
-                ws = [_SPACE, _SPACE, *tokens(t), _SPACE]
-                seed = np.uint64(xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass"), seed=(k or 0) & 0xFFFFFFFF))
-                for i in np.flatnonzero(C.mix(C.mix(np.arange(len(ws) - 2, dtype=np.uint64) + np.uint64(1)) ^ seed) <= least).tolist():
-                    held.append(tuple(END if w is _SPACE else number(w) for w in (ws[i + 2], ws[i + 1], ws[i])))
-                if len(held) >= 16_384:
-                    yield told()
-        if held:
-            yield told()
+                flat += tokens(t)
+                flat.append(_SPACE)
+                if len(flat) >= RUN:
+                    yield from told()
+        if flat:
+            yield from told()
 
     shard = F.pmod(F.col("h"), F.lit(shards)).cast("int")
-    drawn = C.saved(base.mapInArrow(draw, "x binary, h long, n long").withColumn("s", shard), "none")
-    total = int(drawn.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    rounds = ROUNDS if shards > 1 else 1
-    each = max(1, -(-total // (shards * rounds * ROWS)))
+    runs = C.saved(base.mapInArrow(store, "x binary, h long, n long").withColumn("s", shard), "none")
+    each = max(1, -(-n_train // (shards * rounds * rows)))
     model.begin()
     for done in range(epochs * rounds):
-        model.set_flat(_round(model, drawn.where(F.pmod(F.shiftright("h", 20), F.lit(rounds)) == done % rounds), shards, done, each, epochs * rounds))
+        own = runs.where(F.pmod(F.shiftright("h", 20), F.lit(rounds)) == done % rounds)
+        model.set_flat(_round(model, own, kind, shards, done, each, epochs * rounds, rows))
     del model.seen, model.noise, model.noise_class
 
 
-def _round(model: LogBilinear, drawn: DataFrame, shards: int, done: int, each: int, rounds: int) -> np.ndarray:
+def _round(model: LogBilinear, runs: DataFrame, kind: np.dtype, shards: int, done: int, each: int, rounds: int, rows: int) -> np.ndarray:
     """The model's vector after a round: where tasks have changed a number, the mean of what these made of it."""
     was = model.flat()
-    shared = drawn.sparkSession.sparkContext.broadcast((model, was))
+    shared = runs.sparkSession.sparkContext.broadcast((model, was))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, before = shared.value
         own.set_flat(before)
         number: list[int] = []
+        rows_in = lambda xs: np.concatenate([_places(np.frombuffer(x, kind).astype(np.int64)) for x in xs])
 
         def parts() -> Iterator[np.ndarray]:
             held: list[bytes] = []
@@ -433,13 +475,13 @@ def _round(model: LogBilinear, drawn: DataFrame, shards: int, done: int, each: i
                 number[:] = shard[:1]
                 for x in xs:
                     held.append(x)
-                    if len(held) >= 64:
-                        yield np.frombuffer(b"".join(held), "<i4").reshape(-1, 3).astype(np.int64)
+                    if len(held) >= 16:
+                        yield rows_in(held)
                         held = []
             if held:
-                yield np.frombuffer(b"".join(held), "<i4").reshape(-1, 3).astype(np.int64)
+                yield rows_in(held)
 
-        own.train(parts(), done * each, rounds * each, 1000 * done + TaskContext.get().partitionId())
+        own.train(parts(), done * each, rounds * each, 1000 * done + TaskContext.get().partitionId(), rows)
         if number:
             now = own.flat()
             for j in range(0, len(now), SLICE):
@@ -466,7 +508,7 @@ def _round(model: LogBilinear, drawn: DataFrame, shards: int, done: int, each: i
         if at is not None:
             yield made()
 
-    told = drawn.repartitionById(shards, F.col("s")).sortWithinPartitions("h").mapInArrow(learn, "j long, s int, v binary")
+    told = runs.repartitionById(shards, F.col("s")).sortWithinPartitions("h").mapInArrow(learn, "j long, s int, v binary")
     if shards > 1:
         told = told.repartition("j").sortWithinPartitions("j", "s").mapInArrow(mean, "j long, v binary")
     out = was.copy()

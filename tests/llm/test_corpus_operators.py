@@ -417,6 +417,33 @@ def test_lm_learns_more_than_counts(spark, monkeypatch, shard, gain):
     assert base < untrained and trained > untrained + gain
 
 
+@pytest.mark.parametrize("shard", [4_000_000, 2_000])
+def test_lm_trains_on_every_place(spark, monkeypatch, shard):
+    """All places of all training texts, also where a sample of them was drawn before: no more and no fewer, in one task and in many."""
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(i % 40))) for i in range(1500)] + [(5000, "long text " * 9000), (None, "no id"), (5001, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(lm_scoring, "SHARD", shard)
+    monkeypatch.setattr(lm_scoring, "LONGEST_RUN", 700)
+    monkeypatch.setattr(lm_scoring, "RUN", 300)
+    places, turn = Counter(), lm_scoring._round
+
+    def watched(model, runs, kind, *a):
+        for r in runs.collect():
+            places.update(map(tuple, lm_scoring._places(np.frombuffer(bytes(r["x"]), kind)).tolist()))
+        return turn(model, runs, kind, *a)
+
+    monkeypatch.setattr(lm_scoring, "_round", watched)
+    lm_scoring.lm_score(df, epochs=1)
+    learnt = [lowered(t) for i, t in rows if not lm_scoring.held_out(i)]
+    c = Counter(w for ws in learnt for w in ws)
+    number = {w: i + 1 for i, w in enumerate(sorted(c, key=lambda w: (-c[w], w.encode())))}
+    want = Counter()
+    for ws in learnt:
+        at = [0, 0, *(number[w] for w in ws), 0]
+        want.update(zip(at[2:], at[1:], at, strict=False))
+    assert places == want
+
+
 def test_outcomes_hold_every_word_once():
     for n in (0, 1, 7, 63, 64, 65, 5000):
         o = lm_scoring.Outcomes(n)
