@@ -19,11 +19,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,13 +45,39 @@ HEAD = 250_000
 #: Rows of a step where one task trains, and where models are averaged; noise of a step, and of each of its classes.
 DIMENSIONS, ROWS, SHARED_ROWS, CLASS_NOISE, NOISE = 24, 4096, 8192, 64, 32
 END = 0
+#: Text that is split into words at a time, but for longer texts.
+PIECE_BYTES = 4 << 20
 _LN10 = float(np.log(10))
-_SPACE = b" "  # no word, so it stands for the end
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words, A-Z in lower case: ``bytes.lower`` changes ASCII letters alone."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def pieces(batches: Iterable[pa.RecordBatch], limit: int = PIECE_BYTES) -> Iterator[tuple[list, pa.Array, np.ndarray]]:
+    """Columns k and t in pieces of about ``limit`` bytes of text: the ids, all words, A-Z in lower case, and the number of words of each text (null: none).
+
+    Arrow's white space is 0x20 and 0x09-0x0D, and its ASCII functions leave all other bytes as they are.
+    """
+    for b in batches:
+        keys, texts = (b.column(b.schema.get_field_index(c)) for c in ("k", "t"))
+        turn = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()) // limit
+        edges = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(turn)]
+        for a, e in zip(edges, edges[1:], strict=False):
+            if a == e:
+                continue
+            split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(a, e - a), "")))
+            flat, ends = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+            some = pc.not_equal(pc.binary_length(flat), 0)  # white space at the edges of a text leaves empty words
+            upto = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))
+            yield keys.slice(a, e - a).to_pylist(), flat.filter(some).cast(pa.binary()), np.diff(upto[ends - ends[0]])
+    b = keys = texts = split = flat = some = None
+    C.release()
+
+
+def _firsts_of(words: pa.Array) -> np.ndarray:
+    """A number for the first two bytes of each word."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    one, two = raw.take(at[:-1]).astype(np.int64), raw.take(at[:-1] + 1, mode="clip")
+    return np.where(np.diff(at) > 1, one << 8 | two, one + (1 << 16))
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -73,6 +99,13 @@ class Outcomes:
     def bucket(self, word: bytes) -> int:
         return self.tail + zlib.crc32(word[:2]) % self.buckets
 
+    def bucket_all(self, words: pa.Array) -> np.ndarray:
+        """The buckets of words that are not empty."""
+        if not len(words):
+            return np.empty(0, np.int64)
+        kinds, at = np.unique(_firsts_of(words), return_inverse=True)
+        return np.array([self.bucket(bytes([k & 0xFF]) if k >> 16 else bytes(divmod(k, 256))) for k in kinds.tolist()], np.int64)[at]
+
 
 def _order(at: np.ndarray) -> np.ndarray:
     """As argsort; numbers of 16 bits are sorted by their digits."""
@@ -83,19 +116,26 @@ def _firsts(at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
 
 
+def _added(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows, two columns at a time where their number is even."""
+    if values.shape[1] % 2:
+        return np.add.reduceat(values, first)
+    return np.add.reduceat(values.view(np.complex64), first).view(np.float32)
+
+
 def _sums(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct places, and for each the sum of its rows."""
     order = _order(at)
-    at = at[order]
+    at = at.take(order)
     first = _firsts(at)
-    return at[first], np.add.reduceat(values.take(order, axis=0), first, axis=0)
+    return at[first], _added(values.take(order, axis=0), first)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In the place of ``x``."""
-    np.exp(np.negative(x, out=x), out=x)
+def _sigmoid(x: np.ndarray, scale: np.float32) -> np.ndarray:
+    """``scale`` times the sigmoid of minus ``x``, in the place of ``x``."""
+    np.exp(x, out=x)
     x += 1
-    return np.reciprocal(x, out=x)
+    return np.divide(scale, x, out=x)
 
 
 class LogBilinear:
@@ -142,54 +182,82 @@ class LogBilinear:
         below = upto_class - self.share_class
         q, q_class = self.noise, self.noise_class
         dot = lambda x, y: np.einsum("ij,ij->i", x, y)
+        size = self.read.shape[1]
+
+        def wide(x: np.ndarray, last: np.ndarray | float) -> np.ndarray:
+            """With ``last`` as one more number of each vector, and zeros up to an even length, so that one product gives scores with their biases."""
+            out = np.zeros((*x.shape[:-1], size + 2 - size % 2), np.float32)
+            out[..., :size], out[..., size] = x, last
+            return out
+
         for part in parts:
-            part = part[g.permutation(len(part))]
+            part = part.take(g.permutation(len(part)), axis=0)
             for a in range(0, len(part), rows):
                 own = part[a : a + rows]
-                own = own[_order(own[:, 0])]
-                w, c = own[:, 0], own[:, 1:]
+                own = own.take(_order(own[:, 0]), axis=0)
+                w = own[:, 0].copy()
                 slow, step = np.float32(rate * max(0.02, 1 - step / steps)), step + 1
                 n = np.float32(len(w))
-                r = [self.read.take(c[:, i], axis=0) for i in (0, 1)]
-                h = r[0] @ self.place[0] + r[1] @ self.place[1]
+                # each distinct word before is multiplied out once, and its gradient added up before it is
+                h, before = 0, []
+                for i in (0, 1):
+                    c = own[:, 1 + i]
+                    order = _order(c)
+                    c = c.take(order)
+                    first = _firsts(c)
+                    kind = np.empty(len(c), np.int64)
+                    kind[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(c)))
+                    r = self.read.take(c[first], axis=0)
+                    before.append((c[first], r, order, first))
+                    h = h + (r @ self.place[i]).take(kind, axis=0)
+                h1 = wide(h, 1)
                 k = w // o.width
                 first = _firsts(k)
                 kinds, edges = k[first], [*first.tolist(), len(w)]
                 nk = np.minimum(np.searchsorted(upto_class, g.random(CLASS_NOISE)), o.classes - 1)
                 less = self.bias_class - q_class - np.float32(math.log(CLASS_NOISE))
-                said, of = self.say_class[k], self.say_class[nk]
-                up = (_sigmoid(dot(h, said) + less[k]) - 1) / n
-                down = _sigmoid(h @ of.T + less[nk]) / n
-                dh = up[:, None] * said + down @ of
-                at = np.concatenate((kinds, nk))
-                changes = {
-                    "say_class": _sums(at, np.concatenate((np.add.reduceat(up[:, None] * h, first), down.T @ h))),
-                    "bias_class": _sums(at, np.concatenate((np.add.reduceat(up, first), down.sum(0)))),
-                }
+                said, of = self.say_class.take(k, axis=0), wide(self.say_class[nk], less[nk])
+                up_class = -_sigmoid(dot(h, said) + less[k], 1 / n)
+                down = _sigmoid(h1 @ -of.T, 1 / n)
+                dh = up_class[:, None] * said
+                dh += down @ of[:, :size]
+                pushed_class = np.empty((len(kinds), h1.shape[1]), np.float32)
+                drawn_class = down.T @ h1
                 # outcomes drawn by their shares within each class, for all its rows
                 draw = below[kinds][:, None] + g.random((len(kinds), NOISE)) * self.share_class[kinds][:, None]
                 nw = np.clip(np.searchsorted(upto, draw.ravel()).reshape(-1, NOISE), (kinds * o.width)[:, None], (kinds * o.width + o.width - 1)[:, None])
-                extra = np.float32(math.log(NOISE))
-                said, of = self.say[w], self.say[nw]
-                up = (_sigmoid(dot(h, said) + (self.bias[w] - q[w] - extra)) - 1) / n
+                less = self.bias - q - np.float32(math.log(NOISE))
+                said, of = self.say.take(w, axis=0), wide(self.say.take(nw, axis=0), less.take(nw))
+                up = -_sigmoid(dot(h, said) + less.take(w), 1 / n)
                 dh += up[:, None] * said
-                less = self.bias[nw] - q[nw] - extra
-                pushes, pushed = np.empty_like(less), np.empty_like(of)
-                for i, (b, e) in enumerate(zip(edges, edges[1:], strict=False)):
-                    down = _sigmoid(h[b:e] @ of[i].T + less[i]) / n
-                    dh[b:e] += down @ of[i]
-                    down.sum(0, out=pushes[i])
-                    np.matmul(down.T, h[b:e], out=pushed[i])
+                down, dn = np.empty((len(w), NOISE), np.float32), np.empty_like(dh)
+                pushed, minus = np.empty_like(of), -of.transpose(0, 2, 1)
+                spans = list(zip(edges, edges[1:], strict=False))
+                for i, (b, e) in enumerate(spans):
+                    np.matmul(h1[b:e], minus[i], out=down[b:e])
+                _sigmoid(down, 1 / n)
+                of = np.ascontiguousarray(of[:, :, :size])
+                for i, (b, e) in enumerate(spans):
+                    np.matmul(down[b:e], of[i], out=dn[b:e])
+                    np.matmul(down[b:e].T, h1[b:e], out=pushed[i])
+                    np.matmul(up_class[b:e], h1[b:e], out=pushed_class[i])
+                dh += dn
                 first = _firsts(w)
-                at = np.concatenate((w[first], nw.ravel()))
-                changes["say"] = _sums(at, np.concatenate((np.add.reduceat(up[:, None] * h, first), pushed.reshape(len(nw) * NOISE, -1))))
-                changes["bias"] = _sums(at, np.concatenate((np.add.reduceat(up, first), pushes.ravel())))
-                changes["read"] = _sums(c.T.ravel(), np.concatenate([dh @ self.place[i].T for i in (0, 1)]))
-                changes["place"] = (slice(None), np.stack([r[i].T @ dh for i in (0, 1)]))
+                changes = {}
+                at, d = _sums(np.concatenate((kinds, nk)), np.concatenate((pushed_class, drawn_class)))
+                changes["say_class"], changes["bias_class"] = (at, d[:, :size]), (at, d[:, size])
+                at, d = _sums(np.concatenate((w[first], nw.ravel())), np.concatenate((_added(up[:, None] * h1, first), pushed.reshape(nw.size, -1))))
+                changes["say"], changes["bias"] = (at, d[:, :size]), (at, d[:, size])
+                added = [_added(dh.take(order, axis=0), first) for _, _, order, first in before]
+                changes["read"] = _sums(np.concatenate([b[0] for b in before]), np.concatenate([d @ self.place[i].T for i, d in enumerate(added)]))
+                changes["place"] = (np.arange(2), np.stack([b[1].T @ d for b, d in zip(before, added, strict=True)]))
                 for x, (places, d) in changes.items():
-                    squares = seen[x][places] + d * d
+                    held, squares = getattr(self, x), seen[x].take(places, axis=0)
+                    squares += d * d
                     seen[x][places] = squares
-                    getattr(self, x)[places] -= slow * d / np.sqrt(squares)
+                    now = held.take(places, axis=0)
+                    now -= slow * d / np.sqrt(squares, out=squares)
+                    held[places] = now
 
     def ready(self) -> "LogBilinear":
         """With the context vectors of each place multiplied out, and the biases as one more dimension."""
@@ -197,55 +265,69 @@ class LogBilinear:
         self.before = [np.hstack((self.read @ self.place[0], one)), np.hstack((self.read @ self.place[1], 0 * one))]
         self.to_class = np.hstack((self.say_class, self.bias_class[:, None])).T.copy()
         self.to_outcome = np.hstack((self.say, self.bias[:, None])).reshape(o.classes, o.width, -1).transpose(0, 2, 1).copy()
-        # no score is greater than this
-        length = lambda x: float(np.sqrt((x * x).sum(1)).max())
-        self.most = (length(self.before[0][:, :-1]) + length(self.before[1][:, :-1])) * max(length(self.say), length(self.say_class)) + max(float(self.bias.max()), float(self.bias_class.max()))
+        # the greatest length of a class's vectors and the greatest bias bound its scores
+        length = lambda x: np.sqrt((x * x).sum(-1)).max(-1)
+        self.limit_class = float(length(self.say_class)), float(self.bias_class.max())
+        self.limit = list(zip(length(self.say.reshape(o.classes, o.width, -1)).tolist(), self.bias.reshape(o.classes, o.width).max(1).tolist(), strict=True))
         return self
 
     def predicted(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.before[0][one] + self.before[1][two]
 
-    def _shares(self, scores: np.ndarray) -> np.ndarray:
-        """The scores' exponentials, in their place; the greatest score of a row is taken off where they might be too large."""
-        if self.most > 80:
+    def _shares(self, h: np.ndarray, i: int | None = None) -> np.ndarray:
+        """The exponentials of the scores of the classes, or of the outcomes of class ``i``; the greatest score of a row is taken off where they might be too large."""
+        weights, (length, bias) = (self.to_class, self.limit_class) if i is None else (self.to_outcome[i], self.limit[i])
+        scores = h @ weights
+        if math.sqrt(float(np.einsum("ij,ij->i", h, h).max(initial=0))) * length + bias > 80:
             scores -= scores.max(1)[:, None]
         return np.exp(scores, out=scores)
 
-    def logs(self, h: np.ndarray, outcome: np.ndarray) -> np.ndarray:
-        """log P(outcome) after each predicted vector."""
-        o, out = self.outcomes, np.empty(len(h), np.float64)
+    def logs(self, one: np.ndarray, two: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+        """log P(outcome) after each pair of outcomes. Classes after a pair are scored once for all its tokens, outcomes of a class after a pair likewise."""
+        o, out = self.outcomes, np.empty(len(outcome), np.float64)
+        pair = one.astype(np.int64) * o.size + two
+        order = np.argsort(pair)
+        for own, first, times in _blocks(pair, order):
+            h = self.predicted(one[own[first]], two[own[first]])
+            out[own] = self._picked(self._shares(h), np.repeat(np.arange(len(first)), times), outcome[own] // o.width)
         k = outcome // o.width
-        for a in range(0, len(h), 2048):
-            out[a : a + 2048] = self._picked(h[a : a + 2048] @ self.to_class, k[a : a + 2048])
-        order = np.argsort(k, kind="stable")
+        order = order[_order(k[order])]
         edges = np.searchsorted(k[order], np.arange(o.classes + 1)).tolist()
         for i in np.flatnonzero(np.diff(edges)).tolist():
-            for a in range(edges[i], edges[i + 1], 2048):
-                own = order[a : min(a + 2048, edges[i + 1])]
-                out[own] += self._picked(h[own] @ self.to_outcome[i], outcome[own] - i * o.width)
+            for own, first, times in _blocks(pair, order[edges[i] : edges[i + 1]]):
+                h = self.predicted(one[own[first]], two[own[first]])
+                out[own] += self._picked(self._shares(h, i), np.repeat(np.arange(len(first)), times), outcome[own] - i * o.width)
         return out
 
-    def _picked(self, scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The log of the softmax of each row at one column."""
-        shares = self._shares(scores)
-        return np.log(shares[np.arange(len(shares)), at] / shares.sum(1) + 1e-37)
+    def _picked(self, shares: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The logs of the rows' shares at some places."""
+        return np.log(shares[row, at] / (shares @ np.ones(shares.shape[1], np.float32))[row] + 1e-37)
 
-    def log_unknown(self, h: np.ndarray, share: np.ndarray) -> np.ndarray:
-        """log P(unknown word), ``share`` being each bucket's share of it."""
-        o, out = self.outcomes, np.empty(len(h), np.float64)
+    def log_unknown(self, one: np.ndarray, two: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """log P(unknown word) after each pair of outcomes, ``share`` being each bucket's share of it."""
+        o, out = self.outcomes, np.empty(len(one), np.float64)
         first = o.tail // o.width
-        for a in range(0, len(h), 2048):
-            part = h[a : a + 2048]
-            of_class = self._shares(part @ self.to_class)
+        for a in range(0, len(one), 2048):
+            part = self.predicted(one[a : a + 2048], two[a : a + 2048])
+            of_class = self._shares(part)
             of_class = of_class[:, first:] / of_class.sum(1)[:, None]
             total = np.zeros(len(part))
             for i in range(first, o.classes):
-                e = self._shares(part @ self.to_outcome[i])
+                e = self._shares(part, i)
                 total += of_class[:, i - first] * (e @ share[i * o.width - o.tail :][: o.width].astype(np.float32)) / e.sum(1)
             out[a : a + 2048] = np.log(np.maximum(total, 1e-300))
         return out
 
 
+def _blocks(pair: np.ndarray, order: np.ndarray, rows: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in an order by pairs, in blocks of ``rows`` distinct pairs: the places, where in them each pair begins, and how often it occurs."""
+    first = _firsts(pair[order])
+    edges = np.append(first, len(order))
+    for a in range(0, len(first), rows):
+        own = edges[a : a + rows + 1]
+        yield order[own[0] : own[-1]], own[:-1] - own[0], np.diff(own)
+
+
 def _contexts(outcome: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The outcomes one and two before each token of some texts, whose first tokens follow ends."""
     one = np.concatenate(([END], outcome[:-1]))
@@ -257,11 +339,16 @@ def _contexts(outcome: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return one, two
 
 
-def _by_partition(found: Counter, held: Counter) -> Iterator[pa.RecordBatch]:
-    every = list(found.keys() | held.keys())
-    for a in range(0, len(every), 100_000):
-        part = every[a : a + 100_000]
-        yield C.batch(w=pa.array(part, pa.binary()), c=pa.array([found[w] for w in part], pa.int64()), o=pa.array([held[w] for w in part], pa.int64()))
+def _counted(found: list[pa.RecordBatch]) -> pa.Table:
+    """One row for each word of some counts."""
+    return pa.Table.from_batches(found).group_by("w", use_threads=False).aggregate([("c", "sum"), ("o", "sum")]).select(["w", "c_sum", "o_sum"]).rename_columns(["w", "c", "o"])
+
+
+def _with_ends(values: np.ndarray, lens: np.ndarray, end: int) -> np.ndarray:
+    """The words' values with ``end`` behind those of each text."""
+    out = np.full(len(values) + len(lens), end, values.dtype)
+    out[np.arange(len(values)) + np.repeat(np.arange(len(lens)), lens)] = values
+    return out
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, epochs: int | None = None, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -275,14 +362,21 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     base = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = Counter(), Counter()
-        for keys, texts in C.rows_of(batches, "k", "t"):
-            for k, t in zip(keys, texts, strict=True):
-                (held if held_out(k) else found).update(tokens(t))
-                if len(found) + len(held) > 1_500_000:
-                    yield from _by_partition(found, held)
-                    found, held = Counter(), Counter()
-        yield from _by_partition(found, held)
+        found, rows = [], 0
+        for keys, flat, lens in pieces(batches):
+            coded = flat.dictionary_encode()
+            at, n = coded.indices.to_numpy(), len(coded.dictionary)
+            held = np.bincount(at[np.repeat(np.array([held_out(k) for k in keys], bool), lens)], minlength=n)
+            found.append(C.batch(w=coded.dictionary, c=np.bincount(at, minlength=n) - held, o=held))
+            rows += n
+            if rows > 1_500_000:
+                found = _counted(found).combine_chunks().to_batches()
+                rows = sum(map(len, found))
+                if rows > 750_000:
+                    yield from found
+                    found, rows = [], 0
+        if found:
+            yield from _counted(found).to_batches(max_chunksize=100_000)
 
     words = C.saved(base.mapInArrow(count, "w binary, c long, o long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("o").alias("o")))
     total = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
@@ -331,57 +425,41 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, place, d, mass, unknown, model = shared.value
         o = model.ready().outcomes
-        # for each head word: its number; by number: outcome, log share in it (nan: unknown), base log10; the end comes last
-        number = {w: i for i, w in enumerate(counts)} | {_SPACE: len(counts)}
+        # by number of a head word: outcome, log share in it (nan: unknown), base log10; the end comes last
+        heads = pa.array(list(counts), pa.binary())
         kind = np.array([place.get(w) or o.bucket(w) for w in counts] + [END], np.int64)
         c = np.array([*counts.values(), ends], np.float64)
         own = np.where(kind < o.tail, 0.0, np.log(np.maximum(c - d, 1e-300) / np.maximum(mass[np.maximum(kind - o.tail, 0)], 1)))
         own[c == 0] = np.nan
         basis = np.log10((c + 0.1) / floor)
-        cache: dict[bytes, int] = {}
 
-        def scored(part: list, ts: list[list[bytes]]) -> pa.RecordBatch:
-            lens = np.array([len(t) + 1 for t in ts])
+        for part, flat, each in pieces(batches):
+            lens = each + 1
             starts = np.cumsum(lens) - lens
-            flat: list[bytes] = []
-            for t in ts:
-                flat += t
-                flat.append(_SPACE)
-            at = np.fromiter(map(number.get, flat, [-1] * len(flat)), np.int64, len(flat))
+            number = pc.fill_null(pc.index_in(flat, value_set=heads), -1).to_numpy()
+            beyond = flat.filter(pa.array(number < 0))
+            at = _with_ends(number, each, len(counts))
             rest = np.flatnonzero(at < 0)
-            far = [flat[i] for i in rest.tolist()]
             k = kind[at]
-            k[rest] = [cache[w[:2]] if w[:2] in cache else cache.setdefault(w[:2], o.bucket(w)) for w in far]
-            h = model.predicted(*_contexts(k, starts))
-            value = model.logs(h, k)
+            k[rest] = o.bucket_all(beyond)
+            one, two = _contexts(k, starts)
+            value = model.logs(one, two, k)
             share = own[at]
             share[rest] = np.nan
             lost = np.flatnonzero(np.isnan(share))
-            logu = model.log_unknown(h[lost], unknown) if ends else np.zeros(len(lost))
+            logu = model.log_unknown(one[lost], two[lost], unknown) if ends else np.zeros(len(lost))
             both = np.stack((value[rest], logu[np.searchsorted(lost, rest)]), 1).astype("<f4")
             value += np.nan_to_num(share)
             value[lost] = logu
             base10, seen = basis[at], ~np.isnan(share)
             value[rest] = base10[rest] = 0
             sums = [np.add.reduceat(x, starts) for x in (value, base10, seen.astype(np.int64))]
-            cut = np.searchsorted(np.searchsorted(starts, rest, side="right") - 1, np.arange(len(ts) + 1)).tolist()
-            return C.batch(
+            cut = np.searchsorted(np.searchsorted(starts, rest, side="right") - 1, np.arange(len(part) + 1)).tolist()
+            yield C.batch(
                 k=pa.array(part, pa.int64()), held_out=pa.array([held_out(x) for x in part]), n_tokens=pa.array(lens), n_known=pa.array(sums[2]), base=pa.array(sums[1]), value=pa.array(sums[0]),
-                far=pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(C.word_hashes(far).view(np.int64)), pa.array(both[:, 0]), pa.array(both[:, 1])], ["h", "a", "b"])),
+                far=pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays([pa.array(C.word_hashes(beyond.to_pylist()).view(np.int64)), pa.array(both[:, 0]), pa.array(both[:, 1])], ["h", "a", "b"])),
             )
 
-        part, ts, held = [], [], 0
-        for keys, texts in C.rows_of(batches, "k", "t"):
-            for key, t in zip(keys, texts, strict=True):
-                part.append(key)
-                ts.append(tokens(t))
-                held += len(ts[-1]) + 1
-                if held >= 100_000:
-                    yield scored(part, ts)
-                    part, ts, held = [], [], 0
-        if part:
-            yield scored(part, ts)
-
     schema = "k long, held_out boolean, n_tokens long, n_known long, base double, value double, far array<struct<h:long,a:float,b:float>>"
     rows = C.saved(base.mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id()))
 
@@ -424,29 +502,29 @@ def _trained(model: LogBilinear, base: DataFrame, numbers, n_train: int, epochs:
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, o = numbers.value
-        number, cache, flat = place | {_SPACE: END}, {}, []
+        words = pa.array(list(place), pa.binary())
 
-        def told() -> Iterator[pa.RecordBatch]:
-            at = np.fromiter(map(number.get, flat, [-1] * len(flat)), np.int64, len(flat))
-            rest = np.flatnonzero(at < 0)
-            far = [flat[i] for i in rest.tolist()]
-            at[rest] = [cache[w[:2]] if w[:2] in cache else cache.setdefault(w[:2], o.bucket(w)) for w in far]
-            flat.clear()
+        def told(at: np.ndarray) -> Iterator[pa.RecordBatch]:
             v = np.concatenate(([END, END], at)).astype(kind)
             for a in range(0, len(at), LONGEST_RUN):
                 raw = v[a : a + LONGEST_RUN + 2].tobytes()
                 yield C.batch(x=pa.array([raw], pa.binary()), h=pa.array([xxhash.xxh3_64_intdigest(raw) >> 1], pa.int64()), n=pa.array([len(raw) // kind.itemsize - 2], pa.int64()))
 
-        for keys, texts in C.rows_of(batches, "k", "t"):
-            for k, t in zip(keys, texts, strict=True):
-                if held_out(k):
-                    continue
-                flat += tokens(t)
-                flat.append(_SPACE)
-                if len(flat) >= RUN:
-                    yield from told()
-        if flat:
-            yield from told()
+        left = np.empty(0, np.int64)
+        for keys, flat, lens in pieces(batches):
+            learnt = np.array([not held_out(k) for k in keys], bool)
+            flat, lens = flat.filter(pa.array(np.repeat(learnt, lens))), lens[learnt]
+            at = pc.fill_null(pc.index_in(flat, value_set=words), -1).to_numpy().astype(np.int64) + 1
+            rest = np.flatnonzero(at == 0)
+            at[rest] = o.bucket_all(flat.filter(pa.array(at == 0)))
+            at, begin = np.concatenate((left, _with_ends(at, lens, END))), 0
+            for e in (len(left) + np.cumsum(lens + 1)).tolist():
+                if e - begin >= RUN:
+                    yield from told(at[begin:e])
+                    begin = e
+            left = at[begin:]
+        if len(left):
+            yield from told(left)
 
     shard = F.pmod(F.col("h"), F.lit(shards)).cast("int")
     runs = C.saved(base.mapInArrow(store, "x binary, h long, n long").withColumn("s", shard), "none")

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -407,6 +408,41 @@ def test_lm_score(docs, monkeypatch):
         assert abs(got[i] - plain) < 1e-3 * max(1, abs(plain) / 10), i
 
 
+@pytest.mark.parametrize("limit", [1, 40, 1 << 20])
+def test_lm_pieces_have_the_plain_words(limit):
+    """Words, counts and buckets from whole columns are those of text by text."""
+    rnd = random.Random(5)
+    parts = [" ", "\t", "\n", "\x0b\x0c\r", "\0", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "A", "Zé", "ÀÉ", "İ", "日本", "w", "word", "!"]
+    texts = [None, "", "  ", *("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(2000))]
+    o, got = lm_scoring.Outcomes(60), []
+    for keys, flat, lens in lm_scoring.pieces([C.batch(k=list(range(len(texts))), t=pa.array(texts, pa.string())).slice(0, 1500), C.batch(k=list(range(1500, len(texts))), t=pa.array(texts[1500:], pa.string()))], limit):
+        ws, ends = flat.to_pylist(), np.cumsum(lens).tolist()
+        assert o.bucket_all(flat).tolist() == [o.bucket(w) for w in ws]
+        got += [(k, ws[e - n : e]) for k, n, e in zip(keys, lens.tolist(), ends, strict=True)]
+    assert got == [(i, (t or "").encode().lower().split()) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("far", [1, 300])
+def test_lm_scores_what_follows_one_pair_together(monkeypatch, far):
+    """10,000 tokens after 25 pairs: 25 rows of classes, and at most 25 of each class's outcomes; also with scores beyond what an exponential holds."""
+    g, o = np.random.default_rng(6), lm_scoring.Outcomes(40)
+    m = lm_scoring.LogBilinear(o, np.ones(o.size))
+    m.say, m.say_class = (far * g.normal(size=x.shape).astype(np.float32) for x in (m.say, m.say_class))
+    one, two = g.integers(0, 5, 10_000), g.integers(0, 5, 10_000)
+    outcome = g.choice([*range(o.words + 1), *range(o.tail, o.size)], 10_000)
+    rows, shares = [], lm_scoring.LogBilinear._shares
+    monkeypatch.setattr(lm_scoring.LogBilinear, "_shares", lambda self, h, *i: (rows.append(len(h)), shares(self, h, *i))[1])
+    got = m.ready().logs(one, two, outcome)
+    assert sum(rows) <= 25 * (1 + o.classes)
+    h = (m.read[one] @ m.place[0] + m.read[two] @ m.place[1]).astype(float)
+    soft = lambda x: x - np.log(np.exp(x - x.max(1, keepdims=True)).sum(1, keepdims=True)) - x.max(1, keepdims=True)
+    at, k = np.arange(10_000), outcome // o.width
+    inner = np.stack([soft(h @ m.say[i * o.width : (i + 1) * o.width].T.astype(float) + m.bias[i * o.width : (i + 1) * o.width])[at, outcome % o.width] for i in range(o.classes)])
+    want = soft(h @ m.say_class.T.astype(float) + m.bias_class)[at, k] + inner[k, at]
+    sure = want > -60  # below, single precision ends
+    assert sure.any() and np.abs(got - want)[sure].max() < 2e-2 and (got[~sure] < -50).all()
+
+
 @pytest.mark.parametrize(("shard", "gain"), [(lm_scoring.SHARD, 0.2), (100_000, 0.1)])
 def test_lm_learns_more_than_counts(spark, monkeypatch, shard, gain):
     """In one task, and in four whose models are averaged."""
