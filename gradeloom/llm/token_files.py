@@ -148,9 +148,9 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int | N
             turn = C.mix(np.arange(seen, seen + len(keys), dtype=np.uint64)) & np.uint64(0xFFFF)  # spreads the rows of an id
             where = pa.array(shared.value.ranks(keys, turn).astype(np.int32))
             seen += len(keys)
-            for a in range(0, len(keys), 500):
-                got = [squeeze.compress(ids.tobytes() + tail) for ids in enc.encode(texts.slice(a, 500).to_pylist())]
-                yield C.batch(b=where.slice(a, 500), k=keys.slice(a, 500), z=pa.array(got, pa.binary()))
+            for a in range(0, len(keys), 2_000):
+                got = [squeeze.compress(ids.tobytes() + tail) for ids in enc.encode(texts.slice(a, 2_000).to_pylist())]
+                yield C.batch(b=where.slice(a, 2_000), k=keys.slice(a, 2_000), z=pa.array(got, pa.binary()))
         C.release()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

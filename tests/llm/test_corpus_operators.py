@@ -192,6 +192,27 @@ def test_encoder_cuts_words_marks_and_lines_as_the_library():
     assert len(e.cache.old) and not e.cache.old.old
 
 
+@pytest.mark.parametrize("together", [1, 300, 1 << 20])
+def test_encoder_cuts_at_line_ends_as_the_library(monkeypatch, together):
+    monkeypatch.setattr(encoding, "TOGETHER", together)
+    e, rnd = encoding.Encoder(BYTES), random.Random(4)
+    parts = ["the", "It's", "'s", "é", "12", ".", "!?", " ", " ", "\n", "\n", "\r", "\t", "\xa0", "\x1c", "\n\n", " \n", "\n ", "<|endoftext|>"]
+    texts = ["", "\n", "\nthe", "the\n", None, *("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(6000))]
+    for a in range(0, len(texts), 700):
+        some = [t or "" for t in texts[a : a + 700]]
+        assert [x.tolist() for x in e.encode(texts[a : a + 700])] == [x.ids for x in e.tok.encode_batch(some, add_special_tokens=False)]
+
+
+def test_encoder_makes_the_first_word_of_a_line_once(monkeypatch):
+    e, merged = encoding.Encoder(BYTES), []
+    merge = e._merged
+    monkeypatch.setattr(e, "_merged", lambda *a: (merged.append(a), merge(*a))[1])
+    texts = [f"A cat{i % 7} sat.\nThe dog, too.\nThe end" for i in range(200)]
+    for a in (0, 100):
+        assert [x.tolist() for x in e.encode(texts[a : a + 100])] == [x.ids for x in e.tok.encode_batch(texts[a : a + 100], add_special_tokens=False)]
+    assert merged.count(("", "The")) == 1 and len(merged) == len(set(merged))
+
+
 def test_forgotten_encoder_is_freed_without_the_collector():
     import gc
     import weakref
