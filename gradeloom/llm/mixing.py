@@ -192,7 +192,7 @@ def mix(docs: DataFrame, size: Column, members: Column, weights=None, quotas: di
         total = int(patterns.where(F.size("m") > 0).agg(F.sum("w")).first()[0] or 0)
         sources = water_fill(numbered.withColumn("weight", weights(F.col("rank")) if weights else F.lit(1.0)), total, passes)
     else:
-        given = spark.createDataFrame([(s, float(x)) for s, x in quotas.items()], "q string, quota double")
+        given = C.local_table(spark, [(s, float(x)) for s, x in quotas.items()], q=pa.string(), quota=pa.float64())
         sources = sources.join(given, F.col("s").eqNullSafe(F.col("q")), "left").withColumn("target", F.coalesce("quota", F.lit(0.0)))
     plan_df = _plans(patterns, C.saved(sources.select("s", "size", "target")), passes)
 

@@ -54,7 +54,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, te
 def _quanta(stats: DataFrame, window: int, shares: dict) -> DataFrame:
     """``stats`` with _q, the ids that a source is credited with in a round."""
     spark = stats.sparkSession
-    named = spark.createDataFrame([(s, float(x)) for s, x in shares.items()], "name string, share double")
+    named = C.local_table(spark, [(s, float(x)) for s, x in shares.items()], name=pa.string(), share=pa.float64())
     joined = stats.join(named, F.col("s").eqNullSafe(F.col("name")), "left")
     at = joined.agg(F.sum("share"), F.sum(F.when(F.col("share").isNull(), F.col("t")))).first()
     left, free = max(0.0, 1.0 - (at[0] or 0.0)), max(1, at[1] or 0)

@@ -129,5 +129,5 @@ def running_sum(df: DataFrame, order: list[Column], value: str, out: str, parts:
     for r in sorted(local.groupBy("__gl_part").agg(F.sum(value).alias("s")).collect()):  # a row for each range
         sums.append((r[0], before))
         before += int(r[1])
-    offsets = F.broadcast(spark.createDataFrame(sums, "__gl_part int, __gl_before long"))
+    offsets = F.broadcast(C.local_table(spark, sums, __gl_part=pa.int32(), __gl_before=pa.int64()))
     return local.join(offsets, "__gl_part").withColumn(out, F.col("__gl_local") + F.col("__gl_before")).drop("__gl_part", "__gl_local", "__gl_before")

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from test_corpus_operators import SCHEMA, awkward_rows, brute_links, brute_removal, ids_of, texts_of, words
 
@@ -83,6 +84,26 @@ def test_stages_on_an_empty_table(spark):
         assert docs.count() == 0
 
 
+def test_stages_begin_with_what_stands_free_given_back(spark):
+    def collected():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+
+    docs = C.saved(C.documents(spark, DATA).limit(0))
+    for _, stage in P.STAGES:
+        before = collected()
+        stage(spark, docs, DATA)
+        assert collected() > before
+
+
+def test_rows_of_the_driver_need_no_workers(spark):
+    rows = [("a", 1.5), (None, None)]
+    df = C.local_table(spark, rows, name=pa.string(), share=pa.float64())
+    assert df.dtypes == [("name", "string"), ("share", "double")] and [tuple(r) for r in df.collect()] == rows
+    assert "LocalTableScan" in df._jdf.queryExecution().executedPlan().toString()
+    assert C.local_table(spark, [], name=pa.string(), share=pa.float64()).collect() == []
+
+
 def test_the_driver_finds_all_of_them(spark):
     found = driver.queries()
     assert {n.split("_")[0] for n in found} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in found
